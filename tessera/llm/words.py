@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Bytes of text handled at once; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
