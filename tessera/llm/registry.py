@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing, pieces, url_rules
+from tessera.llm import exact_dedup, language, packing, pieces, toxicity, url_rules, webp
 
-_MODULES = [packing, url_rules, exact_dedup, pieces]
+_MODULES = [webp, language, packing, toxicity, url_rules, exact_dedup, pieces]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
