@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, language, packing, pieces, quality, toxicity, url_rules, webp
+from tessera.llm import exact_dedup, language, near_dedup, packing, pieces, quality, toxicity, url_rules, webp
 
-_MODULES = [webp, language, packing, toxicity, url_rules, exact_dedup, pieces, quality]
+_MODULES = [webp, language, near_dedup, packing, toxicity, url_rules, exact_dedup, pieces, quality]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
