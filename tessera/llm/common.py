@@ -12,17 +12,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, cut from their lineage, in the folder that spark.checkpoint.dir names.
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share.
 
-    Only where neither that setting nor a folder exists (a local session, as in tests) is a
-    temporary one set.
+    Only where neither that setting nor a checkpoint folder exists (a local session, as in tests)
+    is a temporary one made.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return folder or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, cut from their lineage, in the scratch folder."""
+    scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -138,7 +138,7 @@ def sketch(docs: DataFrame, weights: str, id_col: str, text_col: str) -> DataFra
     signature entry) and buckets (one hash per band); null buckets for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, text_col)):
+        for batch in (part for whole in batches for part in slices(whole)):
             words = Words(batch.column(1))
             row, element, weight = shingle_sets(words, weights)
             signed = signatures(row, element, weight, words.rows)
@@ -158,7 +158,6 @@ def sketch(docs: DataFrame, weights: str, id_col: str, text_col: str) -> DataFra
             )
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    text_col = "text"
     return rows.mapInArrow(run, "doc_id long, same1 long, same2 long, coordinates binary, buckets array<long>")
 
 
@@ -170,12 +169,11 @@ def shingle_blobs(docs: DataFrame, ids: DataFrame, weights: str, id_col: str, te
             words = Words(batch.column(1))
             row, element, weight = shingle_sets(words, weights)
             first = np.searchsorted(row, np.arange(words.rows + 1)).tolist()
-            # 40 bits of hash and 24 of count keep a blob at eight bytes a shingle
-            packed = np.sort((element & np.uint64(0xFFFFFFFFFF000000)) | np.minimum(weight, (1 << 24) - 1).astype(np.uint64)) if weights == "count" else None
-            if packed is None:
-                blobs = [np.unique((element[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(first, first[1:])]
+            if weights == "count":  # 40 bits of hash and 24 of count
+                packed = (element & np.uint64(0xFFFFFFFFFF000000)) | np.minimum(weight, (1 << 24) - 1).astype(np.uint64)
             else:
-                blobs = [np.sort((element[a:b] & np.uint64(0xFFFFFFFFFF000000)) | np.minimum(weight[a:b], (1 << 24) - 1).astype(np.uint64)).tobytes() for a, b in zip(first, first[1:])]
+                packed = (element >> np.uint64(32)).astype(np.uint32)
+            blobs = [np.unique(packed[a:b]).tobytes() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
