@@ -18,8 +18,9 @@ Copies are never paired, and members that already share a class are not compared
 With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
 Defined results: null and empty texts, and texts without words, are classes of their own id; texts
-of one to four words have one shingle, their words; null ids sort last and form no class; repeated
-rows share a class; empty tables give empty results; other columns are not read.
+of one to four words have one shingle, their words; rows without id have no class and size 1; rows
+of one id are one document (of differing texts, that with the greatest shingle bytes is compared);
+empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def shingle_blobs(docs: DataFrame, ids: DataFrame, weights: str, id_col: str, te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
 
 
 def jaccard(a: bytes, b: bytes, weights: str) -> float:
@@ -240,7 +241,7 @@ def may_reach(a: str, b: str, threshold: float):
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), class_size."""
     sketches = checkpointed(sketch(docs, weights, id_col, text_col))
-    with_words = sketches.where("coordinates IS NOT NULL")
+    with_words = sketches.where((F.col("doc_id") != NO_ID) & F.col("coordinates").isNotNull())
     groups = checkpointed(with_words.groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "coordinates", "buckets")).alias("first")).select("same1", "same2", "first.*"))
     entries = groups.select(F.explode("buckets").alias("bucket"), "doc_id")
     leaders = entries.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -267,10 +268,10 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
     chosen = groups.select("same1", "same2", F.col("doc_id").alias("node")).join(classes, "node", "left").select("same1", "same2", F.coalesce("class_id", "node").alias("class_id"))
     chosen = checkpointed(chosen)
     members = with_words.select("doc_id", "same1", "same2").join(chosen, ["same1", "same2"]).select("doc_id", "class_id")
-    members = members.unionByName(sketches.where("coordinates IS NULL").select("doc_id", F.col("doc_id").alias("class_id")))
+    members = members.unionByName(sketches.where((F.col("doc_id") == NO_ID) | F.col("coordinates").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
     size = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return members.join(size, "class_id").select(real("doc_id"), real("class_id"), "class_size")
+    return members.join(size, "class_id").select(real("doc_id"), real("class_id"), F.when(F.col("class_id") == NO_ID, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
