@@ -2,9 +2,10 @@
 
 URL tokens (host labels and suffix, path words, file extension, query keys) of labelled pages are
 transactions, with one item more for the label. FP-growth finds the frequent combinations; rules
-token combination -> block that reach a confidence and a support are kept, a rule implied by a
-kept shorter one is dropped with no effect on results. An inverted index token -> rules matches
-them: a URL is blocked when all tokens of some rule occur in it.
+token combination -> block that reach a confidence and a support are kept; a rule that holds all
+terms of a shorter one is dropped, with no effect on results. An inverted index lists each rule
+under its rarest term; a URL is blocked when all terms of a rule listed under one of its tokens
+occur in it.
 
 Size of the index: with t tokens a transaction and minimum support s there are at most
 sum C(t, i) / s frequent combinations, whatever the number of pages, and max_terms bounds i; so
@@ -22,7 +23,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import checkpointed, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -66,18 +67,29 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(named("host=", labels), top, named("path=", words), named("key=", keys)), F.array().cast("array<string>")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_terms: int) -> DataFrame:
-    """Rules (terms, confidence, support) for blocking, from rows (tokens, blocked boolean)."""
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_terms: int, min_count: int) -> DataFrame:
+    """Rules (terms, key: the rarest term, confidence, support) for blocking, none implied by a
+    shorter one, from rows (tokens, blocked boolean)."""
     spark = labelled.sparkSession
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
     transactions = labelled.select(items)
-    empty = spark.createDataFrame([], "terms array<string>, confidence double, support double")
-    if transactions.isEmpty():
+    empty = spark.createDataFrame([], "terms array<string>, key string, confidence double, support double")
+    total = transactions.count()
+    if total < min_count:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(transactions)
-    return model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_terms)).select(
-        F.array_sort("antecedent").alias("terms"), "confidence", "support"
+    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total), minConfidence=min_confidence).fit(transactions)
+    rules = checkpointed(
+        model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_terms)).select(
+            F.array_sort("antecedent").alias("terms"), "confidence", "support"
+        )
     )
+    often = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("term"), "freq")
+    each = rules.select("terms", "confidence", "support", F.explode("terms").alias("term")).join(often, "term")
+    keyed = each.groupBy("terms", "confidence", "support").agg(F.min_by("term", F.struct("freq", "term")).alias("key"))
+    shorter = keyed.select("key", F.col("terms").alias("part"))
+    within = F.forall("part", lambda t: F.array_contains("terms", t)) & (F.size("part") < F.size("terms"))
+    implied = each.join(shorter, F.col("term") == F.col("key")).where(within).select("terms").distinct()
+    return checkpointed(keyed.join(implied, "terms", "left_anti").select("terms", "key", "confidence", "support"))
 
 
 def filter_urls(
@@ -87,6 +99,7 @@ def filter_urls(
     min_support: float = 0.005,
     min_confidence: float = 0.8,
     max_terms: int = 4,
+    min_count: int = 10,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -109,15 +122,12 @@ def filter_urls(
             .select(tokens.alias("tokens"), F.coalesce(F.col("stated") == "block", F.col("blocked")).alias("blocked"))
             .where("blocked IS NOT NULL")
         )
-    mined = mine_rules(labelled, min_support, min_confidence, max_terms)
-    index = mined.select(F.concat_ws("\x01", "terms").alias("combination"), F.size("terms").alias("needed"), F.explode("terms").alias("token"))
+    mined = mine_rules(labelled, min_support, min_confidence, max_terms, min_count)
     seen = base.where("stated IS NULL").select("page_id", "url", tokens.alias("tokens")).dropDuplicates(["page_id", "url"])
     hit = (
-        seen.select("page_id", "url", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .groupBy("page_id", "url", "combination", "needed")
-        .agg(F.count(F.lit(1)).alias("found"))
-        .where("found = needed")
+        seen.select("page_id", "url", "tokens", F.explode("tokens").alias("key"))
+        .join(mined.select("terms", "key"), "key")
+        .where(F.forall("terms", lambda t: F.array_contains("tokens", t)))
         .select(F.col("page_id").alias("hit_id"), F.col("url").alias("hit_url"), F.lit("block").alias("mined"))
         .dropDuplicates(["hit_id", "hit_url"])
     )
