@@ -4,7 +4,7 @@ Trusted positives are labelled rows of quality 1; unlabelled rows are a sample o
 text; the class prior is the share of positives among labelled training rows. An additive model
 over quantile bins of dense text features minimises the non-negative unbiased risk
     prior R_p(+) + max(0, R_u(-) - prior R_p(-))
-with logistic loss: where the second part falls below zero, its gradient is reversed. Labelled
+with sigmoid loss: where the second part falls below zero, its gradient is reversed. Labelled
 rows of both classes then set the slope and offset of the final probability.
 
 Both samples hold at most about max_rows rows, chosen by a hash of the id; the fit is a small
@@ -114,7 +114,7 @@ def one_hot(matrix: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(columns, 1)
 
 
-def fit_quality(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 24, steps: int = 300, rate: float = 0.05, ridge: float = 1e-4) -> QualityModel:
+def fit_quality(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 300, rate: float = 0.05, ridge: float = 3e-4) -> QualityModel:
     """The non-negative risk minimiser, by full-batch steps with adaptive rates."""
     pooled = np.concatenate([positive, unlabelled])
     edges = [np.unique(np.quantile(pooled[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(pooled.shape[1])]
@@ -124,9 +124,10 @@ def fit_quality(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins
     for step in range(1, steps + 1):
         fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
         grow = lambda x, g: np.append(g @ x, g.sum())
-        keep = grow(p, -sigmoid(-fp) * prior / len(p))
-        drop = grow(u, sigmoid(fu) / len(u)) - grow(p, sigmoid(fp) * prior / len(p))
-        risk = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        sp, su = sigmoid(fp), sigmoid(fu)
+        keep = grow(p, -sp * (1 - sp) * prior / len(p))
+        drop = grow(u, su * (1 - su) / len(u)) + keep
+        risk = su.mean() - prior * sp.mean()
         gradient = keep + drop if risk >= 0 else -drop
         gradient[:-1] += ridge * w[:-1]
         first = 0.9 * first + 0.1 * gradient
