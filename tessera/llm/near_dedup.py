@@ -11,9 +11,10 @@ Documents that agree in a whole band are candidates:
   1. documents with the same shingles are folded into one representative;
   2. in each bucket the least id leads; each member is compared with its leader;
   3. links (exact similarity of at least `threshold`) are closed to classes;
-  4. in buckets that still hold several classes, members outside the largest class are compared
-     with all members of other classes whose signatures don't rule the threshold out.
-Copies are never paired, and members that already share a class are not compared again.
+  4. in a bucket of three and more that still holds several classes, those outside its largest
+     class are compared with all of that class and with each other, in blocks of bounded size.
+So each pair of a bucket is compared, or its members share a class by other links. Copies are
+never paired.
 
 With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
@@ -135,8 +136,8 @@ def shingle_sets(words: Words, weights: str) -> tuple[np.ndarray, np.ndarray, np
 
 
 def sketch(docs: DataFrame, weights: str, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, same1 and same2 (128 bits of the weighted set), coordinates (a byte of each
-    signature entry) and buckets (one hash per band); null buckets for texts without words."""
+    """doc_id, same1 and same2 (128 bits of the weighted set) and buckets (one hash per band),
+    null for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -151,15 +152,11 @@ def sketch(docs: DataFrame, weights: str, id_col: str, text_col: str) -> DataFra
             bands = mix64((signed.reshape(words.rows, BANDS, ROWS) * powers).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
             empty = np.diff(first) == 0
             offsets = pa.array(np.arange(words.rows + 1, dtype=np.int32) * BANDS)
-            buckets = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()))
-            codes = [None if e else x.tobytes() for x, e in zip((signed & np.uint64(255)).astype(np.uint8), empty)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same[0]), pa.array(same[1]), pa.array(codes, pa.binary()), buckets],
-                ["doc_id", "same1", "same2", "coordinates", "buckets"],
-            )
+            buckets = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()), mask=pa.array(empty))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same[0]), pa.array(same[1]), buckets], ["doc_id", "same1", "same2", "buckets"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, same1 long, same2 long, coordinates binary, buckets array<long>")
+    return rows.mapInArrow(run, "doc_id long, same1 long, same2 long, buckets array<long>")
 
 
 def shingle_blobs(docs: DataFrame, ids: DataFrame, weights: str, id_col: str, text_col: str) -> DataFrame:
@@ -226,23 +223,68 @@ def close(links: DataFrame) -> DataFrame:
         before = now
 
 
-def may_reach(a: str, b: str, threshold: float):
-    """Do the signature bytes of columns a and b agree often enough? (four deviations of slack)"""
-    size = BANDS * ROWS
-    least = int(size * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / size)))
-    same = F.aggregate(
-        F.sequence(F.lit(1), F.lit(size)),
-        F.lit(0),
-        lambda n, i: n + F.when(F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)), 1).otherwise(0),
-    )
-    return same >= least
+def overlaps(own: np.ndarray, values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many of own's shingles each of n sets holds; values are all of theirs, sorted."""
+    low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+    size = high - low
+    index = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.bincount(owner[index], minlength=n)
+
+
+def links_to_main(minors: DataFrame, members: DataFrame, blobs: DataFrame, weights: str, threshold: float, block: int = 256) -> DataFrame:
+    """Links (a, b) between minors and members of one main class (columns main, doc_id, class_id).
+
+    Both sides are dealt into blocks, and each block of minors meets each block of members in a
+    group of its own of about twice `block` rows. Of the links of a minor to one class in a group,
+    the strongest stands for all.
+    """
+    sizes = minors.groupBy("main").agg(F.count(F.lit(1)).alias("m")).join(members.groupBy("main").agg(F.count(F.lit(1)).alias("n")), "main")
+    sizes = sizes.select("main", F.ceil(F.col("m") / block).cast("int").alias("m"), F.ceil(F.col("n") / block).cast("int").alias("n"))
+    turn = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    full = lambda side: side.join(sizes, "main").join(blobs, "doc_id")
+    columns = ["main", "i", "j", "is_minor", "doc_id", "class_id", "shingles"]
+    left = full(minors).withColumns({"i": turn("m"), "is_minor": F.lit(True)}).withColumn("j", every("n")).select(columns)
+    right = full(members).withColumns({"j": turn("n"), "is_minor": F.lit(False)}).withColumn("i", every("m")).select(columns)
+
+    def compare(group: pa.Table) -> pa.Table:
+        is_minor = np.asarray(group["is_minor"])
+        ids, classes, blob = np.asarray(group["doc_id"]), np.asarray(group["class_id"]), group["shingles"].to_pylist()
+        theirs = np.flatnonzero(~is_minor)
+        found = []
+        if len(theirs) and weights == "set":
+            sets = [np.frombuffer(blob[k], np.uint32) for k in theirs]
+            size = np.array([len(x) for x in sets])
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+        for k in np.flatnonzero(is_minor) if len(theirs) else []:
+            if weights == "set":
+                own = np.frombuffer(blob[k], np.uint32)
+                both = overlaps(own, values, owner, len(theirs))
+                alike = both / np.maximum(1, len(own) + size - both)
+            else:
+                alike = np.array([jaccard(blob[k], blob[t], weights) for t in theirs])
+            seen = set()
+            for t in np.argsort(-alike, kind="stable"):
+                if alike[t] < threshold:
+                    break
+                other = classes[theirs[t]]
+                if other != classes[k] and other not in seen:
+                    seen.add(other)
+                    found.append((int(ids[k]), int(ids[theirs[t]])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right).groupBy("main", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weights: str = "set", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, class_id (the least id of its class), class_size."""
     sketches = checkpointed(sketch(docs, weights, id_col, text_col))
-    with_words = sketches.where((F.col("doc_id") != NO_ID) & F.col("coordinates").isNotNull())
-    groups = checkpointed(with_words.groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "coordinates", "buckets")).alias("first")).select("same1", "same2", "first.*"))
+    with_words = sketches.where((F.col("doc_id") != NO_ID) & F.col("buckets").isNotNull())
+    groups = with_words.groupBy("same1", "same2").agg(F.min(F.struct("doc_id", "buckets")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    groups = checkpointed(groups.select("same1", "same2", "copies", "first.*"))
     entries = groups.select(F.explode("buckets").alias("bucket"), "doc_id")
     leaders = entries.groupBy("bucket").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = checkpointed(entries.join(leaders, "bucket"))
@@ -254,24 +296,23 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
     named = shared.where("n > 2").join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
     sizes = named.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.max_by("class_id", F.struct("n", -F.col("class_id"))).alias("main")).where("kinds > 1").select("bucket", "main")
-    left = checkpointed(named.join(mixed, "bucket"))
-    if not left.isEmpty():
-        coordinates = groups.select("doc_id", "coordinates")
-        left = left.join(coordinates, "doc_id")
-        minor = left.where("class_id != main").select("bucket", F.col("doc_id").alias("a"), F.col("class_id").alias("ca"), F.col("coordinates").alias("xa"))
-        others = left.select("bucket", F.col("doc_id").alias("b"), F.col("class_id").alias("cb"), F.col("coordinates").alias("xb"), (F.col("class_id") == F.col("main")).alias("in_main"))
-        more = minor.join(others, "bucket").where("ca != cb AND (in_main OR a < b)").where(may_reach("xa", "xb", threshold))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        found = checkpointed(links_among(more, blobs, weights, threshold))
+    minors = checkpointed(named.join(mixed, "bucket").where("class_id != main").select("main", "doc_id", "class_id").distinct())
+    if not minors.isEmpty():
+        mains = minors.select("main").distinct()
+        of_main = shared.select("doc_id").distinct().join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        of_main = of_main.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+        members = of_main.join(mains, F.col("class_id") == F.col("main")).select("main", "doc_id", "class_id").unionByName(minors)
+        found = checkpointed(links_to_main(minors, members, blobs, weights, threshold))
         if not found.isEmpty():
             classes = close(links.unionByName(found))
-    chosen = groups.select("same1", "same2", F.col("doc_id").alias("node")).join(classes, "node", "left").select("same1", "same2", F.coalesce("class_id", "node").alias("class_id"))
-    chosen = checkpointed(chosen)
-    members = with_words.select("doc_id", "same1", "same2").join(chosen, ["same1", "same2"]).select("doc_id", "class_id")
-    members = members.unionByName(sketches.where((F.col("doc_id") == NO_ID) | F.col("coordinates").isNull()).select("doc_id", F.col("doc_id").alias("class_id")))
-    size = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return members.join(size, "class_id").select(real("doc_id"), real("class_id"), F.when(F.col("class_id") == NO_ID, 1).otherwise(F.col("class_size")).cast("long").alias("class_size"))
+    chosen = groups.select("same1", "same2", "copies", F.col("doc_id").alias("node")).join(classes, "node", "left")
+    chosen = chosen.select("same1", "same2", "copies", F.coalesce("class_id", "node").alias("class_id"))
+    sizes = chosen.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
+    chosen = checkpointed(chosen.join(sizes, "class_id"))
+    members = with_words.select("doc_id", "same1", "same2").join(chosen, ["same1", "same2"]).select("doc_id", "class_id", "class_size")
+    real = F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))
+    alone = sketches.where((F.col("doc_id") == NO_ID) | F.col("buckets").isNull())
+    return members.unionByName(alone.select(real.alias("doc_id"), real.alias("class_id"), F.lit(1).cast("long").alias("class_size")))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
