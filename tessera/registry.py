@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans import operations, retrieval, text
+
+_MODULES = [text, retrieval, operations]
+
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
