@@ -222,3 +222,29 @@ def test_exact_dedup_keeps_one_whole_row(spark):
     assert dict(got)["the cat sat on the mat with a hat and a bat"] == 1
     assert exact_dedup.exact_dedup(documents(spark, [])).count() == 0
     assert exact_dedup.duplicate_groups(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("weights", ["set", "count"])
+def test_links_to_main_in_small_blocks(spark, weights):
+    """Every class that a minor is linked to is found, whatever the blocks."""
+    import numpy as np
+
+    from tessera.llm.near_dedup import jaccard, links_to_main
+
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 20, 40)
+    kind = np.uint32 if weights == "set" else np.uint64
+    sets = {}
+    for i in range(30):
+        own = np.where(r.random(40) < 0.15, r.integers(0, 1 << 20, 40), base)
+        sets[i] = np.unique(own).astype(np.uint32).tobytes() if weights == "set" else np.unique(own.astype(np.uint64) << np.uint64(24) | np.uint64(1)).astype(kind).tobytes()
+    classes = {i: 0 if i < 20 else i // 3 * 3 for i in sets}
+    row = lambda i: (0, i, classes[i])
+    schema = "main long, doc_id long, class_id long"
+    minors = spark.createDataFrame([row(i) for i in sets if classes[i]], schema)
+    members = spark.createDataFrame([row(i) for i in sets], schema)
+    blobs = spark.createDataFrame([(i, bytearray(b)) for i, b in sets.items()], "doc_id long, shingles binary")
+    out = [tuple(x) for x in links_to_main(minors, members, blobs, weights, 0.7, block=4).collect()]
+    assert all(jaccard(sets[a], sets[b], weights) >= 0.7 and classes[a] != classes[b] for a, b in out)
+    got = {(a, classes[b]) for a, b in out}
+    assert got == {(a, classes[b]) for a in sets for b in sets if classes[a] and classes[a] != classes[b] and jaccard(sets[a], sets[b], weights) >= 0.7}
