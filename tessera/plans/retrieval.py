@@ -274,22 +274,102 @@ _PAIRS = f"""
     )
 """
 
+def _embedding(terms: str) -> str:
+    """Counts of distinct terms by the bucket of the rolling hash of their code points."""
+    hashed = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(t, ''), lambda ch: CAST(ord(ch) AS BIGINT))), lambda h, v: (h * 31 + v) % 64)"
+    return f"list_transform(range(0, 64), lambda i: CAST(len(list_filter(list_transform({terms}, lambda t: {hashed}), lambda b: b = i)) AS DOUBLE))"
+
+
+_DENSE = f"""
+    cv AS MATERIALIZED (SELECT doc_id, chunk_index, list_distinct(terms) AS held, {_embedding("list_distinct(terms)")} AS v FROM c),
+    qv AS MATERIALIZED (SELECT query_id, wanted, {_embedding("wanted")} AS v FROM q),
+    near AS (
+        SELECT query_id, doc_id, chunk_index, {sql.fixed("coalesce(list_cosine_similarity(cv.v, qv.v), 0)")} AS vector, {sql.fixed("len(list_intersect(wanted, held)) / len(wanted)", 6)} AS keyword
+        FROM cv, qv WHERE len(held) > 0
+    ),
+    mixed AS (SELECT *, {sql.fixed("greatest(vector, keyword, 0.82 * vector + 0.18 * keyword)", 6)} AS score FROM near WHERE vector > 0),
+    dense AS MATERIALIZED (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM mixed) WHERE rank <= {CANDIDATES}
+    )
+"""
+_RERANKED = f"""
+    p AS ({_PHRASES}),
+    signal AS (
+        SELECT query_id, doc_id, chunk_index, s.score AS original, len(list_intersect(wanted, terms)) / len(wanted) AS overlap,
+               len(list_filter(phrases, lambda x: contains(body, x))) > 0 AS hit
+        FROM sparse s JOIN (SELECT *, {sql.normalize_search("chunk_text")} AS body FROM c) USING (doc_id, chunk_index) JOIN q USING (query_id) JOIN p USING (query_id)
+    ),
+    raw AS (SELECT *, least(1, overlap * 0.45 + CAST(hit AS INTEGER) * 0.25 + 0.0 + original / max(original) OVER (PARTITION BY query_id) * 0.1) AS raw FROM signal),
+    again AS (SELECT *, {sql.fixed("least(1, raw / max(raw) OVER (PARTITION BY query_id))", 6)} AS rerank FROM raw),
+    remixed AS (SELECT query_id, doc_id, chunk_index, original, rerank, {sql.fixed("original * 0.4 + rerank * 0.6", 6)} AS score FROM again),
+    reranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rerank DESC, original DESC, doc_id, chunk_index) AS rank FROM remixed)
+"""
+_SIGNALS = [(weight, pattern.replace("'", "''")) for weight, pattern in retrieval.COMPARISON_SIGNALS]
+
 ORACLES = {
     "bm25_topk": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, rank FROM sparse WHERE rank <= {TOP_K}",
     "cosine_topk": f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_NEAREST})) WHERE rank <= {TOP_K}",
     "per_label_topk": f"SELECT query_id, vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM ({_NEAREST})) WHERE rank <= 2",
     "keyword_topk": f"WITH {_ASKED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, doc_id) AS rank FROM ({_KEYWORD})) WHERE rank <= {TOP_K}",
-    "heuristic_rerank": f"""
-        {_RANKED}, p AS ({_PHRASES}),
-        signal AS (
-            SELECT query_id, doc_id, chunk_index, s.score AS original, len(list_intersect(wanted, terms)) / len(wanted) AS overlap,
-                   len(list_filter(phrases, lambda x: contains(body, x))) > 0 AS hit
-            FROM sparse s JOIN (SELECT *, {sql.normalize_search("chunk_text")} AS body FROM c) USING (doc_id, chunk_index) JOIN q USING (query_id) JOIN p USING (query_id)
+    "heuristic_rerank": f"{_RANKED}, {_RERANKED} SELECT * FROM reranked WHERE rank <= {TOP_K}",
+    "dense_topk": f"WITH {_CHUNKS}, {_ASKED}, {_DENSE} SELECT query_id, doc_id, chunk_index, vector, keyword, score, rank FROM dense WHERE rank <= {TOP_K}",
+    "weighted_fusion": f"""
+        {_RANKED}, {_DENSE},
+        a AS (SELECT query_id, doc_id, chunk_index, score / max(score) OVER (PARTITION BY query_id) AS d FROM dense),
+        b AS (SELECT query_id, doc_id, chunk_index, score / max(score) OVER (PARTITION BY query_id) AS s FROM sparse),
+        f AS (
+            SELECT query_id, doc_id, chunk_index, {sql.fixed("coalesce(d, 0)", 6)} AS dense, {sql.fixed("coalesce(s, 0)", 6)} AS sparse, {sql.fixed("coalesce(d, 0) * 0.65 + coalesce(s, 0) * 0.35", 6)} AS score
+            FROM a FULL JOIN b USING (query_id, doc_id, chunk_index)
+        )
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM f) WHERE rank <= {TOP_K}
+    """,
+    "rrf_fusion": f"""
+        {_RANKED}, {_DENSE},
+        f AS (
+            SELECT query_id, doc_id, chunk_index, d.rank AS dense_rank, s.rank AS sparse_rank, {sql.fixed("coalesce(0.65 / (60 + d.rank), 0) + coalesce(0.35 / (60 + s.rank), 0)", 8)} AS score
+            FROM dense d FULL JOIN sparse s USING (query_id, doc_id, chunk_index)
+        )
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM f) WHERE rank <= {TOP_K}
+    """,
+    "query_router": rf"""
+        SELECT conv_id, turn, CASE WHEN turn > 0 AND sure >= 0.5 THEN 'compare' ELSE 'qa' END AS mode, {sql.fixed("sure")} AS confidence FROM (
+            SELECT conv_id, turn, least(1, {" + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for w, p in _SIGNALS)}) AS sure
+            FROM (SELECT *, regexp_replace(text, '[^\x00-\x7f]', 'x', 'g') AS t FROM conversations WHERE role = 'user')
+        )
+    """,
+    "rank_lift": f"""
+        {_RANKED}, {_HOLDERS}, {_RERANKED},
+        b AS ({_metrics_sql(_BY_DOCUMENT, 3)}),
+        a AS ({_metrics_sql("SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS rank FROM reranked GROUP BY query_id, doc_id", 3)})
+        SELECT query_id, {", ".join(f"CAST(round({x} * 10000) - round({y} * 10000) AS BIGINT) AS {n}" for x, y, n in (("a.ndcg", "b.ndcg", "ndcg_lift"), ("a.recall", "b.recall", "recall_lift"), ("a.mrr", "b.mrr", "mrr_lift"), ("b.noise", "a.noise", "noise_reduction")))}
+        FROM a JOIN b USING (query_id)
+    """,
+    "noise_filtering": f"""
+        {_RANKED}, {_HOLDERS}, {_RERANKED},
+        noise AS (SELECT DISTINCT query_id, doc_id FROM sparse ANTI JOIN held USING (query_id, doc_id)),
+        kept AS (SELECT DISTINCT query_id, doc_id, 1 AS kept FROM reranked WHERE rank <= {TOP_K})
+        SELECT query_id, count(*) AS noise_before, count(*) - count(kept) AS filtered, {sql.fixed("(count(*) - count(kept)) / count(*)")} AS rate
+        FROM noise LEFT JOIN kept USING (query_id, doc_id) GROUP BY query_id
+    """,
+    "qa_confidence": f"""
+        {_RANKED}, {_RERANKED},
+        e AS (SELECT query_id, r.score >= 0.32 AS strong, r.score >= 0.32 * 0.8 AS weak, {sql.fixed("len(list_intersect(wanted, terms)) / len(wanted)", 6)} >= 0.51 AS enough FROM reranked r JOIN c USING (doc_id, chunk_index) JOIN q USING (query_id) WHERE rank <= {TOP_K}),
+        n AS (SELECT query_id, count(*) FILTER (strong AND enough) AS s, count(*) FILTER (weak AND enough) AS w FROM e GROUP BY query_id)
+        SELECT query_id, coalesce(s > 0 OR w > 0, false) AS confident, CASE WHEN s > 0 THEN s ELSE coalesce(w, 0) END AS usable, CAST(0 AS BIGINT) AS missing,
+               CASE WHEN s > 0 OR w > 0 THEN NULL ELSE 'low_relevance' END AS failure FROM q LEFT JOIN n USING (query_id)
+    """,
+    "multi_query_merge": f"""
+        WITH parts AS (
+            SELECT item_id AS question_id, unnest([0, 1, 2]) AS sub_query, unnest([text, substring(text, 1, CAST(floor(length(text) / 2) AS INTEGER)), substring(text, CAST(floor(length(text) / 2) AS INTEGER) + 1)]) AS part FROM benchmark
         ),
-        raw AS (SELECT *, least(1, overlap * 0.45 + CAST(hit AS INTEGER) * 0.25 + 0.0 + original / max(original) OVER (PARTITION BY query_id) * 0.1) AS raw FROM signal),
-        again AS (SELECT *, {sql.fixed("least(1, raw / max(raw) OVER (PARTITION BY query_id))", 6)} AS rerank FROM raw),
-        mixed AS (SELECT query_id, doc_id, chunk_index, original, rerank, {sql.fixed("original * 0.4 + rerank * 0.6", 6)} AS score FROM again)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rerank DESC, original DESC, doc_id, chunk_index) AS rank FROM mixed) WHERE rank <= {TOP_K}
+        t AS (SELECT question_id, sub_query, len({sql.term_set("part")}) AS wanted, unnest({sql.term_set("part")}) AS term FROM parts),
+        k AS (
+            SELECT question_id, sub_query, doc_id, {sql.fixed("count(*) / wanted", 6)} AS keyword
+            FROM (SELECT doc_id, unnest({sql.term_set("text")}) AS term FROM documents) JOIN t USING (term) GROUP BY question_id, sub_query, doc_id, wanted
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY question_id, sub_query ORDER BY keyword DESC, doc_id) AS position FROM k QUALIFY position <= {TOP_K}),
+        m AS (SELECT question_id, doc_id, max_by(keyword, (keyword * 3, -sub_query)) AS score, max_by(sub_query, (keyword * 3, -sub_query)) AS from_query, min((sub_query, position)) AS seen FROM r GROUP BY question_id, doc_id)
+        SELECT question_id, doc_id, score, score AS keyword, CAST(from_query AS BIGINT) AS from_query, row_number() OVER (PARTITION BY question_id ORDER BY seen, doc_id) AS place FROM m
     """,
     "minmax_rerank": f"""
         {_RANKED},
