@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import operations, retrieval, text
+from tessera.plans import answers, operations, retrieval, text
 
-_MODULES = [text, retrieval, operations]
+_MODULES = [text, retrieval, answers, operations]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
