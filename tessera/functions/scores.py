@@ -75,7 +75,7 @@ def hash_embedding(terms: Column, size: int = 64) -> Column:
 
 def token_estimate(characters: Column) -> Column:
     """A quarter of the characters, rounded up; 0 for 0, null for null."""
-    return F.when(characters == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(characters / 4)))
+    return F.when(characters == 0, 0).when(characters > 0, F.greatest(F.lit(1), F.ceil(characters / 4)))
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Column) -> Column:

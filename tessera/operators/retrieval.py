@@ -65,10 +65,10 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None
     def compare(block: pa.Table) -> pa.Table:
         is_query = np.asarray(block["is_query"])
         entries, asked = block.filter(pa.array(~is_query)), block.filter(pa.array(is_query))
-        matrix = [units(np.array(side["embedding"].to_pylist(), float).reshape(len(side), -1)) for side in (entries, asked)]
         if not len(entries) or not len(asked):
             return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("vec_id", pa.int64()), *((c, block.schema.field(c).type) for c in extra), ("score", pa.float64()))})
-        scores = rounded(matrix[1] @ matrix[0].T, 4)
+        held, wanted = (units(np.array(side["embedding"].to_pylist(), float)) for side in (entries, asked))
+        scores = rounded(wanted @ held.T, 4)
         ids, query_ids = np.asarray(entries["vec_id"]), np.asarray(asked["query_id"])
         scores[query_ids[:, None] == ids[None, :]] = -np.inf
         q, e = best_of_block(scores, k, np.asarray(entries[by]) if by else None)

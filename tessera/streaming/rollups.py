@@ -38,7 +38,7 @@ def live_sessions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str =
             closed.append(open_)
             state.remove()
         else:
-            times = sorted(t.value // 1_000_000 for batch in batches for t in batch["ts"])
+            times = sorted(t.value // 1_000_000_000 for batch in batches for t in batch["ts"])
             for t in times:
                 if open_ and t - open_[1] >= ttl_seconds:
                     closed.append(open_)
