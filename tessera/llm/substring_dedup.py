@@ -15,9 +15,10 @@ quadratic; so here the windows are matched by joins (see README):
   1. documents with the same words are folded; all but the least id go as a whole;
   2. each window has a fingerprint, the least hash of the n-grams of half its length in it, so
      equal windows have equal fingerprints; only fingerprints of two or more documents go on;
-  3. windows that share a fingerprint form chunks. Chunks of equal words are folded: one that
-     occurs in a smaller document is removed as a whole, whichever way the others go;
-  4. the windows of the distinct chunks left are matched one by one, by 128 bits of hash.
+  3. neighbouring windows of one fingerprint form chunks. Chunks of equal words are folded: one
+     that occurs in a smaller document is removed as a whole;
+  4. where a fingerprint has several distinct chunks, their windows are matched one by one, by 128
+     bits of hash.
 Every step is a join or an aggregation whose partial sums fold hot keys before the shuffle.
 
 Defined results: null and empty texts have no words; texts shorter than a window lose none; null
@@ -234,7 +235,7 @@ def _fingerprints(keyed: DataFrame, min_words: int) -> DataFrame:
 
 
 def _chunks(keyed: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, version, c1, c2 (the chunk's words), window (its first), count, and hashes of its windows."""
+    """doc_id, version, print, c1, c2 (the chunk's words), window (its first), count, and hashes of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -252,12 +253,12 @@ def _chunks(keyed: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
             row = pa.array(windows.row[start])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(row), batch.column(1).take(row), pa.array(c1), pa.array(c2), pa.array(start - first[windows.row[start]]), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(w1)), pa.ListArray.from_arrays(ends, pa.array(w2))],
-                ["doc_id", "version", "c1", "c2", "window", "count", "w1", "w2"],
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(windows.print[start].view(np.int64)), pa.array(c1), pa.array(c2), pa.array(start - first[windows.row[start]]), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(w1)), pa.ListArray.from_arrays(ends, pa.array(w2))],
+                ["doc_id", "version", "print", "c1", "c2", "window", "count", "w1", "w2"],
             )
 
     rows = keyed.join(wanted, ["doc_id", "version"]).select("doc_id", "version", "text", "prints")
-    return rows.mapInArrow(run, "doc_id long, version long, c1 long, c2 long, window long, count long, w1 array<long>, w2 array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, print long, c1 long, c2 long, window long, count long, w1 array<long>, w2 array<long>")
 
 
 def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,15 +272,18 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     each = least.select("doc_id", "version", F.explode("prints").alias("print"))
     shared = each.groupBy("print").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("print")
     wanted = each.join(shared, "print").groupBy("doc_id", "version").agg(F.collect_list("print").alias("prints"))
-    chunks = checkpointed(_chunks(keyed, wanted, min_words).dropDuplicates(["doc_id", "version", "window"]))
-    distinct = chunks.groupBy("c1", "c2").agg(F.min("doc_id").alias("low"))
-    # one copy of each distinct chunk, that of its least document, brings its windows
-    placed = chunks.join(distinct, ["c1", "c2"])
-    firsts = placed.where("doc_id = low").dropDuplicates(["c1", "c2"])
+    chunks = checkpointed(_chunks(keyed, wanted, min_words))
+    distinct = checkpointed(chunks.groupBy("c1", "c2").agg(F.min("doc_id").alias("low"), F.first("print").alias("print")))
+    # equal windows have one fingerprint: where all its chunks are equal, no window is left to match
+    contested = distinct.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    contested = distinct.join(contested, "print").select("c1", "c2", "low")
+    # one copy of each contested chunk, that of its least document, brings its windows
+    firsts = chunks.select("doc_id", "c1", "c2", "w1", "w2").join(contested, ["c1", "c2"]).where("doc_id = low").dropDuplicates(["c1", "c2"])
     windows = firsts.select("c1", "c2", "low", F.posexplode(F.arrays_zip("w1", "w2")).alias("turn", "w")).select("c1", "c2", "low", "turn", "w.w1", "w.w2")
     earliest = windows.groupBy("w1", "w2").agg(F.min("low").alias("earliest"), F.max("low").alias("latest")).where("earliest < latest").select("w1", "w2", "earliest")
     again = windows.join(earliest, ["w1", "w2"]).where("earliest < low").groupBy("c1", "c2").agg(F.collect_list("turn").alias("turns"))
-    found = placed.select("doc_id", "version", "c1", "c2", "window", "count", "low").join(again, ["c1", "c2"], "left")
+    placed = chunks.select("doc_id", "version", "c1", "c2", "window", "count").join(distinct.select("c1", "c2", "low"), ["c1", "c2"])
+    found = placed.join(again, ["c1", "c2"], "left")
     turns = F.when(F.col("low") < F.col("doc_id"), F.sequence(F.lit(0), F.col("count").cast("int") - 1)).otherwise(F.col("turns"))
     found = found.withColumn("turns", turns).where("turns IS NOT NULL")
     starts = F.transform("turns", lambda t: t + F.col("window"))
