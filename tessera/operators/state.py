@@ -120,3 +120,80 @@ def resolve_routes(wanted: DataFrame, candidates: DataFrame, policy: DataFrame)
     )
     status = F.when(F.col("any"), "selected").when(F.col("known") > 0, "blocked").otherwise("not_found")
     return picked.select("workspace", "operation", F.when(F.col("any"), F.col("chosen")).alias("model"), status.alias("status"), "rejected")
+
+
+IDENTITY = ("doc_id", "chunk_index", "page_number", "file_name")
+
+
+def attach_evidence(citations: DataFrame, contexts: DataFrame, by: str = "answer_id") -> DataFrame:
+    """citations with evidence: the text of the first context that fits.
+
+    Both have by, rank and some of IDENTITY; contexts have position and text. Where either has a
+    rank, ranks must agree; else document and chunk; and no identity that both give may differ.
+    """
+    shared = [c for c in IDENTITY if c in citations.columns and c in contexts.columns]
+    numbered = citations.withColumn("citation_no", F.row_number().over(Window.partitionBy(by).orderBy(F.col("rank").isNull(), "rank", *shared)))
+    found = contexts.select(by, F.col("rank").alias("c_rank"), "position", "text", *[F.col(c).alias(f"c_{c}") for c in shared])
+    ranked = numbered.where("rank IS NOT NULL").join(found.where("c_rank IS NOT NULL"), by).where("rank = c_rank")
+    both = numbered.where("rank IS NULL").join(found.where("c_rank IS NULL"), by).where("doc_id = c_doc_id AND chunk_index = c_chunk_index") if {"doc_id", "chunk_index"} <= set(shared) else None
+    met = ranked if both is None else ranked.unionByName(both)
+    for c in shared:
+        met = met.where(F.col(c).isNull() | F.col(f"c_{c}").isNull() | (F.col(c) == F.col(f"c_{c}")))
+    first = met.groupBy(by, "citation_no").agg(F.min_by("text", "position").alias("evidence"))
+    return numbered.join(first, [by, "citation_no"], "left")
+
+
+def changed_rows(before: DataFrame, after: DataFrame, keys: tuple[str, ...], watched: tuple[str, ...]) -> DataFrame:
+    """keys of rows in both snapshots in which a watched column is distinct (nulls compared)."""
+    old = before.select(*keys, *[F.col(c).alias(f"old_{c}") for c in watched])
+    differs = F.lit(False)
+    for c in watched:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
+    return after.select(*keys, *watched).join(old, list(keys)).where(differs).select(*keys)
+
+
+def match_duplicates(arrivals: DataFrame, existing: DataFrame, keys: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+    """arrivals' ids with the least existing id that agrees in the first of the keys to match, and
+    the name of that key. A null key matches nothing. Each key of existing is folded to one id
+    before it is joined, so a value that many rows share costs one."""
+    rows = arrivals.select(id_col, *keys)
+    for k in keys:
+        folded = existing.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(id_col).alias(f"by_{k}"))
+        rows = rows.join(folded, k, "left")
+    which = F.coalesce(*[F.when(F.col(f"by_{k}").isNotNull(), F.lit(k)) for k in keys])
+    return rows.select(id_col, F.coalesce(*[f"by_{k}" for k in keys]).alias("match_id"), which.alias("matched_by"))
+
+
+def citations_by_document(citations: DataFrame, by: str = "query_id") -> DataFrame:
+    """by, doc_id, citations, places (distinct, ascending, joined by commas)."""
+    places = F.array_join(F.transform(F.array_sort(F.collect_set("chunk_index")), lambda p: p.cast("string")), ",")
+    return citations.groupBy(by, "doc_id").agg(F.count(F.lit(1)).alias("citations"), places.alias("places"))
+
+
+def within_budget(steps: DataFrame, limit: int, by: str = "run_id", order: str = "seq", counted: Column | None = None) -> DataFrame:
+    """The steps whose running count of counted steps stays within the limit."""
+    n = F.sum((counted if counted is not None else F.lit(True)).cast("int")).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return steps.withColumn("used", n).where(F.col("used") <= limit)
+
+
+def recoverable_steps(steps: DataFrame, safe_types: list[str]) -> DataFrame:
+    """run_id, reason, step: the first paused, pending or running step of a safe type, unless an
+    approval is open. steps: run_id, seq, type, status."""
+    open_ = F.col("status").isin("paused", "pending", "running")
+    gate = F.bool_or(open_ & (F.col("type") == "approval_gate"))
+    safe = open_ & F.col("type").isin(safe_types)
+    rows = steps.groupBy("run_id").agg(gate.alias("gate"), F.min(F.when(safe, F.col("seq"))).alias("first_safe"), F.bool_or(open_).alias("any"))
+    reason = F.when(F.col("gate"), "pending_approval_gate").when(F.col("first_safe").isNotNull(), "safe_step_ready").when(F.col("any"), "unsafe_step_type").otherwise("no_safe_recoverable_step")
+    return rows.select("run_id", reason.alias("reason"), F.when(~F.col("gate"), F.col("first_safe")).alias("step"))
+
+
+def rank_experience(notes: DataFrame, question: str, least: float = 0.45, limit: int = 6) -> DataFrame:
+    """owner, note_id, weight, place: shared terms of the question plus the note's confidence."""
+    from tessera.functions.scores import fixed, keyword_score
+    from tessera.functions.text import term_set
+
+    share = F.coalesce(keyword_score(term_set(F.lit(question)), term_set(F.col("text"))), F.lit(0.0))
+    rows = notes.where(F.col("confidence") >= least).select("owner", "note_id", share.alias("share"), "confidence").where("share > 0")
+    rows = rows.select("owner", "note_id", fixed(F.col("share") + F.col("confidence"), 6).alias("weight"))
+    order = Window.partitionBy("owner").orderBy(F.desc("weight"), "note_id")
+    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
