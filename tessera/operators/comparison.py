@@ -128,3 +128,38 @@ def source_bundle(results: DataFrame, documents: int, group: str = "group_id", t
     order = Window.partitionBy(group).orderBy("role", F.desc("value"), "doc_id")
     chosen = best.unionByName(extra).withColumn("source_rank", F.row_number().over(order))
     return chosen.where(F.col("source_rank") <= min(8, 2 * documents)).select(group, "source_rank", "doc_id", "chunk_index", "role")
+
+
+def entailment(evidence: DataFrame, group: str = "group_id", text_col: str = "text") -> DataFrame:
+    """group, left_doc, right_doc, left_by_right, right_by_left: every sentence of one is supported
+    by the other, as a claim by its source. evidence: group, doc_id, text."""
+    from tessera.operators.verify import check_claims, claims
+
+    docs = evidence.where(F.col(text_col).isNotNull())
+    pairs = docs.select(group, F.col("doc_id").alias("said"), F.col(text_col).alias("said_text")).join(docs.select(group, F.col("doc_id").alias("source"), F.col(text_col).alias("source_text")), group).where("said <> source")
+    pairs = pairs.withColumn("answer_id", F.concat_ws("|", group, "said", "source"))
+    found = claims(pairs.select("answer_id", F.col("said_text").alias("text")))
+    checked = check_claims(found, pairs.select("answer_id", F.lit(1).alias("rank"), F.col("source").alias("doc_id"), F.col("source_text").alias("text")))
+    whole = checked.groupBy("answer_id").agg(F.bool_and("supported").alias("entailed"))
+    rows = pairs.select(group, "said", "source", "answer_id").join(whole, "answer_id", "left").withColumn("entailed", F.coalesce("entailed", F.lit(False)))
+    left, right = F.least("said", "source"), F.greatest("said", "source")
+    return rows.groupBy(group, left.alias("left_doc"), right.alias("right_doc")).agg(
+        F.bool_or((F.col("said") < F.col("source")) & F.col("entailed")).alias("left_by_right"), F.bool_or((F.col("said") > F.col("source")) & F.col("entailed")).alias("right_by_left")
+    )
+
+
+def diagnostics(pairs: DataFrame, group: str = "group_id") -> DataFrame:
+    """group, left_doc, right_doc, line: what an analysis found about a pair, in words."""
+    verdict = F.when(F.col("explicit_conflict"), "explicit conflict").when(F.col("exact_match"), "same evidence").when(F.col("strong_near_duplicate"), "strong near-duplicate").when(F.col("near_duplicate"), "near-duplicate").otherwise("different evidence")
+    numbers = F.concat_ws("; ", F.when(F.col("only_left") != "", F.concat(F.lit("only left: "), "only_left")), F.when(F.col("only_right") != "", F.concat(F.lit("only right: "), "only_right")))
+    line = F.concat_ws("; ", verdict, F.format_string("term Jaccard %.4f", "term_jaccard"), F.format_string("sentence overlap %.4f", "sentence_overlap"), F.nullif(numbers, F.lit("")))
+    return pairs.select(group, "left_doc", "right_doc", line.alias("line"))
+
+
+def comparison_answers(verdict: DataFrame, pairs: DataFrame, group: str = "group_id") -> DataFrame:
+    """group, text: a grounded sentence for each group: no difference, conflicts, or neither."""
+    conflicts = pairs.where("explicit_conflict").select(group, F.struct("left_doc", "right_doc", F.concat(F.lit("Documents "), "left_doc", F.lit(" and "), "right_doc", F.lit(" conflict"), F.when((F.col("only_left") != "") | (F.col("only_right") != ""), F.concat(F.lit(" ("), F.coalesce(F.nullif("only_left", F.lit("")), F.lit("none")), F.lit(" against "), F.coalesce(F.nullif("only_right", F.lit("")), F.lit("none")), F.lit(")"))).otherwise(""), F.lit(".")).alias("s")).alias("c"))
+    said = conflicts.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["s"]), " ").alias("said"))
+    rows = verdict.join(said, group, "left")
+    text = F.when(F.col("no_difference"), F.lit("The documents show no material difference.")).when(F.col("said").isNotNull(), F.col("said")).when(F.col("missing") > 0, F.lit("Some documents gave no evidence to compare.")).otherwise("The evidence differs without an explicit conflict.")
+    return rows.select(group, text.alias("text"))

@@ -118,3 +118,10 @@ def feedback_cases(feedback: DataFrame) -> DataFrame:
     each = rows.select("question", "kind", F.explode_outer("doc_ids").alias("doc_id"))
     listed = each.groupBy("question", "kind").agg(F.array_join(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))), ",").alias("documents"))
     return counted.join(listed, ["question", "kind"])
+
+
+def reference_contexts(expected: DataFrame, pages: DataFrame) -> DataFrame:
+    """case_id, doc_key, page_number, text: the expected pages; all of a document's where none is named."""
+    named = expected.where("page_number IS NOT NULL").join(pages, ["doc_key", "page_number"])
+    whole = expected.where("page_number IS NULL").drop("page_number").join(pages, "doc_key")
+    return named.select("case_id", "doc_key", "page_number", "text").unionByName(whole.select("case_id", "doc_key", "page_number", "text")).distinct()

@@ -71,3 +71,14 @@ def latest_baseline(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = events.withColumns({"same": last("profile", "corpus"), "by_corpus": last("corpus"), "by_profile": last("profile")}).where("run_id IS NOT NULL")
     strategy = F.when(F.col("same").isNotNull(), "profile_and_corpus").when(F.col("by_corpus").isNotNull(), "corpus").when(F.col("by_profile").isNotNull(), "profile").otherwise("none")
     return rows.select("run_id", F.coalesce("same", "by_corpus", "by_profile").alias("baseline_id"), strategy.alias("strategy"))
+
+
+def threshold_gate(metrics: DataFrame, limits: list[tuple[str, str, float, str]]) -> DataFrame:
+    """metric, value, status of one row of metrics against limits (metric, "min" or "max", bound,
+    status if broken); unknown where the metric is null."""
+    checks = []
+    for metric, kind, bound, broken in limits:
+        value = F.col(metric).cast("double")
+        bad = value < bound if kind == "min" else value > bound
+        checks.append(F.struct(F.lit(metric).alias("metric"), value.alias("value"), F.when(value.isNull(), "unknown").when(bad, broken).otherwise("pass").alias("status")))
+    return metrics.select(F.explode(F.array(*checks)).alias("c")).select("c.*")

@@ -85,3 +85,12 @@ def sweep_score(metrics: DataFrame, by: str = "variant") -> DataFrame:
     means = metrics.groupBy(by).agg(F.count(F.lit(1)).alias("queries"), *[fixed(F.avg(c)).alias(c) for c in ("ndcg", "recall", "mrr", "precision")], fixed(F.avg(1 - F.col("noise"))).alias("quiet"))
     total = sum((F.coalesce(F.col(c), F.lit(0.0)) * w for c, w in SWEEP_WEIGHTS.items()), F.lit(0.0))
     return means.select(by, "queries", fixed(total, 3).alias("score"))
+
+
+def sweep_variants(spark, **choices: list) -> DataFrame:
+    """variant, and a column for each parameter: every combination of a few choices."""
+    import itertools
+
+    names = list(choices)
+    rows = [("_".join(f"{n}={v}" for n, v in zip(names, values)), *values) for values in itertools.product(*choices.values())]
+    return spark.createDataFrame(rows, ["variant", *names])

@@ -197,3 +197,94 @@ def rank_experience(notes: DataFrame, question: str, least: float = 0.45, limit:
     rows = rows.select("owner", "note_id", fixed(F.col("share") + F.col("confidence"), 6).alias("weight"))
     order = Window.partitionBy("owner").orderBy(F.desc("weight"), "note_id")
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def expired_uploads(parts: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """upload_id of uploads whose newest part is older than so many hours. parts: upload_id, modified."""
+    newest = parts.groupBy("upload_id").agg(F.max("modified").alias("newest"))
+    return newest.where(F.col("newest") < now - F.expr(f"INTERVAL {hours} HOURS")).select("upload_id")
+
+
+def retained(rows: DataFrame, now: Column, days: int = 90, created: str = "created_at") -> DataFrame:
+    """Rows not older than so many days; rows without a time stay."""
+    return rows.where(F.col(created).isNull() | (F.col(created) >= now - F.expr(f"INTERVAL {days} DAYS")))
+
+
+def compare_and_set(stored: DataFrame, changes: DataFrame, key: str = "run_id") -> DataFrame:
+    """key, revision, applied of each change (key, expected_revision): it applies if the stored
+    revision is the expected one (a missing row counts 0), and then raises it by one. Of several
+    changes with one key and expectation the first by change_id applies."""
+    turn = F.row_number().over(Window.partitionBy(key, "expected_revision").orderBy("change_id"))
+    rows = changes.withColumn("turn", turn).join(stored.select(key, F.col("revision").alias("held")), key, "left")
+    held = F.coalesce("held", F.lit(0))
+    applied = (held == F.col("expected_revision")) & (F.col("turn") == 1)
+    return rows.select(key, "change_id", applied.alias("applied"), (held + applied.cast("int")).alias("revision"))
+
+
+def upsert_memories(stored: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """note_id touched or null for a new note, for each arrival: matched by (owner, category, key),
+    else by (owner, category, text), among notes that are not archived.
+
+    stored: note_id, owner, category, key, text, archived. arrivals: arrival_id and the same.
+    """
+    live = stored.where(~F.coalesce("archived", F.lit(False)))
+    by_key = live.where("key IS NOT NULL").groupBy("owner", "category", "key").agg(F.min("note_id").alias("k"))
+    by_text = live.groupBy("owner", "category", "text").agg(F.min("note_id").alias("t"))
+    rows = arrivals.join(by_key, ["owner", "category", "key"], "left").join(by_text, ["owner", "category", "text"], "left")
+    return rows.select("arrival_id", F.coalesce("k", "t").alias("note_id"), F.coalesce("k", "t").isNull().alias("is_new"))
+
+
+def compare_batches(batches: DataFrame, selected: DataFrame, most: int = 5) -> DataFrame:
+    """query_id, batch_no, doc_ids: the first batches of two or more documents, else all selected as one.
+
+    batches: query_id, batch_no, doc_ids. selected: query_id, doc_ids.
+    """
+    order = Window.partitionBy("query_id").orderBy("batch_no")
+    good = batches.withColumn("doc_ids", F.array_distinct("doc_ids")).where(F.size("doc_ids") >= 2).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+    single = selected.join(good.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(1).alias("turn"), F.array_distinct("doc_ids").alias("doc_ids"))
+    return good.select("query_id", "turn", "doc_ids").unionByName(single).withColumnRenamed("turn", "batch_no")
+
+
+def claim_states(tasks: DataFrame, now: Column) -> DataFrame:
+    """task_id, state (claimable, waiting, leased, done), wait_ms: how long until a task may be claimed.
+
+    tasks: task_id, status, due_at, lease_until.
+    """
+    until = F.when(F.col("status") == "queued", F.col("due_at")).when(F.col("status") == "running", F.col("lease_until"))
+    ms = F.greatest(F.lit(0), F.ceil((F.unix_micros(until.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 1000)).cast("long")
+    open_ = F.col("status").isin("queued", "running")
+    rows = tasks.withColumn("wait_ms", F.when(open_, F.coalesce(ms, F.lit(0))))
+    kind = F.when(~open_, "done").when(F.col("wait_ms") == 0, "claimable").when(F.col("status") == "queued", "waiting").otherwise("leased")
+    return rows.select("task_id", kind.alias("state"), "wait_ms")
+
+
+# How a user asks for a language, a length, or that something be kept.
+ASKS_CHINESE = r"(?i)\b(?:reply|answer|respond)\s+in\s+chinese\b|用中文|中文回答|中文回复"
+ASKS_ENGLISH = r"(?i)\b(?:reply|answer|respond)\s+in\s+english\b|用英文|英文回答|英文回复"
+ASKS_SHORT = r"(?i)\b(?:concise|brief|short)\s+(?:answers?|repl(?:y|ies)|responses?)\b|\bkeep\s+(?:it|answers?)\s+(?:short|brief|concise)\b|简洁|简短"
+ASKS_LONG = r"(?i)\b(?:detailed|thorough)\s+(?:answers?|repl(?:y|ies)|responses?)\b|\bin\s+detail\b|详细"
+REMEMBER = r"(?i)(?:\bremember(?:\s+that)?\s+|(?:请)?记住[:：\s]*)(.+)$"
+
+
+def memory_candidates(messages: DataFrame, least: int = 6) -> DataFrame:
+    """owner, message_id, category, key, value: preferences a message states, and notes to keep.
+
+    messages: owner, message_id, text. A note shorter than `least`, or that only states a
+    preference, is none.
+    """
+    tidy = F.trim(F.regexp_replace("text", r"\s+", " "))
+    one = lambda when, category, key, value: F.when(when, F.struct(F.lit(category).alias("category"), F.lit(key).alias("key"), value.alias("value")))
+    note = F.trim(F.regexp_extract("tidy", REMEMBER, 1))
+    preference = lambda t: t.rlike(ASKS_CHINESE) | t.rlike(ASKS_ENGLISH) | t.rlike(ASKS_SHORT) | t.rlike(ASKS_LONG)
+    t = F.col("tidy")
+    found = F.array_compact(
+        F.array(
+            one(t.rlike(ASKS_CHINESE), "preference", "reply_language", F.lit("zh")),
+            one(t.rlike(ASKS_ENGLISH), "preference", "reply_language", F.lit("en")),
+            one(t.rlike(ASKS_SHORT), "preference", "answer_style", F.lit("concise")),
+            one(t.rlike(ASKS_LONG), "preference", "answer_style", F.lit("detailed")),
+            one((F.length(note) >= least) & ~preference(note), "note", None, note),
+        )
+    )
+    rows = messages.where("text IS NOT NULL").select("owner", "message_id", tidy.alias("tidy"))
+    return rows.select("owner", "message_id", F.explode(found).alias("m")).select("owner", "message_id", "m.category", "m.key", "m.value")

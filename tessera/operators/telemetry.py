@@ -78,3 +78,14 @@ def feedback_failures(feedback: DataFrame, limit: int = 12) -> DataFrame:
     examples = first.groupBy("skill").agg(F.array_join(F.transform(F.array_sort(F.collect_list("feedback_id")), lambda i: i.cast("string")), ",").alias("examples"))
     counted = feedback.groupBy("skill").agg(F.count(F.lit(1)).alias("failures"), F.count_distinct("kind").alias("kinds"))
     return counted.join(examples, "skill")
+
+
+# Event types of a run's life, by the counter they feed.
+RECOVERY_EVENTS = {"recoveries": ["recovery_started"], "recovered": ["recovery_completed"], "failed_recoveries": ["recovery_failed"], "manual": ["manual_recovery"], "replays": ["step_replayed", "run_replayed"]}
+
+
+def recovery_counters(events: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, runs, a counter for each of RECOVERY_EVENTS, recovery_rate. events: run_id, type."""
+    counters = [F.count_if(F.col("type").isin(kinds)).alias(name) for name, kinds in RECOVERY_EVENTS.items()]
+    sums = events.groupBy(*by).agg(F.count_distinct("run_id").alias("runs"), *counters)
+    return sums.withColumn("recovery_rate", ratio(F.col("recovered"), F.col("recoveries")))

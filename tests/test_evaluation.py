@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, questions, state
+from tessera.operators import comparison, evaluation, gates, metrics, questions, state, telemetry, verify
 from tessera.sources import store
 
 
@@ -160,3 +160,85 @@ def test_ingest_is_all_or_nothing(spark, tmp_path):
     assert store.current(spark, path).count() == 3
     assert store.ingest(spark, spark.createDataFrame([(1, 0, "A")], schema), path) == 1
     assert rows(store.current(spark, path), "doc_id", "chunk_text") == [(1, "A"), (2, "c")]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("at least 5 days", ["gte:5"]), ("no fewer than 1,000", ["gte:1000"]), ("no more than 5.0", ["lte:5"]), ("more than 3", ["gt:3"]), ("fewer than 7", ["lt:7"]),
+        ("between 2 and 4 weeks", ["range:2:4"]), ("3 to 5 days", ["range:3:5"]), ("outside 3-5", ["outside:3:5"]), ("10 or more", ["gte:10"]), ("10 days or less", ["lte:10"]),
+        ("about 50%", ["approx:50"]), ("exactly $20", ["eq:20"]), (">= 5 and < 9", ["gte:5", "lt:9"]), ("within 30 days", ["within:30"]), ("± 2", ["plusminus:2"]), ("不超过 8 天", ["lte:8"]),
+        ("on 2024-01-05", []), ("plain 5 days", []), ("", []),
+    ],
+)
+def test_constraints(spark, given, want):
+    assert spark.createDataFrame([(given,)], "t string").select(verify.constraints(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(("claim", "want"), [("Trips take at least 5 days", True), ("Trips take at most 5 days", False), ("Trips take more than 5 days", False)])
+def test_constraints_decide_support(spark, claim, want):
+    found = verify.claims(spark.createDataFrame([(1, claim)], "answer_id int, text string"))
+    sources = spark.createDataFrame([(1, 1, 7, "Trips take at least 5 days.")], "answer_id int, rank int, doc_id int, text string")
+    assert verify.check_claims(found, sources).first()["supported"] is want
+
+
+def test_entailment_and_answers(spark):
+    a, b = "Trips need approval. Meals cost 50 dollars.", "Meals cost 50 dollars. Trips need approval. Hotels are booked early."
+    evidence = spark.createDataFrame([(1, 1, a), (1, 2, b), (2, 1, a), (2, 3, None)], "group_id int, doc_id int, text string")
+    assert [tuple(r) for r in comparison.entailment(evidence).collect()] == [(1, 1, 2, True, False)]
+    base = "Staff book travel early. The limit is 50 dollars. Managers approve trips. Receipts are kept for years."
+    texts = spark.createDataFrame([(1, 1, base), (1, 2, base.replace("50", "75")), (2, 1, base), (2, 2, base)], "group_id int, doc_id int, text string")
+    pairs = comparison.analyse_pairs(comparison.evidence_features(texts))
+    lines = {r["group_id"]: r["line"] for r in comparison.diagnostics(pairs).collect()}
+    assert lines[1].startswith("explicit conflict; term Jaccard") and lines[1].endswith("only left: 50; only right: 75") and lines[2].startswith("same evidence")
+    chosen = texts.select("group_id", "doc_id", F.lit(1).alias("results"))
+    said = {r["group_id"]: r["text"] for r in comparison.comparison_answers(comparison.verdicts(pairs, chosen), pairs).collect()}
+    assert said == {1: "Documents 1 and 2 conflict (50 against 75).", 2: "The documents show no material difference."}
+
+
+def test_threshold_gate_and_counters(spark):
+    row = spark.createDataFrame([(0.5, None, 3.0)], "a double, b double, c double")
+    assert rows(gates.threshold_gate(row, [("a", "min", 0.6, "fail"), ("b", "max", 1, "fail"), ("c", "max", 2, "warn"), ("c", "min", 2, "fail")]), "metric", "status") == [("a", "fail"), ("b", "unknown"), ("c", "pass"), ("c", "warn")]
+    events = spark.createDataFrame([(1, "recovery_started"), (1, "recovery_completed"), (2, "recovery_started"), (2, "step_replayed")], "run_id int, type string")
+    out = telemetry.recovery_counters(events).first()
+    assert (out["runs"], out["recoveries"], out["recovered"], out["replays"], out["recovery_rate"]) == (2, 2, 1, 1, 0.5)
+    assert metrics.sweep_variants(spark, k=[1, 2], w=[0.5]).count() == 2
+
+
+def test_reference_contexts(spark):
+    pages = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z")], "doc_key string, page_number int, text string")
+    expected = spark.createDataFrame([(1, "a", 2), (2, "a", None), (3, "c", 1)], "case_id int, doc_key string, page_number int")
+    assert rows(evaluation.reference_contexts(expected, pages), "case_id", "text") == [(1, "y"), (2, "x"), (2, "y")]
+
+
+def test_times_and_revisions(spark):
+    from datetime import datetime
+
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    now = F.lit("2024-01-10 00:00:00").cast("timestamp")
+    parts = spark.createDataFrame([("u", day(8)), ("u", day(9, 12)), ("v", day(8))], "upload_id string, modified timestamp")
+    assert rows(state.expired_uploads(parts, now), "upload_id") == [("v",)]
+    audit = spark.createDataFrame([(1, datetime(2023, 1, 1)), (2, day(9)), (3, None)], "id int, created_at timestamp")
+    assert rows(state.retained(audit, now), "id") == [(2,), (3,)]
+    stored = spark.createDataFrame([("a", 3)], "run_id string, revision int")
+    changes = spark.createDataFrame([("a", 1, 3), ("a", 2, 3), ("a", 3, 2), ("b", 4, 0)], "run_id string, change_id int, expected_revision int")
+    assert rows(state.compare_and_set(stored, changes), "change_id", "applied", "revision") == [(1, True, 4), (2, False, 3), (3, False, 3), (4, True, 1)]
+    tasks = spark.createDataFrame([(1, "queued", None, None), (2, "queued", day(11), None), (3, "running", None, day(9)), (4, "running", None, day(10, 1)), (5, "completed", None, None)], "task_id int, status string, due_at timestamp, lease_until timestamp")
+    want = [(1, "claimable", 0), (2, "waiting", 86_400_000), (3, "claimable", 0), (4, "leased", 3_600_000), (5, "done", None)]
+    assert rows(state.claim_states(tasks, now), "task_id", "state", "wait_ms") == want
+
+
+def test_memories(spark):
+    messages = spark.createDataFrame([("u", 1, "Please answer in English and keep it short."), ("u", 2, "Remember that the budget code is Q4"), ("u", 3, "remember to reply in Chinese"), ("u", 4, None), ("u", 5, "记住：周五提交报告")], "owner string, message_id int, text string")
+    out = rows(state.memory_candidates(messages), "message_id", "category", "key", "value")
+    assert out == sorted([(1, "preference", "reply_language", "en"), (1, "preference", "answer_style", "concise"), (2, "note", None, "the budget code is Q4"), (3, "preference", "reply_language", "zh"), (5, "note", None, "周五提交报告")], key=str)
+    schema = "owner string, category string, key string, text string"
+    stored = spark.createDataFrame([(1, "u", "p", "lang", "en", False), (2, "u", "n", None, "note", False), (3, "u", "n", None, "old", True)], f"note_id int, {schema}, archived boolean")
+    arrivals = spark.createDataFrame([(10, "u", "p", "lang", "zh"), (11, "u", "n", None, "note"), (12, "u", "n", None, "old"), (13, "v", "n", None, "note")], f"arrival_id int, {schema}")
+    assert rows(state.upsert_memories(stored, arrivals), "arrival_id", "note_id", "is_new") == [(10, 1, False), (11, 2, False), (12, None, True), (13, None, True)]
+
+
+def test_compare_batches(spark):
+    batches = spark.createDataFrame([(1, 1, [1, 1]), (1, 2, [1, 2]), (2, 1, [3])], "query_id int, batch_no int, doc_ids array<int>")
+    selected = spark.createDataFrame([(1, [1, 2, 3]), (2, [3, 4])], "query_id int, doc_ids array<int>")
+    assert rows(state.compare_batches(batches, selected), "query_id", "batch_no", "doc_ids") == [(1, 1, [1, 2]), (2, 1, [3, 4])]
