@@ -32,7 +32,8 @@ def strip(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    for pattern, by in (("[\\x00\\r]", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
+    text = F.translate(text, "\x00\r", "")
+    for pattern, by in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")):
         text = F.regexp_replace(text, pattern, by)
     return strip(text)
 
@@ -156,3 +157,14 @@ def html_text(html: Column) -> Column:
     for name, by in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(by))
     return strip(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+
+
+def unnest(rows, keys: list, array: Column, name: str):
+    """keys and one row per element. A plain explode makes Spark compute the array a second time, to
+    drop empty ones early; where the array is costly, the nulls of an outer one are dropped instead."""
+    return rows.select(*keys, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def unnest_numbered(rows, keys: list, array: Column, place: str, name: str):
+    """unnest with the element's place, from 0."""
+    return rows.select(*keys, F.posexplode_outer(array).alias(place, name)).where(F.col(name).isNotNull())

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import is_heading, normalize_whitespace, paragraphs, strip
+from tessera.functions.text import is_heading, normalize_whitespace, paragraphs, strip, unnest_numbered
 
 SIZE, OVERLAP = 900, 180
 
@@ -25,7 +25,7 @@ def fixed_windows(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, ke
     starts = F.filter(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0)), F.lit(step)), lambda s: (s == 0) | (s + (size - step) < length))
     cut = F.filter(F.transform(starts, lambda s: strip(F.substring(F.col("body"), s + 1, F.lit(size)))), lambda c: c != "")
     rows = pages.where(F.col(text_col).isNotNull()).select(*keys, body.alias("body"))
-    return rows.select(*keys, F.posexplode(cut).alias("chunk_index", "chunk_text"))
+    return unnest_numbered(rows, list(keys), cut, "chunk_index", "chunk_text")
 
 
 def number_across_pages(chunks: DataFrame, doc_col: str = "doc_id", page_col: str = "page_number") -> DataFrame:
@@ -40,7 +40,7 @@ def section_lines(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col
     """keys, line_number, line, is_heading, section: each line with the heading it stands under."""
     from pyspark.sql import Window
 
-    rows = docs.where(F.col(text_col).isNotNull()).select(*keys, F.posexplode(paragraphs(F.col(text_col))).alias("line_number", "line"))
+    rows = unnest_numbered(docs.where(F.col(text_col).isNotNull()), list(keys), paragraphs(F.col(text_col)), "line_number", "line")
     rows = rows.withColumn("is_heading", is_heading(F.col("line")))
     before = Window.partitionBy(*keys).orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("section", F.last(F.when(F.col("is_heading"), F.col("line")), ignorenulls=True).over(before))

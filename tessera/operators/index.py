@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import bm25_idf, bm25_weight, fixed
-from tessera.functions.text import term_set, terms
+from tessera.functions.text import term_set, terms, unnest
 
 
 def with_terms(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
@@ -16,7 +18,7 @@ def with_terms(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
 
 def document_frequency(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
     """term, df over chunks. A term is counted once a chunk before the shuffle."""
-    return chunks.select(F.explode(term_set(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return unnest(chunks, [], term_set(F.col(text_col)), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_statistics(chunks: DataFrame, text_col: str = "chunk_text") -> DataFrame:
@@ -27,7 +29,20 @@ def corpus_statistics(chunks: DataFrame, text_col: str = "chunk_text") -> DataFr
 
 def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
     """query_id, term: distinct meaningful terms of each query."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(term_set(F.col(text_col))).alias("term"))
+    return unnest(queries, [F.col(id_col).alias("query_id")], term_set(F.col(text_col)), "term")
+
+
+#: Tables of query terms up to so many rows are broadcast; larger ones are joined by shuffles.
+FEW_ROWS = 200_000
+
+
+def few_rows(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """broadcast for tables that are no longer than asked, if that is short; else nothing.
+
+    Left alone, adaptive execution may broadcast the postings and run the join in the one task
+    that holds the terms.
+    """
+    return F.broadcast if asked.limit(FEW_ROWS + 1).count() <= FEW_ROWS else lambda table: table
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
@@ -38,14 +53,15 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
     """
     statistics = corpus_statistics(chunks, text_col)
     asked = query_terms(queries)
+    small = few_rows(asked)
     wanted = asked.select("term").distinct()
-    counted = chunks.select(*keys, terms(F.col(text_col)).alias("terms")).select(*keys, F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    counted = counted.join(wanted, "term", "left_semi")
+    counted = unnest(chunks.select(*keys, terms(F.col(text_col)).alias("terms")), [*keys, F.size("terms").alias("length")], F.col("terms"), "term")
+    counted = counted.join(small(wanted), "term", "left_semi")
     postings = counted.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = frequency.join(F.broadcast(statistics)).select("term", bm25_idf(F.col("n"), F.col("df")).alias("idf"), "mean_length")
-    weighed = postings.join(idf, "term").select(*keys, "term", bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
-    return weighed.join(asked, "term").groupBy("query_id", *keys).agg(fixed(F.sum("weight"), 6).alias("score"))
+    weighed = postings.join(small(idf), "term").select(*keys, "term", bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
+    return weighed.join(small(asked), "term").groupBy("query_id", *keys).agg(fixed(F.sum("weight"), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), ties: tuple[str, ...] = ("doc_id", "chunk_index"), score: str = "score") -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ENTITY, TAG_STOP_WORDS, normalize_whitespace, sentences, terms
+from tessera.functions.text import ENTITY, TAG_STOP_WORDS, normalize_whitespace, sentences, terms, unnest, unnest_numbered
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, term, tf, first_position (from 1, over meaningful tokens)."""
-    each = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(terms(F.col(text_col))).alias("p", "term"))
+    each = unnest_numbered(docs, [F.col(id_col).alias("doc_id")], terms(F.col(text_col)), "p", "term")
     return each.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), (F.min("p") + 1).alias("first_position"))
 
 
@@ -31,7 +31,7 @@ def tags(docs: DataFrame, limit: int = 12, id_col: str = "doc_id", text_col: str
 def entities(docs: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, entity_rank, entity, n: runs of capitalised words and acronyms, by count and name."""
     found = F.transform(F.regexp_extract_all(text_col, F.lit(f"({ENTITY})"), F.lit(1)), normalize_whitespace)
-    each = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.filter(found, lambda e: F.length(e) >= 3)).alias("entity"))
+    each = unnest(docs, [F.col(id_col).alias("doc_id")], F.filter(found, lambda e: F.length(e) >= 3), "entity")
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "entity")
     counted = each.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("entity_rank", F.row_number().over(order)).where(F.col("entity_rank") <= limit).select("doc_id", "entity_rank", "entity", "n")

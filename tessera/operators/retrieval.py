@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import clamp01, fixed, keyword_score
-from tessera.functions.text import anchors, matches_anchor, normalize_search, term_set
-from tessera.operators.index import query_terms, top_k
+from tessera.functions.text import anchors, matches_anchor, normalize_search, term_set, unnest
+from tessera.operators.index import few_rows, query_terms, top_k
 
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.65, 0.35
 MIN_SCORE, MIN_COVERAGE, FALLBACK = 0.32, 0.51, 0.8
@@ -131,10 +131,11 @@ def keyword_scores(entries: DataFrame, queries: DataFrame, keys: tuple[str, ...]
     An inverted index: entries are matched by term, never query by query.
     """
     asked = query_terms(queries)
+    small = few_rows(asked)
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    held = entries.select(*keys, F.explode(term_set(F.col(text_col))).alias("term"))
-    hits = held.join(asked, "term").groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("found"))
-    return hits.join(sizes, "query_id").select("query_id", *keys, fixed(F.col("found") / F.col("wanted"), 6).alias("keyword"))
+    held = unnest(entries, list(keys), term_set(F.col(text_col)), "term")
+    hits = held.join(small(asked), "term").groupBy("query_id", *keys).agg(F.count(F.lit(1)).alias("found"))
+    return hits.join(small(sizes), "query_id").select("query_id", *keys, fixed(F.col("found") / F.col("wanted"), 6).alias("keyword"))
 
 
 def weighted_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...], dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:

@@ -12,8 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Inputs below this size are dealt out before text work; larger ones have row groups enough.
+SMALL_BYTES = 256 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Small inputs over all cores: a file of one row group is one task however it is split, and
+    text work on it would run alone. Larger inputs stay as they are read, without a shuffle."""
+    spark = rows.sparkSession
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
