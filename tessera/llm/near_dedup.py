@@ -327,4 +327,18 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_near_dedup": op4_near_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_near_dedup": r"""
+        WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        grams AS MATERIALIZED (
+            SELECT DISTINCT doc_id, md5(array_to_string(words[k : k + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS k FROM d WHERE len(words) > 0)
+        ),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS MATERIALIZED (SELECT x, y FROM common JOIN sizes sx ON x = sx.doc_id JOIN sizes sy ON y = sy.doc_id WHERE k >= 0.8 * (sx.n + sy.n - k)),
+        edges AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, y FROM reach JOIN edges ON r = x),
+        classes AS (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY doc_id)
+        SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM classes
+    """
+}

@@ -357,4 +357,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_substring_dedup": op2_substring_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_substring_dedup": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+        windows AS MATERIALIZED (
+            SELECT doc_id, k, md5(array_to_string(words[k : k + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 48, 1))) AS k FROM d)
+        ),
+        earliest AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+        again AS (SELECT DISTINCT doc_id, k FROM windows JOIN earliest USING (h) WHERE low < doc_id),
+        each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS k FROM d),
+        flagged AS (
+            SELECT doc_id, each.k, word, max(CASE WHEN again.k IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY each.k ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+            FROM each LEFT JOIN again USING (doc_id, k)
+        ),
+        kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY k) FILTER (gone = 0) AS kept FROM flagged GROUP BY doc_id)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+    """
+}
