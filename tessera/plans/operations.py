@@ -119,6 +119,47 @@ def claimable_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.claimable(tasks, at(NOW))
 
 
+def event_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as tasks, as in claimable_tasks."""
+    status = F.when(F.col("event_type") == "purchase", "queued").when(F.col("event_type") == "click", "running").otherwise("completed")
+    lease = F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.floor("value").cast("int"))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("task_id"), status.alias("status"), F.col("ts").alias("due_at"), lease.alias("lease_until"))
+
+
+def task_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.claim_states(event_tasks(spark, sf_dir), at(NOW))
+
+
+def audit_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the ten days before NOW and later."""
+    return state.retained(table(spark, sf_dir, "events").select("event_id", "ts"), at(NOW), 10, "ts").select("event_id")
+
+
+def expired_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as uploads: those without an event in the 24 hours before the last day's end."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("upload_id"), F.col("ts").alias("modified"))
+    return state.expired_uploads(rows, at("2024-01-31 00:00:00"))
+
+
+def recovery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of a user's recovery."""
+    named = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "recovery_started", "purchase", "recovery_completed", "error", "recovery_failed", "click", "step_replayed", "view", "other")]), F.col("event_type"))
+    return telemetry.recovery_counters(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), named.alias("type")))
+
+
+def threshold_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label rates against fixed bounds."""
+    row = table(spark, sf_dir, "labels").agg(fixed(F.avg("quality")).alias("quality"), fixed(F.avg("toxic")).alias("toxic"), F.lit(None).cast("double").alias("unknown_rate"))
+    return gates.threshold_gate(row, [("quality", "min", 0.99, "fail"), ("toxic", "max", 0.05, "warn"), ("quality", "max", 1.0, "fail"), ("unknown_rate", "max", 0.1, "fail")])
+
+
+def memory_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns, with what a user may ask to be kept put before every tenth."""
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    text = F.when(F.col("conv_id") % 10 == 0, F.concat(F.lit("Remember that "), "text")).when(F.col("conv_id") % 10 == 1, F.concat(F.lit("Answer in English and keep it short. "), "text")).otherwise(F.col("text"))
+    return state.memory_candidates(turns.select(F.col("conv_id").alias("owner"), F.col("turn").alias("message_id"), text.alias("text")))
+
+
 def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as the states of a run."""
     named = F.element_at(F.create_map(*[F.lit(x) for x in ("signup", "queued", "view", "running", "click", "paused", "purchase", "completed", "error", "failed")]), F.col("event_type"))
@@ -209,7 +250,7 @@ QUERIES = {
     for f in (
         llmops_rollup, rag_rollup, slo_status, budget_status, latency_percentiles, status_counts, planner_rollup, skill_rollup, conditional_rates, feedback_failures, token_costs,
         regression_gate, gate_verdict, latest_baseline, session_recent, retention_prune, claimable_tasks, illegal_transitions, scoped_documents, audit_page, latest_snapshot, insert_new,
-        merge_uploads, rank_memories, resolve_routes, stream_rollup, session_windows,
+        merge_uploads, rank_memories, resolve_routes, stream_rollup, session_windows, task_states, audit_retained, expired_uploads, recovery_counters, threshold_gate, memory_candidates,
     )
 }
 
@@ -354,4 +395,23 @@ ORACLES = {
             )
         ) GROUP BY user_id, session
     """,
+    "task_states": f"""
+        SELECT event_id AS task_id, CASE WHEN wait IS NULL THEN 'done' WHEN wait = 0 THEN 'claimable' WHEN event_type = 'purchase' THEN 'waiting' ELSE 'leased' END AS state, wait AS wait_ms FROM (
+            SELECT event_id, event_type, CASE WHEN event_type IN ('purchase', 'click') THEN CAST(greatest(0, ceil((epoch_us(CASE WHEN event_type = 'purchase' THEN ts ELSE ts + to_minutes(CAST(floor(value) AS INTEGER)) END) - epoch_us(TIMESTAMP '{NOW}')) / 1000)) AS BIGINT) END AS wait FROM events
+        )
+    """,
+    "audit_retained": f"SELECT event_id FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY",
+    "expired_uploads": "SELECT user_id AS upload_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 24 HOUR",
+    "recovery_counters": f"""
+        SELECT count(DISTINCT user_id) AS runs, count(*) FILTER (event_type = 'signup') AS recoveries, count(*) FILTER (event_type = 'purchase') AS recovered,
+               count(*) FILTER (event_type = 'error') AS failed_recoveries, CAST(0 AS BIGINT) AS manual, count(*) FILTER (event_type = 'click') AS replays,
+               {sql.fixed("count(*) FILTER (event_type = 'purchase') / nullif(count(*) FILTER (event_type = 'signup'), 0)")} AS recovery_rate FROM events
+    """,
+    "threshold_gate": f"""
+        WITH r AS (SELECT {sql.fixed("avg(quality)")} AS q, {sql.fixed("avg(toxic)")} AS t FROM labels)
+        SELECT 'quality' AS metric, q AS value, CASE WHEN q < 0.99 THEN 'fail' ELSE 'pass' END AS status FROM r
+        UNION ALL SELECT 'toxic', t, CASE WHEN t > 0.05 THEN 'warn' ELSE 'pass' END FROM r
+        UNION ALL SELECT 'quality', q, CASE WHEN q > 1 THEN 'fail' ELSE 'pass' END FROM r
+        UNION ALL SELECT 'unknown_rate', NULL, 'unknown'
+    """,
 }

@@ -179,6 +179,20 @@ def missing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holders(spark, sf_dir).join(found, ["query_id", "doc_id"], "left_anti")
 
 
+def pair_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.diagnostics(pair_analysis(spark, sf_dir))
+
+
+def comparison_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.comparison_answers(comparison_verdicts(spark, sf_dir), pair_analysis(spark, sf_dir))
+
+
+def entailed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of a query's best three chunks entail each other."""
+    rows = with_chunk_text(spark, sf_dir, sparse_candidates(spark, sf_dir, 3)).select(F.col("query_id").alias("group_id"), F.concat_ws(":", "doc_id", "chunk_index").alias("doc_id"), F.col("chunk_text").alias("text"))
+    return comparison.entailment(rows)
+
+
 def source_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_chunk_text(spark, sf_dir, sparse_candidates(spark, sf_dir)).select(F.col("query_id").alias("group_id"), *KEYS, "score", F.col("chunk_text").alias("text"))
     return comparison.source_bundle(rows, documents=4)
@@ -207,6 +221,9 @@ QUERIES = {
     "comparison_verdicts": comparison_verdicts,
     "missing_documents": missing_documents,
     "source_bundle": source_bundle,
+    "pair_diagnostics": pair_diagnostics,
+    "comparison_answers": comparison_answers,
+    "entailed_evidence": entailed_evidence,
 }
 
 #: Common tables of the oracles.
