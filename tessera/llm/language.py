@@ -2,9 +2,11 @@
 
 Every learned language has a distribution over hashed byte trigrams. A document is a mixture: each
 of its words was drawn from one language, with a likelihood that is the product over the word's
-trigrams. Expectation-maximisation estimates the proportions; the set of languages is the one of
-one to max_languages members (taken in the order of the unrestricted proportions) whose
-log-likelihood less log(words) / 2 for each further language is greatest.
+trigrams. Expectation-maximisation, run to a tolerance, estimates the proportions; the set of
+languages is the best single one or the first two, three, ... or all learned ones in the order of
+the unrestricted proportions: that whose log-likelihood less log(words) / 2 for each further
+language is greatest. A row stops growing only where the bound of its unrestricted likelihood shows
+that no larger set can be better.
 
 Counts are taken over all training rows; the model is languages x BUCKETS numbers, however large
 the corpus.
@@ -31,6 +33,9 @@ from tessera.llm.words import Words, slices
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
+#: Log-likelihood a word that EM may leave unreached, and its rounds between two tests of that.
+TOLERANCE = 1e-8
+ROUNDS = 4
 HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -87,7 +92,29 @@ def maximise(likelihood: np.ndarray, row: np.ndarray, first: np.ndarray, shares:
     return shares, total
 
 
-def infer(words: Words, log_p: np.ndarray, rounds: int = 8, max_languages: int = 3) -> tuple[np.ndarray, np.ndarray]:
+def converge(likelihood: np.ndarray, first: np.ndarray, shares: np.ndarray, enough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM until no shares of these languages could raise a row's log-likelihood by more than
+    TOLERANCE a word, or could lift it above enough[row]. Gives the shares, the log-likelihood and
+    its upper bound: the logarithm is concave, so with gain k the mean over the words of likelihood
+    k / likelihood of the mixture, no mixture adds more than words * log(greatest gain)."""
+    shares = shares.astype(float)
+    out, value, bound = shares.copy(), np.zeros(len(shares)), np.zeros(len(shares))
+    live, n = np.arange(len(shares)), np.diff(first)
+    row = np.repeat(live, n)
+    while len(live):
+        shares, reached = maximise(likelihood, row, first, shares, ROUNDS)
+        total = np.maximum((likelihood * shares[row]).sum(1), 1e-30)
+        gain = np.add.reduceat(likelihood / total[:, None], first[:-1], axis=0) / n[:, None]
+        more = np.log(np.maximum(gain.max(1), 1))
+        out[live], value[live], bound[live] = shares, reached, reached + n * more
+        going = (more > TOLERANCE) & (bound[live] > enough[live])
+        if not going.all():
+            likelihood, shares, live, n = likelihood[going[row]], shares[going], live[going], n[going]
+            first, row = np.concatenate([[0], np.cumsum(n)]), np.repeat(np.arange(len(n)), n)
+    return out, value, bound
+
+
+def infer(words: Words, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares of the languages per row; and whether a row has a word at all."""
     start, end = runs(LETTER[words.raw], words.offsets)
     every = np.searchsorted(start, words.offsets)
@@ -104,24 +131,36 @@ def infer(words: Words, log_p: np.ndarray, rounds: int = 8, max_languages: int =
     first = np.concatenate([every[:-1][some], every[-1:]])
     n = np.diff(first)
     row = np.repeat(np.arange(len(n)), n)
-    base = scores.max(1)
-    base_sum = np.add.reduceat(base, first[:-1])
-    likelihood = np.exp(scores - base[:, None]).astype(np.float32)
-    free, _ = maximise(likelihood, row, first, np.full((len(n), languages), 1 / languages, np.float32), rounds)
-    ranked = np.argsort(-free, axis=1, kind="stable")
+    penalty, least = np.log(n) / 2, n * TOLERANCE
     alone = np.add.reduceat(scores, first[:-1], axis=0)
     top = np.argmax(alone, 1)
     best = alone[np.arange(len(n)), top]
     shares = np.eye(languages)[top]
-    for size in range(2, min(max_languages, languages) + 1):
-        start_at = np.zeros_like(free)
-        chosen = ranked[:, :size]
-        np.put_along_axis(start_at, chosen, np.maximum(np.take_along_axis(free, chosen, 1), 1e-6), 1)
-        start_at /= start_at.sum(1, keepdims=True)
-        found, value = maximise(likelihood, row, first, start_at, rounds // 2)
-        value = value + base_sum - (size - 1) * np.log(n) / 2
-        better = value > best
-        shares[better], best[better] = found[better], value[better]
+    base = scores.max(1)
+    base_sum = np.add.reduceat(base, first[:-1])
+    free, _, bound = converge(np.exp(scores - base[:, None]), first, np.full((len(n), languages), 1 / languages), best + penalty + least - base_sum)
+    bound += base_sum
+    ranked = np.argsort(-free, axis=1, kind="stable")
+    for size in range(2, languages + 1):
+        # no set's likelihood exceeds the bound of the unrestricted one: rows left out can't gain by any set of this size or more
+        live = np.flatnonzero(bound - (size - 1) * penalty > best + least)
+        if not len(live):
+            break
+        chosen, taken = ranked[live, :size], np.isin(row, live)
+        own = np.repeat(np.arange(len(live)), n[live])
+        of_set = np.take_along_axis(scores[taken], chosen[own], 1)
+        top_of_set = of_set.max(1)
+        edges = np.concatenate([[0], np.cumsum(n[live])])
+        base_of_set = np.add.reduceat(top_of_set, edges[:-1])
+        start_at = np.maximum(np.take_along_axis(free[live], chosen, 1), 1e-6)
+        must = best[live] + (size - 1) * penalty[live] + least[live]
+        found, value, _ = converge(np.exp(of_set - top_of_set[:, None]), edges, start_at / start_at.sum(1, keepdims=True), must - base_of_set)
+        value += base_of_set
+        better = value > must
+        at = live[better]
+        shares[at] = 0
+        shares[at[:, None], chosen[better]] = found[better]
+        best[at] = (value - (size - 1) * penalty[live])[better]
     out[some] = shares
     return out, some
 

@@ -49,6 +49,40 @@ def test_language_agrees_with_plain_em():
     assert np.allclose(got[0], shares) and np.isclose(value[0], np.log((likelihood * shares).sum(1)).sum())
 
 
+def test_language_sets_against_brute_force(spark):
+    """Texts of one to five languages: set and shares as by the best of all sets, each by long EM."""
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    vocabulary = {f"l{k}": ["".join(r.choice(letters[5 * k : 5 * k + 8] if k < 4 else letters[18:], 6)) for _ in range(40)] for k in range(5)}
+    training = spark.createDataFrame([(k, " ".join(v * 20)) for k, v in vocabulary.items()], "lang string, text string")
+    names, log_p = language.fit_languages(language.count_trigrams(training).toPandas())
+    assert names == list(vocabulary)
+    texts = [" ".join(w for k in range(size) for w in r.choice(vocabulary[f"l{(k + size) % 5}"], 25)) for size in range(1, 6)]
+    texts.append(" ".join(w for k, many in enumerate((60, 25, 12, 8)) for w in r.choice(vocabulary[f"l{k}"], many)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x["doc_id"]: x for x in language.identify(docs, names, log_p).collect()}
+    for k, text in enumerate(texts):
+        words = text.split()
+        scores = np.array([log_p[:, language.trigram_buckets(np.frombuffer(f" {w} ".encode(), np.uint8))[1:-1]].sum(1, dtype=float) for w in words])
+        best = (-np.inf, ())
+        for size in range(1, 6):
+            for chosen in combinations(range(5), size):
+                likelihood = np.exp(scores[:, chosen] - scores[:, chosen].max(1, keepdims=True))
+                shares = np.full(size, 1 / size)
+                for _ in range(3000):
+                    joint = likelihood * shares
+                    shares = (joint / joint.sum(1, keepdims=True)).mean(0)
+                value = np.log((likelihood * shares).sum(1)).sum() + scores[:, chosen].max(1).sum() - (size - 1) * np.log(len(words)) / 2
+                best = max(best, (value, chosen, tuple(shares)))
+        want = {names[c]: s for c, s in zip(best[1], best[2])}
+        got = dict(zip(out[k]["languages"], out[k]["shares"]))
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-4 for x in want)
+        assert out[k]["score"] == max(got.values())
+    assert [len(out[k]["languages"]) for k in range(6)] == [1, 2, 3, 4, 5, 4] and out[3]["score"] < 0.3
+
+
 def test_no_language_learned(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     names, log_p = language.fit_languages(language.count_trigrams(empty).toPandas())
