@@ -205,9 +205,14 @@ class Windows:
         return (range_hashes(self.hashes, start, end).view(np.int64), range_hashes(mix64(self.hashes), start, end).view(np.int64))
 
 
+def _version(text_col: str) -> Column:
+    """A hash of the words: texts of one id that differ in whitespace only are one version, and all lose the same words."""
+    return F.xxhash64(F.trim(F.regexp_replace(f"`{text_col}`", r"[\t-\r][\t-\r ]*| [\t-\r ]+", " ")))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id without nulls, a hash of the text (an id may stand for several texts), and the text."""
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(f"`{text_col}`").alias("version"), F.col(f"`{text_col}`").alias("text"))
+    """doc_id without nulls, the version (an id may stand for several texts), and the text."""
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), _version(text_col).alias("version"), F.col(f"`{text_col}`").alias("text"))
 
 
 def _fingerprints(keyed: DataFrame, min_words: int) -> DataFrame:
@@ -287,7 +292,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     turns = F.when(F.col("low") < F.col("doc_id"), F.sequence(F.lit(0), F.col("count").cast("int") - 1)).otherwise(F.col("turns"))
     found = found.withColumn("turns", turns).where("turns IS NOT NULL")
     starts = F.transform("turns", lambda t: t + F.col("window"))
-    by_document = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_list(starts)).alias("windows"))
+    # rows of one id and words bring the same chunks
+    by_document = found.groupBy("doc_id", "version").agg(F.flatten(F.collect_set(starts)).alias("windows"))
     whole = whole.select("doc_id", "version", F.lit(True).alias("whole"), F.array().cast("array<long>").alias("windows"))
     return whole.unionByName(by_document.select("doc_id", "version", F.lit(False).alias("whole"), "windows"))
 
@@ -330,7 +336,7 @@ def strip_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     """docs with its columns: texts that lose words become the kept words joined by one space,
     others stay as they are; rows that lose all their words go."""
     gone = removals(docs, min_words, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("whole").alias("__whole"), F.col("windows").alias("__windows"))
-    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(f"`{text_col}`") == F.col("__version"))
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)) == F.col("__id")) & (_version(text_col) == F.col("__version"))
     rows = docs.join(gone, same, "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__whole", "__windows")
     names = docs.columns
     at = names.index(text_col)

@@ -102,6 +102,20 @@ def test_windows_edge_rows(spark):
     assert substring_dedup.remove_repeated_windows(documents(spark, [])).count() == 0
 
 
+def test_windows_of_one_id_that_differ_in_whitespace(spark):
+    """Each row of a null or repeated id loses the passage that a smaller id holds."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(3, passage), *((i, text) for i in (None, 20) for text in (f"x{i} {passage}", f"x{i}  {passage}", f"\n x{i} {passage}\t", f"x{i} " + passage.replace(" ", "\r\n"), f"y{i} {passage}"))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = substring_dedup.remove_repeated_windows(frame).collect()
+    assert Counter(tuple(r)[:4] for r in out) == brute_windows(docs, 50)
+    assert sorted(r["kept"] for r in out if r["doc_id"] != 3) == ["x20"] * 4 + ["xNone"] * 4 + ["y20", "yNone"]
+    assert sorted(r["text"] for r in substring_dedup.strip_repeats(frame).collect() if r["doc_id"] != 3) == ["x20"] * 4 + ["xNone"] * 4 + ["y20", "yNone"]
+    more = [*((r[0], r[1]) for r in rows()), (None, "z " + passage), (None, "z\n" + passage), (12, "z " + passage), (12, "z\n" + passage)]
+    out = substring_dedup.remove_repeated_windows(spark.createDataFrame(more, "doc_id long, text string"), with_text=False).collect()
+    assert Counter(tuple(r) for r in out) == brute_windows(more, 50)
+
+
 def test_strip_repeats_keeps_columns_and_clean_texts(spark):
     docs = documents(spark)
     out = substring_dedup.strip_repeats(docs)
