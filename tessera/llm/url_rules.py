@@ -8,9 +8,9 @@ under its rarest term; a URL is blocked when all terms of a rule listed under on
 occur in it.
 
 Size of the index: with t tokens a transaction and minimum support s there are at most
-sum C(t, i) / s frequent combinations, whatever the number of pages, and max_terms bounds i; so
-the rules stay small as the data grow. Spark still decides by their measured size whether to
-broadcast them.
+sum C(t, i) / s frequent combinations, whatever the number of pages; so the rules stay small as the
+data grow. Rules of every length count, unless max_terms is given. Spark still decides by their
+measured size whether to broadcast them.
 
 Defined results: a null URL or one without :// has an empty host and path, no tokens, no rule,
 and is allowed; repeated rows each get the same verdict; empty tables give empty results; with no
@@ -67,7 +67,7 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(named("host=", labels), top, named("path=", words), named("key=", keys)), F.array().cast("array<string>")))
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_terms: int, min_count: int) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_terms: int | None, min_count: int) -> DataFrame:
     """Rules (terms, key: the rarest term, confidence, support) for blocking, none implied by a
     shorter one, from rows (tokens, blocked boolean)."""
     spark = labelled.sparkSession
@@ -79,7 +79,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, m
         return empty
     model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total), minConfidence=min_confidence).fit(transactions)
     rules = checkpointed(
-        model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_terms)).select(
+        model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.lit(max_terms is None) | (F.size("antecedent") <= (max_terms or 0)))).select(
             F.array_sort("antecedent").alias("terms"), "confidence", "support"
         )
     )
@@ -98,7 +98,7 @@ def filter_urls(
     rules: list[tuple[str, str, str]] = STATED_RULES,
     min_support: float = 0.005,
     min_confidence: float = 0.8,
-    max_terms: int = 4,
+    max_terms: int | None = None,
     min_count: int = 10,
     id_col: str = "page_id",
     url_col: str = "url",

@@ -63,6 +63,17 @@ def test_mined_rules_against_enumeration(spark):
     assert next(r for r in out if r["page_id"] is None)["verdict"] == "allow"
 
 
+def test_rule_of_many_terms(spark):
+    """Only five terms together mark a page; any four of them occur on good pages, too."""
+    terms = ["a", "b", "c", "d", "e"]
+    paths = [terms] * 30 + [terms[:k] + terms[k + 1 :] for k in range(5) for _ in range(30)]
+    pages = [(k, f"http://h.org/{'/'.join(p)}/{k}") for k, p in enumerate(paths)]
+    frame = spark.createDataFrame([*pages, (None, "http://h.org/e/d/c/b/a"), (999, "http://h.org/e/d/c/b")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, len(p) == 5) for k, p in enumerate(paths)], "page_id long, blocked boolean")
+    out = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(frame, labels, rules=[]).collect()}
+    assert out == {k: "block" if len(p) == 5 else "allow" for k, p in enumerate(paths)} | {None: "block", 999: "allow"}
+
+
 def test_no_pages_and_no_labels(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     labels = spark.createDataFrame([], "page_id long, blocked boolean")
