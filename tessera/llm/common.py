@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which all executors share.
 
-    Only where neither that setting nor a checkpoint folder exists (a local session, as in tests)
-    is a temporary one made.
+    Where neither that setting nor a checkpoint folder exists, a local session (as in tests) makes
+    a temporary one; on a cluster that is an error, as executors don't share such a folder.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
@@ -31,6 +34,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df, cut from their lineage, as a compressed table in the scratch folder."""
+    folder = f"{scratch_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or that with underscores after it, so that no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(column: str, folds: int) -> Column:
     """crc32 of an id as text, modulo folds; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % folds

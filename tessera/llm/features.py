@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from tessera.llm.words import Words, _BYTE, range_hashes
+from tessera.llm.words import Words, run_hashes
 
 _all = np.arange(256, dtype=np.uint8)
 UPPER = (_all >= 65) & (_all <= 90)
@@ -46,7 +46,7 @@ class LetterWords:
             letters = np.concatenate([[0], np.cumsum(LETTER[raw])])
             held = letters[self.end] > letters[self.start]
             self.start, self.end = self.start[held], self.end[held]
-        self.hash = range_hashes(_BYTE[(LOOKALIKE if lookalike else LOWER)[raw]], self.start, self.end)
+        self.hash = run_hashes((LOOKALIKE if lookalike else LOWER)[raw], self.start, self.end)
         self.first = np.searchsorted(self.start, self.offsets)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, table
-from tessera.llm.words import _ODD, Words, mix64, slices
+from tessera.llm.words import ODD, Words, mix64, range_hashes, slices
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 NO_ID = (1 << 63) - 1
@@ -70,13 +70,13 @@ def throw_darts(row: np.ndarray, element: np.ndarray, weight: np.ndarray, reach:
             there = np.flatnonzero((weight > low_w) & (limit > low_r))
             if not len(there):
                 continue
-            seed = mix64(element[there] + np.uint64((v * 64 + j + 1) * int(_ODD) & ((1 << 64) - 1)))
+            seed = mix64(element[there] + np.uint64((v * 64 + j + 1) * int(ODD) & ((1 << 64) - 1)))
             n = np.searchsorted(poisson_cdf((high_w - low_w) * (high_r - low_r)), fraction(seed), side="right")
             owner = np.repeat(there, n)
             if not len(owner):
                 continue
             turn = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            dart = mix64(np.repeat(seed, n) + (turn + 1).astype(np.uint64) * _ODD)
+            dart = mix64(np.repeat(seed, n) + (turn + 1).astype(np.uint64) * ODD)
             second = mix64(dart ^ np.uint64(0x5851F42D4C957F2D))
             rank = low_r + fraction(dart) * (high_r - low_r)
             at = low_w + (second & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * (high_w - low_w)
@@ -123,9 +123,8 @@ def shingle_sets(words: Words, weights: str) -> tuple[np.ndarray, np.ndarray, np
     at, grams = words.grams(SHINGLE, hashes)
     row = words.row[at]
     short = np.flatnonzero((np.diff(words.first) > 0) & (np.diff(words.first) < SHINGLE))
-    if len(short):
-        joined = [mix64(np.array([sum(int(h) * int(_ODD) ** i for i, h in enumerate(hashes[words.first[r] : words.first[r + 1]])) & ((1 << 64) - 1)], np.uint64))[0] for r in short]
-        row, grams = np.concatenate([row, short]), np.concatenate([grams, np.array(joined, np.uint64)])
+    row = np.concatenate([row, short])
+    grams = np.concatenate([grams, range_hashes(hashes, words.first[short], words.first[short + 1])])
     order = np.lexsort((grams, row))
     row, grams = row[order], grams[order]
     new = np.ones(len(row), bool)
@@ -144,11 +143,11 @@ def sketch(docs: DataFrame, weights: str, id_col: str, text_col: str) -> DataFra
             words = Words(batch.column(1))
             row, element, weight = shingle_sets(words, weights)
             signed = signatures(row, element, weight, words.rows)
-            mixed = mix64(element + weight.astype(np.uint64) * _ODD)
+            mixed = mix64(element + weight.astype(np.uint64) * ODD)
             first = np.searchsorted(row, np.arange(words.rows + 1))
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (mixed, mix64(mixed))]
             same = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
-            powers = np.array([int(_ODD) ** (i + 1) & ((1 << 64) - 1) for i in range(ROWS)], np.uint64)
+            powers = np.array([int(ODD) ** (i + 1) & ((1 << 64) - 1) for i in range(ROWS)], np.uint64)
             bands = mix64((signed.reshape(words.rows, BANDS, ROWS) * powers).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
             empty = np.diff(first) == 0
             offsets = pa.array(np.arange(words.rows + 1, dtype=np.int32) * BANDS)
@@ -167,25 +166,29 @@ def shingle_blobs(docs: DataFrame, ids: DataFrame, weights: str, id_col: str, te
             words = Words(batch.column(1))
             row, element, weight = shingle_sets(words, weights)
             first = np.searchsorted(row, np.arange(words.rows + 1)).tolist()
-            if weights == "count":  # 40 bits of hash and 24 of count
-                packed = (element & np.uint64(0xFFFFFFFFFF000000)) | np.minimum(weight, (1 << 24) - 1).astype(np.uint64)
+            if weights == "count":
+                blobs = [element[a:b].tobytes() + weight[a:b].astype(np.uint32).tobytes() for a, b in zip(first, first[1:])]
             else:
-                packed = (element >> np.uint64(32)).astype(np.uint32)
-            blobs = [np.unique(packed[a:b]).tobytes() for a, b in zip(first, first[1:])]
+                blobs = [element[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
 
 
+def counted(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of a blob that has both."""
+    n = len(blob) // 12
+    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n).astype(np.int64)
+
+
 def jaccard(a: bytes, b: bytes, weights: str) -> float:
     if weights == "count":
-        x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        low = np.uint64((1 << 24) - 1)
-        _, i, j = np.intersect1d(x & ~low, y & ~low, return_indices=True)
-        both = int(np.minimum(x[i] & low, y[j] & low).sum())
-        return both / max(1, int((x & low).sum()) + int((y & low).sum()) - both)
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+        (x, n), (y, m) = counted(a), counted(b)
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        both = int(np.minimum(n[i], m[j]).sum())
+        return both / max(1, int(n.sum()) + int(m.sum()) - both)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     same = int((both[1:] == both[:-1]).sum())
@@ -253,14 +256,14 @@ def links_to_main(minors: DataFrame, members: DataFrame, blobs: DataFrame, weigh
         theirs = np.flatnonzero(~is_minor)
         found = []
         if len(theirs) and weights == "set":
-            sets = [np.frombuffer(blob[k], np.uint32) for k in theirs]
+            sets = [np.frombuffer(blob[k], np.uint64) for k in theirs]
             size = np.array([len(x) for x in sets])
             values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
         for k in np.flatnonzero(is_minor) if len(theirs) else []:
             if weights == "set":
-                own = np.frombuffer(blob[k], np.uint32)
+                own = np.frombuffer(blob[k], np.uint64)
                 both = overlaps(own, values, owner, len(theirs))
                 alike = both / np.maximum(1, len(own) + size - both)
             else:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fold, table
 from tessera.llm.features import LETTER, PUNCTUATION, per_row, shares
 from tessera.llm.toxicity import labelled_sample
-from tessera.llm.words import Words, _BYTE, range_hashes, slices
+from tessera.llm.words import Words, run_hashes, slices
 
 
 def repeats(row: np.ndarray, hashes: np.ndarray, weights: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +65,7 @@ def quality_features(texts: pa.Array) -> np.ndarray:
     cuts = np.union1d(offsets, feed + 1)
     starts, ends = cuts[:-1], cuts[1:]
     line_row = np.searchsorted(offsets, starts, side="right") - 1
-    lines_again, _ = repeats(line_row, range_hashes(_BYTE[raw], starts, ends), (ends - starts).astype(float), words.rows)
+    lines_again, _ = repeats(line_row, run_hashes(raw, starts, ends), (ends - starts).astype(float), words.rows)
     length = np.maximum(1, np.diff(offsets)).astype(float)
     columns = [
         np.log1p(np.diff(words.first)),

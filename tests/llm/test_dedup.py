@@ -92,6 +92,67 @@ def test_windows(spark, size):
     assert got == brute_windows(docs, size)
 
 
+@pytest.mark.parametrize("max_chunks", [0, 1, 3])
+def test_windows_of_hot_fingerprints(spark, max_chunks):
+    """Shards of any size, and the aggregation beyond max_chunks, remove the same."""
+    docs = made_up(2)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeated_windows(frame, 20, with_text=False, max_chunks=max_chunks).collect())
+    assert got == brute_windows(docs, 20)
+
+
+def test_chunks_against_all_windows():
+    """seen_before() on chunks that overlap in many ways."""
+    r = random.Random(4)
+    for _ in range(200):
+        size = r.randint(1, 6)
+        chunks = sorted((r.randint(0, 5), [r.choice("ab") for _ in range(r.randint(size, 14))]) for _ in range(12))
+        want = []
+        for low, own in chunks:
+            before = {tuple(w[k : k + size]) for other, w in chunks if other < low for k in range(len(w) - size + 1)}
+            want.append([k for k in range(len(own) - size + 1) if tuple(own[k : k + size]) in before])
+        got = substring_dedup.seen_before([" ".join(w).encode() for _, w in chunks], [low for low, _ in chunks], size)
+        assert got == want
+
+
+def thue_morse(bits, zero, one):
+    return [(zero, one)[bin(i).count("1") % 2] for i in range(1 << bits)]
+
+
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses(spark):
+    """Unlike words, windows and documents of Thue-Morse form stay unlike."""
+    one, other = "".join(thue_morse(11, "a", "b")), "".join(thue_morse(11, "b", "a"))
+    w = [f"w{i}" for i in range(61)]
+    long_one, long_other = thue_morse(11, "a", "b"), thue_morse(11, "b", "a")
+    docs = [(1, " ".join([*w[:20], one, *w[21:]])), (2, " ".join([*w[:20], other, *w[21:]])), (3, one), (4, other), (5, "x"), (6, " ".join(long_one)), (7, " ".join(long_other))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeated_windows(frame, with_text=False).collect())
+    assert got == brute_windows(docs, 50)
+    classes = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicate_classes(frame).collect()}
+    assert classes == brute_classes(docs, 0.8)
+
+
+def test_hashes():
+    """Ranges are equal wherever they lie, keys are independent, and residues are right."""
+    import numpy as np
+
+    from tessera.llm import words as w
+
+    r = np.random.default_rng(0)
+    values = r.integers(0, 1 << 64, 300, dtype=np.uint64)
+    values[200:260] = values[20:80]
+    for key in (0, 1):
+        a, b = w.range_hashes(values, np.array([20, 200, 21]), np.array([80, 260, 81]), key)[[0, 1]]
+        assert a == b
+    assert w.range_hashes(values, np.array([0]), np.array([9]), 0) != w.range_hashes(values, np.array([0]), np.array([9]), 1)
+    p = int(w.PRIME)
+    x, y = r.integers(0, p, 1000, dtype=np.uint64), r.integers(0, p, 1000, dtype=np.uint64)
+    x[:3] = y[:3] = [0, 1, p - 1]
+    assert w.product(x, y).tolist() == [int(i) * int(j) % p for i, j in zip(x, y)]
+    up, down = w.powers(5000, 1)
+    assert set(w.product(up, down).tolist()) == {1} and w.product(up[:-1], up[1]).tolist() == up[1:].tolist()
+
+
 def test_windows_edge_rows(spark):
     docs = [(r[0], r[1]) for r in rows()]
     out = substring_dedup.remove_repeated_windows(documents(spark)).collect()
