@@ -1,33 +1,38 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of quality 1; unlabelled rows are a sample of the other web
-text; the class prior is the share of positives among labelled training rows. An additive model
-over quantile bins of dense text features minimises the non-negative unbiased risk
-    prior R_p(+) + max(0, R_u(-) - prior R_p(-))
-with sigmoid loss: where the second part falls below zero, its gradient is reversed. Labelled
-rows of both classes then set the slope and offset of the final probability.
-
-Both samples hold at most about max_rows rows, chosen by a hash of the id; the fit is a small
-convex problem on the driver. Features and scores are computed for every whole text.
+Trusted positives are labelled rows of quality 1, a sample of at most about max_rows by a hash of
+the id; labels of quality 0 are never used. Unlabelled text is every row given, whole. An additive
+model over bins of dense text features (their quantiles over all rows) minimises the non-negative
+unbiased risk with logistic loss l,
+    prior mean_p l(f) + max(0, mean_u l(-f) - prior mean_p l(-f)),
+by limited-memory quasi-Newton steps; each step sums the unlabelled part of value and gradient over
+all rows in Spark, from a table of 18 bin numbers a row.
+
+Positives and unlabelled rows are dealt into two halves, and each has a model. What a model gives to
+the positives of the other half, against what it gives to its unlabelled rows, tells two things:
+  - the class prior: where no negatives score, the unlabelled share above a margin is prior times
+    that of the positives; the prior is the least ratio of the two, within its error. The models are fitted for a
+    prior of 1/2 first, and again for the one found;
+  - the probability: prior times the positives' density over the unlabelled one, by bands of the
+    margin, made monotone by isotonic regression. The score is the mean of both models'.
 
 Defined results: null and empty texts have all-zero features and get a score like any other;
-without positives or unlabelled rows every score is the prior (1 without labels); a repeated label
-counts once, by its maximum; empty tables give empty results; other columns are not read.
+where a half lacks positives or unlabelled rows, every score is 1; a repeated label counts once,
+by its maximum; empty tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Generator, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, table
+from tessera.llm.common import fold, stored, table
 from tessera.llm.features import LETTER, PUNCTUATION, per_row, shares
-from tessera.llm.toxicity import labelled_sample
 from tessera.llm.words import Words, run_hashes, slices
 
 
@@ -83,117 +88,261 @@ def quality_features(texts: pa.Array) -> np.ndarray:
     return matrix
 
 
+FEATURES, BINS, BANDS = 18, 24, 120
+
+
 @dataclass
-class QualityModel:
-    edges: list[np.ndarray]
+class Half:
+    """One additive model and its probabilities by bands of the margin."""
+
     weights: np.ndarray
-    offset: float
-    slope: float = 1.0
-    shift: float = 0.0
-    constant: float | None = None
-
-    def margin(self, matrix: np.ndarray) -> np.ndarray:
-        out, at = np.full(len(matrix), self.offset), 0
-        for k, edges in enumerate(self.edges):
-            out += self.weights[at + np.searchsorted(edges, matrix[:, k])]
-            at += len(edges) + 1
-        return out
+    cuts: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    levels: np.ndarray = field(default_factory=lambda: np.ones(1))
+
+    def margin(self, bins: np.ndarray) -> np.ndarray:
+        return self.weights[bins].sum(1) + self.weights[-1]
+
+    def counts(self, bins: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Rows in each band of the margin."""
+        return np.bincount(np.searchsorted(cuts, self.margin(bins)), minlength=len(cuts) + 1)
+
+    def score(self, bins: np.ndarray) -> np.ndarray:
+        """Levels, in which the margin itself parts what would be equal."""
+        margin = self.margin(bins)
+        return 0.999 * self.levels[np.searchsorted(self.cuts, margin)] + 0.001 * sigmoid(margin)
+
+
+@dataclass
+class QualityModel:
+    edges: list[np.ndarray] = field(default_factory=list)
+    halves: list[Half] = field(default_factory=list)
+    prior: float = 1.0
 
     def score(self, matrix: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(matrix), self.constant)
-        return sigmoid(self.slope * self.margin(matrix) + self.shift)
+        if not self.halves:
+            return np.full(len(matrix), self.prior)
+        bins = binned(matrix, self.edges)
+        return np.mean([half.score(bins) for half in self.halves], 0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def one_hot(matrix: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    columns = [np.eye(len(e) + 1, dtype=np.float32)[np.searchsorted(e, matrix[:, k])] for k, e in enumerate(edges)]
-    return np.concatenate(columns, 1)
-
-
-def fit_quality(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 12, steps: int = 300, rate: float = 0.05, ridge: float = 3e-4) -> QualityModel:
-    """The non-negative risk minimiser, by full-batch steps with adaptive rates."""
-    pooled = np.concatenate([positive, unlabelled])
-    edges = [np.unique(np.quantile(pooled[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(pooled.shape[1])]
-    p, u = one_hot(positive, edges), one_hot(unlabelled, edges)
-    w = np.zeros(p.shape[1] + 1)
-    first, second = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        grow = lambda x, g: np.append(g @ x, g.sum())
-        sp, su = sigmoid(fp), sigmoid(fu)
-        keep = grow(p, -sp * (1 - sp) * prior / len(p))
-        drop = grow(u, su * (1 - su) / len(u)) + keep
-        risk = su.mean() - prior * sp.mean()
-        gradient = keep + drop if risk >= 0 else -drop
-        gradient[:-1] += ridge * w[:-1]
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return QualityModel(edges, w[:-1], float(w[-1]))
-
-
-def calibrate(model: QualityModel, positive: np.ndarray, negative: np.ndarray) -> QualityModel:
-    """Slope and shift by Newton steps on labelled margins, slope kept positive."""
-    if not len(positive) or not len(negative):
-        return model
-    x = np.concatenate([model.margin(positive), model.margin(negative)])
-    y = np.concatenate([np.ones(len(positive)), np.zeros(len(negative))])
-    design, beta = np.stack([x, np.ones_like(x)], 1), np.array([1.0, 0.0])
-    for _ in range(25):
-        q = sigmoid(design @ beta)
-        hessian = design.T @ (design * (q * (1 - q))[:, None]) + np.diag([1e-3, 1e-3])
-        beta = beta + np.linalg.solve(hessian, design.T @ (y - q) - 1e-3 * (beta - [1.0, 0.0]))
-    if beta[0] > 0:
-        model.slope, model.shift = float(beta[0]), float(beta[1])
-    return model
-
-
-def features_of(docs: DataFrame, carried: str = "") -> DataFrame:
-    """docs (doc_id, text, then the carried columns), with features for the text."""
+def softplus(x: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, x)
+
+
+def binned(matrix: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    """For each row and feature the number of its bin among the bins of all features."""
+    return np.stack([np.searchsorted(e, matrix[:, k]) + (BINS * k) for k, e in enumerate(edges)], 1)
+
+
+def sums_of(weights: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """Of unlabelled rows: the sum of l(-f), and its gradient."""
+    f = weights[bins].sum(1) + weights[-1]
+    slope = sigmoid(f)
+    return np.concatenate([[softplus(f).sum()], np.bincount(bins.ravel(), np.repeat(slope, bins.shape[1]), BINS * bins.shape[1]), [slope.sum()]])
+
+
+def risk(weights: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk and its gradient; unlabelled: means of sums_of()."""
+    f = weights[positive].sum(1) + weights[-1]
+    grow = lambda r: np.append(np.bincount(positive.ravel(), np.repeat(r, positive.shape[1]), len(weights) - 1), r.sum()) / len(f)
+    value, gradient = prior * softplus(-f).mean(), -prior * grow(sigmoid(-f))
+    negative = unlabelled[0] - prior * softplus(f).mean()
+    if negative > 0:
+        value, gradient = value + negative, gradient + unlabelled[1:] - prior * grow(sigmoid(f))
+    shrunk = np.append(weights[:-1], 0)
+    return value + ridge / 2 * (shrunk @ shrunk), gradient + ridge * shrunk
+
+
+def quasi_newton(weights: np.ndarray, steps: int, memory: int = 10) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """Yields weights, is sent their value and gradient, and returns the last ones that improved."""
+    value, gradient = yield weights
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, parts = gradient.copy(), []
+        for s, y in reversed(pairs):
+            parts.append(s @ way / (y @ s))
+            way -= parts[-1] * y
+        way *= pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, np.linalg.norm(gradient))
+        for (s, y), part in zip(pairs, reversed(parts)):
+            way += (part - y @ way / (y @ s)) * s
+        for halvings in range(8):
+            step = weights - way / 2**halvings
+            new_value, new_gradient = yield step
+            if new_value <= value - 1e-4 * (gradient @ way) / 2**halvings:
+                break
+        else:
+            return weights
+        if (step - weights) @ (new_gradient - gradient) > 1e-12:
+            pairs = [*pairs, (step - weights, new_gradient - gradient)][-memory:]
+        enough = value - new_value < 1e-6 * abs(value)
+        weights, value, gradient = step, new_value, new_gradient
+        if enough:
+            break
+    return weights
+
+
+#: For the weights of each half: means of sums_of() over its unlabelled rows.
+Unlabelled = Callable[[dict[int, np.ndarray]], dict[int, np.ndarray]]
+#: For weights and cuts of each half: unlabelled rows of the other half by bands of the margin.
+Margins = Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]]
+
+
+def minimise(positives: list[np.ndarray], unlabelled: Unlabelled, prior: float, ridge: float, steps: int) -> list[np.ndarray]:
+    """The weights of least risk for each half, from zero; both take their steps together, so that
+    each call of unlabelled() serves both."""
+    start = np.zeros(BINS * positives[0].shape[1] + 1)
+    found = [start] * len(positives)
+    running = {k: quasi_newton(start, steps) for k in range(len(positives))}
+    asked = {k: next(r) for k, r in running.items()}
+    while asked:
+        means, following = unlabelled(asked), {}
+        for k, weights in asked.items():
+            try:
+                following[k] = running[k].send(risk(weights, positives[k], means[k], prior, ridge))
+            except StopIteration as done:
+                found[k] = done.value
+        asked = following
+    return found
+
+
+def class_prior(positive: np.ndarray, counts: np.ndarray, cuts: np.ndarray, errors: float = 4.0) -> float:
+    """The ratio of the unlabelled to the positive share above the margin at which it is least when
+    so many standard errors are added to it. counts: of unlabelled margins, by bands of the cuts."""
+    share = (positive[:, None] > cuts).mean(0)
+    above = (counts.sum() - np.cumsum(counts)[:-1]) / counts.sum()
+    some = (share > 0) & (above > 0)
+    if not some.any():
+        return 1.0
+    share, above = share[some], above[some]
+    error = np.sqrt((1 - above) / (above * counts.sum()) + (1 - share) / (share * len(positive)))
+    ratio = above / share
+    return float(np.clip(ratio[np.argmin(ratio * (1 + errors * error))], 0.01, 1.0))
+
+
+def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The non-decreasing sequence nearest to values, by pooling neighbours."""
+    blocks: list[list[float]] = []
+    for value, weight in zip(values, weights):
+        blocks.append([value, weight, 1])
+        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
+            (a, x, n), (b, y, m) = blocks[-2:]
+            blocks[-2:] = [[(a * x + b * y) / (x + y), x + y, n + m]]
+    return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
+
+
+def calibrated(half: Half, other: np.ndarray, counts: np.ndarray, cuts: np.ndarray, prior: float) -> Half:
+    """half with its probabilities: prior times the density of other (bins of the positives that it
+    was not fitted to) over that of the unlabelled rows, whose margins fall into bands as counted."""
+    some = counts > 0
+    density = half.counts(other, cuts) / len(other)
+    ratio = prior * density[some] / (counts[some] / counts.sum())
+    levels = np.interp(np.arange(len(counts)), np.flatnonzero(some), np.clip(isotonic(ratio, counts[some].astype(float)), 0, 1))
+    return Half(half.weights, cuts, levels)
+
+
+def fit_quality(positives: list[np.ndarray], unlabelled: Unlabelled, margins: Margins, ridge: float = 1e-3, steps: tuple[int, int] = (20, 40)) -> tuple[list[Half], float]:
+    """A model for each half, and the class prior. positives: bins of each half's."""
+    weights = minimise(positives, unlabelled, 0.5, ridge, steps[0])
+
+    def counted(weights: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Cuts into bands of about equal counts of unlabelled margins, and those counts."""
+        reach = [np.abs(w[:-1].reshape(-1, BINS)).max(1).sum() for w in weights]
+        fine = [w[-1] + np.linspace(-r, r, 4096) for w, r in zip(weights, reach)]
+        out = []
+        for cuts, counts in zip(fine, margins(weights, fine)):
+            ends = np.searchsorted(np.cumsum(counts), counts.sum() * np.arange(1, BANDS) / BANDS)
+            ends = np.unique(np.minimum(ends, len(cuts) - 1))
+            out.append((cuts[ends], np.diff(np.cumsum(counts)[np.append(ends, len(counts) - 1)], prepend=0)))
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            matrix = quality_features(batch.column("text"))
-            offsets = pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1])
-            rest = [c for c in batch.schema.names if c not in ("text", "doc_id")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))], [*rest, "features"])
-
-    return docs.mapInArrow(run, (carried + ", " if carried else "") + "features array<double>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> QualityModel:
-    """The model from labels (doc_id, quality: training rows only) and docs (doc_id, text)."""
-    known = features_of(labelled_sample(docs, labels, "quality", max_rows).select("doc_id", "text", "quality"), "quality int").toPandas()
-    total = max(1, docs.count())
-    part = int(min(1.0, max_rows / total) * 1_000_000)
-    web = docs.select("doc_id", "text").where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1_000_000)) < part)
-    unlabelled = features_of(web).toPandas()
-    if not len(known):
-        return QualityModel([], np.zeros(0), 0.0, constant=1.0)
-    good = known["quality"].to_numpy() == 1
-    prior = float(good.mean())
-    matrix = np.stack(known["features"].to_numpy())
-    if not good.any() or not len(unlabelled):
-        return QualityModel([], np.zeros(0), 0.0, constant=prior)
-    prior = min(max(prior, 0.01), 0.99)
-    model = fit_quality(matrix[good], np.stack(unlabelled["features"].to_numpy()), prior)
-    return calibrate(model, matrix[good], matrix[~good])
-
-
-def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score (0 to 1) of every row."""
+    others = positives[::-1]
+    prior = float(np.mean([class_prior(Half(w).margin(o), counts, cuts) for w, o, (cuts, counts) in zip(weights, others, counted(weights))]))
+    weights = minimise(positives, unlabelled, prior, ridge, steps[1])
+    return [calibrated(Half(w), o, counts, cuts, prior) for w, o, (cuts, counts) in zip(weights, others, counted(weights))], prior
+
+
+def features_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and f0, f1, ...: the features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, text_col)):
-            scores = model.score(quality_features(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["doc_id", "score"])
+            matrix = quality_features(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, matrix.T)], ["doc_id", *(f"f{k}" for k in range(FEATURES))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"f{k} double" for k in range(FEATURES)))
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([np.asarray(batch.column(f"f{k}")) for k in range(FEATURES)], 1)
+
+
+def fit(features: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> QualityModel:
+    """The model from features_of() all unlabelled rows and labels (doc_id, quality), both of
+    training rows only. features is read once for the quantiles and once for the bins."""
+    known = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    part = int(min(1.0, max_rows / max(1, known.count())) * 1_000_000)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part)
+    half = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(2)).cast("double").alias("half")
+    columns = [half, *(f"f{k}" for k in range(FEATURES))]
+    positive = features.join(F.broadcast(chosen), "doc_id").select(columns).toPandas().to_numpy()  # max_rows bounds both
+    marks = [k / BINS for k in range(1, BINS)]
+    found = features.select(columns).agg(F.count(F.lit(1)), F.coalesce(F.sum("half"), F.lit(0.0)), *[F.percentile_approx(f"f{k}", marks, 2000) for k in range(FEATURES)]).first()
+    sizes = [found[0] - found[1], found[1]]
+    if not all(sizes) or len(set(positive[:, 0])) < 2:
+        return QualityModel()
+    edges = [np.unique(np.array(x)) for x in found[2:]]
+    bins = stored(_bins(features.select(columns), edges))
+
+    def summed(each: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+        """The sum of each(bins of both halves) over all rows; every task sends one vector."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(batch.num_rows, FEATURES + 1)
+                part = each([rows[rows[:, 0] == k, 1:] for k in (0, 1)])
+                total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["sums"])
+
+        return np.sum([r["sums"] for r in bins.mapInArrow(run, "sums array<double>").collect()], 0)
+
+    def unlabelled(weights: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        sums = summed(lambda rows: np.concatenate([sums_of(w, rows[k]) for k, w in weights.items()]))
+        return {k: x / sizes[k] for k, x in zip(weights, np.split(sums, len(weights)))}
+
+    def margins(weights: list[np.ndarray], cuts: list[np.ndarray]) -> list[np.ndarray]:
+        counts = lambda rows: [Half(w).counts(rows[1 - k], c) for k, (w, c) in enumerate(zip(weights, cuts))]
+        return np.split(summed(lambda rows: np.concatenate(counts(rows)).astype(float)), 2)
+
+    positives = [binned(positive[positive[:, 0] == k, 1:], edges) for k in (0, 1)]
+    return QualityModel(edges, *fit_quality(positives, unlabelled, margins))
+
+
+def _bins(columns: DataFrame, edges: list[np.ndarray]) -> DataFrame:
+    """The half and the bins of every row, two bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.concatenate([np.asarray(batch.column("half"))[:, None], binned(_matrix(batch), edges)], 1).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], ["bins"])
+
+    return columns.mapInArrow(run, "bins binary")
+
+
+def score_features(features: DataFrame, model: QualityModel) -> DataFrame:
+    """doc_id, score (0 to 1) of every row of features_of()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
+
+    return features.mapInArrow(run, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_quality(docs: DataFrame, model: QualityModel, least: float, text_col: str = "text") -> DataFrame:
@@ -209,8 +358,8 @@ def keep_quality(docs: DataFrame, model: QualityModel, least: float, text_col: s
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = fold("doc_id", 4) == 2
-    model = fit(docs.where(~held_out), labels.where(~held_out))
-    scored = score_quality(docs, model)
+    features = stored(features_of(docs))
+    scored = score_features(features, fit(features.where(~held_out), labels.where(~held_out)))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
