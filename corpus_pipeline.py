@@ -9,11 +9,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import fold, scratch_folder, table
+from tessera.llm.common import fold, scratch_folder, stored, table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.near_dedup import drop_near_duplicates
 from tessera.llm.packing import pack_documents
-from tessera.llm.quality import fit, keep_quality
+from tessera.llm.quality import features_of, fit, keep_quality
 from tessera.llm.substring_dedup import strip_repeats
 
 LEAST_QUALITY = 0.7
@@ -22,7 +22,8 @@ LEAST_QUALITY = 0.7
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     training = fold("doc_id", 4) != 2
-    model = fit(docs.where(training), table(spark, sf_dir, "labels").where(training))
+    features = stored(features_of(docs.where(training)))
+    model = fit(features, table(spark, sf_dir, "labels").where(training))
     return keep_quality(docs, model, LEAST_QUALITY)
 
 
