@@ -22,24 +22,37 @@ def texts():
     return ODD + ["".join(r.choice(ALPHABET) for _ in range(r.randint(1, 60))) for _ in range(3000)]
 
 
-def test_chunks_equal_the_library():
-    chunks = pieces.chunk_table(MODEL)
-    for text in texts():
-        ids = chunks.library.encode(text)
-        assert chunks.encode(text) == (",".join(map(str, ids)), chunks.library.decode(ids)), repr(text)
-
-
-def test_emptied_table_gives_the_same():
-    chunks = pieces.ChunkTable(MODEL, max_entries=5)
-    for text in texts()[:300]:
-        assert chunks.encode(text) == pieces.chunk_table(MODEL).encode(text)
-
-
-def test_piece_queries(spark):
+@pytest.mark.parametrize("listed", [0, 50, 10**6])
+def test_chunks_equal_the_library(listed):
+    """With a table of no, some, or all chunks."""
+    own = pieces.segmenter(MODEL)
+    chunks = sorted({c for t in texts() for c in pieces.CHUNK.findall(" " + t.replace(pieces.MARK, " "))})
+    table = own.segment(chunks[:listed])
+    for text, got in zip(texts(), own.encode_all(texts(), table)):
+        ids = own.library.encode(text)
+        assert got == (",".join(map(str, ids)), own.library.decode(ids)), repr(text)
+
+
+def test_distinct_chunks(spark):
+    """Spark cuts texts as the segmenter does, and the table holds the commonest."""
+    frame = spark.createDataFrame([(t,) for t in [*texts(), None, "the the the  the"]], "text string")
+    want = {}
+    for t in [*texts(), "the the the  the"]:
+        for c in pieces.CHUNK.findall(" " + t.replace(pieces.MARK, " ")) if t else []:
+            want[c] = want.get(c, 0) + 1
+    counts = {r["chunk"]: r["n"] for r in pieces.chunk_counts(frame).collect()}
+    assert counts == want
+    table = pieces.chunk_table(frame, MODEL, 20).value
+    assert 0 < len(table) <= 20 and min(want[c] for c in table) > max(n for c, n in want.items() if c not in table) / 2
+    assert pieces.chunk_table(frame, MODEL).value.keys() == {c for c, n in want.items() if n > 1}
+
+
+@pytest.mark.parametrize("max_entries", [0, 3, pieces.MAX_ENTRIES])
+def test_piece_queries(spark, max_entries):
     docs = documents(spark)
-    library = pieces.chunk_table(MODEL).library
-    full = pieces.piece_codec(docs, MODEL).collect()
-    short = pieces.piece_digests(docs, MODEL).collect()
+    library = pieces.segmenter(MODEL).library
+    full = pieces.piece_codec(docs, MODEL, max_entries).collect()
+    short = pieces.piece_digests(docs, MODEL, max_entries).collect()
     assert len(full) == len(short) == len(rows())
     assert all(library.decode(f["ids"]) == f["decoded"] for f in full)
     by = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in short)
@@ -49,6 +62,18 @@ def test_piece_queries(spark):
     assert pieces.piece_digests(documents(spark, []), MODEL).count() == 0
 
 
+def test_ids_equal_the_tokenizers_library_on_every_code_point():
+    own = packing.byte_tokenizer(public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json"), public.PATTERN)
+    library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    blocks = ["".join(points[k : k + 997]) for k in range(0, len(points), 997)]  # neighbours side by side
+    spaced = [f"a{x} {x}1{x}{x}\n{x}'s" for x in points[:0x3000]]  # every letter, mark and number of the common scripts in context
+    long = ["x" * 5000, " " * 5000, "\n" * 3000, "ab" * 3000, "é" * 3000, "1" * 3000, "漢" * 2000]
+    for part in (blocks, spaced, long):
+        for text, want in zip(part, library.encode_batch(part, add_special_tokens=False)):
+            assert own.ids(text).tolist() == want.ids, repr(text[:40])
+
+
 def test_ids_equal_the_tokenizers_library():
     own = packing.byte_tokenizer(public.path("byte_bpe_50k.tiktoken"), public.path("byte_bpe_50k.json"), public.PATTERN)
     library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
