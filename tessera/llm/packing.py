@@ -1,16 +1,20 @@
 """Packing by power-of-two decomposition: no sequence crosses documents, and none is padded.
 
 A document of n ids is cut into pieces of max_length, then the binary digits of the rest, longest
-first. Each piece is a sequence of its own; sequences of equal length share a bucket, which a
-training run reads (or a sink writes, partitioned by bucket) with one batch shape per bucket.
+first. Each piece is a sequence of its own. Sequences are bucketed by length: their ids run through
+the longest bucket first, so equal lengths have neighbouring ids and a training run reads each
+bucket with one batch shape. Within a bucket they are ordered by a block (a hash of the piece) and
+then by document and place, so ids depend on the rows alone, not on how they are split into files
+or tasks, and no task sees more than a block.
 
 Ids are those of the tokenizers file; tiktoken computes them from the same vocabulary, as its
-merges by rank give the same ids several times faster (tested against the tokenizers library).
-Texts that hold the string of the special token go to the tokenizers library itself.
+merges by rank give the same ids several times faster (tested against the tokenizers library on
+every code point, and on long runs). Texts that hold the string of the special token go to the
+tokenizers library itself.
 
 Defined results: a null or empty text is one piece that holds the end id alone; repeated rows are
-packed each; sequence ids are unique, and stable for the same input splits; empty tables give
-empty results; other columns are not read.
+packed each, with a sequence id each; a null id is kept; empty tables give empty results; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import stored, table
 from tessera.llm.words import slices
 
 SPECIAL = "<|endoftext|>"
+#: Pieces of one block, on average.
+BLOCK = 250_000
 
 
 class ByteTokenizer:
@@ -74,6 +80,7 @@ def pack_binary(
     max_length: int = 2048,
     end_id: int = 1,
     with_ids: bool = True,
+    block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -109,8 +116,20 @@ def pack_binary(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    pieces = docs.select(id_col, text_col).mapInArrow(run, schema)
-    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return bucketed(stored(pieces), block).withColumn("offset", F.lit(0).cast("long"))
+
+
+def bucketed(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
+    """pieces with sequence_id, from 0 without gaps, the longest first. Counts by length and block
+    tell where each block's ids begin."""
+    blocks = max(1, -(-pieces.count() // block))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(blocks)))
+    counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
+    begin = (F.sum("n").over(Window.orderBy(F.desc("length"), "block")) - F.col("n")).alias("begin")  # a row for each block and length
+    order = Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")
+    numbered = dealt.withColumn("turn", F.row_number().over(order)).join(counts.select("length", "block", begin), ["length", "block"])
+    return numbered.select(*pieces.columns, (F.col("begin") + F.col("turn") - 1).alias("sequence_id"))
 
 
 def pack_documents(docs: DataFrame, with_ids: bool) -> DataFrame:

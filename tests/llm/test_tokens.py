@@ -92,7 +92,8 @@ def test_packing_round_trip(spark):
     library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     docs = documents(spark)
     out = packing.pack_documents(docs, with_ids=True).toPandas()
-    assert out.sequence_id.is_unique and (out.offset == 0).all()
+    assert sorted(out.sequence_id) == list(range(len(out))) and (out.offset == 0).all()
+    assert out.sort_values("sequence_id").length.is_monotonic_decreasing
     for r in out.itertuples():
         assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
     want = sorted((tuple(library.encode(r[1] or "", add_special_tokens=False).ids) + (1,) for r in rows()), key=len)
@@ -104,6 +105,17 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(documents(spark, []), with_ids=False).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 3, packing.BLOCK])
+def test_sequence_ids_depend_on_rows_alone(spark, block):
+    frame = spark.createDataFrame([(i, 0, 1 << (i % 4), i * 7, 9) for i in range(40)] + [(3, 0, 8, 21, 9), (None, 0, 8, 5, 9), (None, 4, 8, 5, 9)], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    one = packing.bucketed(frame.repartition(1), block).toPandas()
+    other = packing.bucketed(frame.orderBy("ids_crc32").repartition(5), block).toPandas()
+    assert sorted(one.sequence_id) == list(range(43)) and one.sort_values("sequence_id").length.is_monotonic_decreasing
+    key = ["sequence_id", "doc_id", "start", "length"]
+    assert one[key].sort_values(key).fillna(-1).values.tolist() == other[key].sort_values(key).fillna(-1).values.tolist()
+    assert packing.bucketed(frame.limit(0)).count() == 0
+
+
 def test_length_must_be_a_power_of_two(spark):
     with pytest.raises(ValueError):
         packing.pack_binary(documents(spark), "", "", "", max_length=1000)
