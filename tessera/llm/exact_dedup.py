@@ -4,10 +4,10 @@ The text itself is the second grouping key after its hash, so equality is decide
 rows are dealt and compared by hash first. Partial aggregation folds copies before the shuffle: a
 text that a third of all rows share leaves each map task as one row.
 
-Defined results: a null text counts as empty; null ids sort before all others; a repeated row
-(same id and text) belongs to its group as often as it occurs; an empty table gives an empty
-result; columns other than id and text are never read by duplicate_groups and pass unchanged
-through exact_dedup.
+Defined results: a null text counts as empty; a row with an id stays rather than one without; a
+repeated row (same id and text) counts in its group as often as it occurs, and just one of them is
+kept; an empty table gives an empty result; columns other than id and text are never read by
+duplicate_groups and pass unchanged through exact_dedup, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import fresh, table
 
 
 def content_hash(text: Column) -> Column:
@@ -31,7 +31,7 @@ def duplicate_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id",
     share is split by adaptive execution, as both sides are plain shuffles. hashed may be any
     function of the text: collisions cost time, never rows.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     chosen = F.max("doc_id") if keep == "max" else F.min("doc_id")
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
     groups = (
@@ -39,12 +39,13 @@ def duplicate_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id",
         .agg(chosen.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("h", digest, "keep_id", "group_size")
     )
-    rows = base.select("doc_id", hashed(F.col("text")).alias("h"), digest)
-    return rows.join(groups, ["h", "digest"]).select(
+    rows = base.select("doc_id", hashed(F.col("text")).alias("h"), digest).groupBy("h", "digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("turn")  # one of equal rows is kept
+    return rows.join(groups, ["h", "digest"]).select("*", turn).select(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -55,13 +56,15 @@ def exact_dedup(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text
     Of rows that agree in text and id, the one whose other columns hash highest stays.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    order = F.struct(F.col(f"`{id_col}`").alias("i"), (F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)).alias("o"))
+    missing = F.col(f"`{id_col}`").isNotNull() if keep == "max" else F.col(f"`{id_col}`").isNull()
+    order = F.struct(missing.alias("m"), F.col(f"`{id_col}`").alias("i"), (F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)).alias("o"))
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col], F.col(f"`{text_col}`").isNull().alias("was_null"))
     pick = F.max_by if keep == "max" else F.min_by
-    one = docs.groupBy(content_hash(body).alias("__h"), body.alias("__body")).agg(pick(row, order).alias("__row"))
-    text = F.when(~F.col("__row.was_null"), F.col("__body"))
-    return one.select(*[(text if c == text_col else F.col(f"__row.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    h, of_text, held = (fresh(docs, n) for n in ("content_hash", "content", "row_kept"))
+    one = docs.groupBy(content_hash(body).alias(h), body.alias(of_text)).agg(pick(row, order).alias(held))
+    text = F.when(~F.col(f"{held}.was_null"), F.col(of_text))
+    return one.select(*[(text if c == text_col else F.col(f"{held}.c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

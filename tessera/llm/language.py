@@ -1,4 +1,4 @@
-"""Language ID by mixture inference.
+r"""Language ID by mixture inference.
 
 Every learned language has a distribution over hashed byte trigrams. A document is a mixture: each
 of its words was drawn from one language, with a likelihood that is the product over the word's
@@ -8,17 +8,19 @@ the unrestricted proportions: that whose log-likelihood less log(words) / 2 for
 language is greatest. A row stops growing only where the bound of its unrestricted likelihood shows
 that no larger set can be better.
 
+The score is the greatest share as the mean over all sets tried, weighted by that likelihood, so it
+is low both for mixed texts and for texts too short to tell.
+
 Counts are taken over all training rows; the model is languages x BUCKETS numbers, however large
 the corpus.
 
 Defined results: text that is null or has no letter, or a model without languages, gives und with
-score 0; ties go to the language first in order; repeated rows each get the same result; empty
+score 0 (letters are \p{L}: numerals such as fractions are none); ties go to the language first in order; repeated rows each get the same result; empty
 tables give empty results; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import fold, table
-from tessera.llm.features import LETTER, LOWER, runs
+from tessera.llm.features import LETTER, LOWER, CodePoints, per_row, runs, unicode
 from tessera.llm.words import Words, slices
 
 BUCKET_BITS = 14
@@ -36,7 +38,6 @@ BUCKETS = 1 << BUCKET_BITS
 #: Log-likelihood a word that EM may leave unreached, and its rounds between two tests of that.
 TOLERANCE = 1e-8
 ROUNDS = 4
-HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def trigram_buckets(raw: np.ndarray) -> np.ndarray:
@@ -114,15 +115,16 @@ def converge(likelihood: np.ndarray, first: np.ndarray, shares: np.ndarray, enou
     return out, value, bound
 
 
-def infer(words: Words, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of the languages per row; and whether a row has a word at all."""
+def infer(words: Words, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of the languages per row; whether a row has a word at all; and how sure the greatest
+    share is: its mean over all sets tried, each weighted by its penalised likelihood."""
     start, end = runs(LETTER[words.raw], words.offsets)
     every = np.searchsorted(start, words.offsets)
     some = np.diff(every) > 0
     languages = len(log_p)
     out = np.zeros((words.rows, languages))
     if not some.any() or not languages:
-        return out, some & bool(languages)
+        return out, some & bool(languages), np.zeros(words.rows)
     buckets = trigram_buckets(words.raw)
     scores = np.empty((len(start), languages))
     for k in range(languages):
@@ -141,6 +143,7 @@ def infer(words: Words, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     free, _, bound = converge(np.exp(scores - base[:, None]), first, np.full((len(n), languages), 1 / languages), best + penalty + least - base_sum)
     bound += base_sum
     ranked = np.argsort(-free, axis=1, kind="stable")
+    tried = []
     for size in range(2, languages + 1):
         # no set's likelihood exceeds the bound of the unrestricted one: rows left out can't gain by any set of this size or more
         live = np.flatnonzero(bound - (size - 1) * penalty > best + least)
@@ -156,13 +159,23 @@ def infer(words: Words, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         must = best[live] + (size - 1) * penalty[live] + least[live]
         found, value, _ = converge(np.exp(of_set - top_of_set[:, None]), edges, start_at / start_at.sum(1, keepdims=True), must - base_of_set)
         value += base_of_set
+        tried.append((live, chosen, found, value - (size - 1) * penalty[live]))
         better = value > must
         at = live[better]
         shares[at] = 0
         shares[at[:, None], chosen[better]] = found[better]
         best[at] = (value - (size - 1) * penalty[live])[better]
     out[some] = shares
-    return out, some
+    top = np.argmax(shares, 1)
+    weight = np.exp(alone - best[:, None])
+    sure, total = weight[np.arange(len(n)), top], weight.sum(1)
+    for live, chosen, found, value in tried:
+        weight = np.exp(np.minimum(value - best[live], 0))
+        sure[live] += weight * np.where(chosen == top[live][:, None], found, 0).sum(1)
+        total[live] += weight
+    score = np.zeros(words.rows)
+    score[some] = sure / total
+    return out, some, score
 
 
 def identify(docs: DataFrame, names: list[str], log_p: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,14 +184,14 @@ def identify(docs: DataFrame, names: list[str], log_p: np.ndarray, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, text_col)):
             texts = batch.column(1)
-            shares, some = infer(Words(texts), log_p)
-            letters = np.array([bool(HAS_LETTER.search(t.as_py() or "")) for t in texts], bool)
-            known = some & letters if len(some) else some
+            shares, some, sure = infer(Words(texts), log_p)
+            text = CodePoints(texts)
+            known = some & (per_row(unicode().letter[text.points], text.offsets) > 0)
             pred, score, sets, parts = [], [], [], []
-            for row, is_known in zip(shares, known):
+            for row, is_known, x in zip(shares, known, sure):
                 order = [k for k in np.argsort(-row, kind="stable") if row[k] > 0] if is_known else []
                 pred.append(names[order[0]] if order else "und")
-                score.append(float(min(1.0, row[order[0]])) if order else 0.0)
+                score.append(float(min(1.0, x)) if order else 0.0)
                 sets.append([names[k] for k in order])
                 parts.append([float(row[k]) for k in order])
             yield pa.RecordBatch.from_arrays(
@@ -187,7 +200,7 @@ def identify(docs: DataFrame, names: list[str], log_p: np.ndarray, id_col: str =
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ signature there. Two signatures agree in a coordinate with the weighted Jaccard
 Documents that agree in a whole band are candidates:
   1. documents with the same shingles are folded into one representative;
   2. in each bucket the least id leads; each member is compared with its leader;
-  3. links (exact similarity of at least `threshold`) are closed to classes;
+  3. links (similarity of at least `threshold`, exact over all shingles, which count as equal when
+     their 61-bit hashes agree) are closed to classes;
   4. in a bucket of three and more that still holds several classes, those outside its largest
      class are compared with all of that class and with each other, in blocks of bounded size.
 So each pair of a bucket is compared, or its members share a class by other links. Copies are
@@ -19,7 +20,8 @@ never paired.
 With 24 bands of 4 rows a pair of similarity 0.8 shares no bucket with probability 3e-6.
 
 Defined results: null and empty texts, and texts without words, are classes of their own id; texts
-of one to four words have one shingle, their words; rows without id have no class and size 1; rows
+of one to four words have one shingle, their words; rows without id (or with 2**63 - 1, which
+stands for none) have no class and size 1; rows
 of one id are one document (of differing texts, that with the greatest shingle bytes is compared);
 empty tables give empty results; other columns are not read.
 """
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpointed, table
+from tessera.llm.common import checkpointed, fresh, table
 from tessera.llm.words import ODD, Words, mix64, range_hashes, slices
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -154,7 +156,7 @@ def sketch(docs: DataFrame, weights: str, id_col: str, text_col: str) -> DataFra
             buckets = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel()), mask=pa.array(empty))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same[0]), pa.array(same[1]), buckets], ["doc_id", "same1", "same2", "buckets"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "doc_id long, same1 long, same2 long, buckets array<long>")
 
 
@@ -172,7 +174,7 @@ def shingle_blobs(docs: DataFrame, ids: DataFrame, weights: str, id_col: str, te
                 blobs = [element[a:b].tobytes() for a, b in zip(first, first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary").groupBy("doc_id").agg(F.max("shingles").alias("shingles"))
 
 
@@ -321,8 +323,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = THRESHOLD, weight
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, unchanged, whose id is the least of its class; rows without id stay."""
     classes = near_duplicate_classes(docs, threshold, id_col=id_col, text_col=text_col)
-    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    key = fresh(docs, "gone_id")
+    gone = classes.where("doc_id != class_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`") == F.col(key), "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -347,12 +347,15 @@ def score_features(features: DataFrame, model: QualityModel) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: QualityModel, least: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, whose text scores at least `least`."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]  # no name that needs quotes reaches the workers
+    text = plain[docs.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, text_col)):
-            yield batch.filter(pa.array(model.score(quality_features(batch.column(text_col))) >= least))
+        for batch in (part for whole in batches for part in slices(whole, text)):
+            yield batch.filter(pa.array(model.score(quality_features(batch.column(text))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = docs.toDF(*plain)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -428,7 +428,7 @@ def strip_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for every in batches for part in slices(every, text_col)):
+        for batch in (part for every in batches for part in slices(every, f"c{at}")):
             words, texts, stay = Words(batch.column(at)), batch.column(at).to_pylist(), []
             whole, windows = batch.column(len(names)), batch.column(len(names) + 1)
             for r in range(words.rows):
@@ -439,9 +439,11 @@ def strip_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
                 texts[r] = kept_text(words, r, missing).decode()
                 stay.append(not missing.all())
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, plain).filter(pa.array(stay, pa.bool_()))
 
-    return rows.mapInArrow(run, docs.schema)
+    plain = [f"c{k}" for k in range(len(names))]  # no name that needs quotes reaches the workers
+    made = rows.toDF(*plain, "whole", "windows").mapInArrow(run, docs.toDF(*plain).schema)
+    return made.toDF(*names)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

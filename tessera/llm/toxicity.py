@@ -2,9 +2,13 @@
 
 Features: densities of a lexicon (words given, and words learned from the labels), how near hits
 lie to second-person words, capitals, punctuation, and obfuscation rates (hits that appear only
-when look-alike characters are read as letters, repeated letters, symbols inside words). Trees and
-calibration are fitted with Spark ML on a sample of at most about max_rows labelled rows, split by
-a hash of their ids; features and scores are computed for every whole text.
+when look-alike characters are read as letters, repeated letters, symbols inside words). Words are
+runs of Unicode letters in lower case, cut by one tokenizer for learning and scoring alike. The
+learned lexicon is every word in at least `least` toxic rows whose share among them is `odds` times
+that among others; it is learned from one half of the labelled rows, so that trees fitted on all
+see how its hits fare on rows it was not learned from. Trees and calibration are fitted with Spark
+ML on a sample of at most about max_rows labelled rows, split by a hash of their ids; features and
+scores are computed for every whole text.
 
 Defined results: null and empty texts have all-zero features and get a score like any other; a
 sample with one class gives that class's share to every row; a repeated label counts once, toxic
@@ -24,31 +28,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpointed, fold, table
-from tessera.llm.features import DIGIT, LETTER, PUNCTUATION, LetterWords, per_row, shares, word_hash
+from tessera.llm.features import CodePoints, LetterWords, per_row, shares, unicode, word_hash
 from tessera.llm.words import Words, slices
 
 #: A small general list; the learned lexicon adds to it.
 INSULTS = ["idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "dumb", "imbecile", "vermin", "hate", "kill", "shut", "ugly", "filth"]
 SECOND_PERSON = ["you", "your", "yours", "yourself", "ur", "u", "tu", "toi", "ton", "ta", "te", "vous", "votre", "vos", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "usted", "ustedes", "ti", "tus"]
 NEAR = 5
+#: Characters that stand between letters in ordinary text: white space, hyphens, apostrophes.
+JOINING = np.zeros(0x2020, bool)
+JOINING[[32, *range(9, 14), 0x27, 0x2D, 0xA0, 0xAD, *range(0x2000, 0x2016), 0x2018, 0x2019]] = True
 
 
-def lexicon_of(labelled: DataFrame, least: int = 5, odds: float = 8.0, most: int = 500) -> list[tuple[str, float]]:
-    """Words whose share among toxic rows is at least odds times that among others, by evidence."""
-    words = labelled.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
-    sums = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    total = labelled.agg(F.sum("toxic").alias("all_bad"), F.sum(1 - F.col("toxic")).alias("all_good"))
-    scored = sums.where(F.col("bad") >= least).join(F.broadcast(total)).withColumn(
-        "odds", ((F.col("bad") + 0.5) / (F.col("all_bad") + 1)) / ((F.col("good") + 0.5) / (F.col("all_good") + 1))
-    )
-    rows = scored.where(F.col("odds") >= odds).orderBy(F.desc("bad"), "word").limit(most).collect()
-    return [(r["word"], float(np.log(r["odds"]))) for r in rows]
+def lexicon_of(labelled: DataFrame, least: int = 5, odds: float = 8.0) -> list[tuple[int, float]]:
+    """Hashes of the learned words, with the logarithm of their odds; the sample bounds their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            words = LetterWords(CodePoints(batch.column(1)))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words.first))
+            each = np.unique(np.stack([row.astype(np.uint64), words.hash]), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(each[0].astype(np.int64))), pa.array(each[1].view(np.int64))], ["toxic", "word"])
+
+    words = labelled.select("toxic", "text").mapInArrow(run, "toxic int, word long")
+    sums = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(F.col("bad") >= least)
+    total = labelled.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)).alias("good")).first()
+    ratio = ((F.col("bad") + 0.5) / (total["bad"] + 1)) / ((F.col("good") + 0.5) / (total["good"] + 1))
+    rows = sums.withColumn("odds", ratio).where(F.col("odds") >= odds).collect()
+    return [(r["word"] & ((1 << 64) - 1), float(np.log(r["odds"]))) for r in rows]
 
 
 def feature_matrix(texts: pa.Array, lexicon: np.ndarray, weights: np.ndarray, listed: np.ndarray, person: np.ndarray) -> np.ndarray:
     """One row of features per text. lexicon: sorted hashes with weights; listed: sorted hashes."""
-    words = Words(texts)
-    plain, written = LetterWords(words), LetterWords(words, lookalike=True)
+    words, text = Words(texts), CodePoints(texts)
+    plain, written = LetterWords(text), LetterWords(text, lookalike=True)
     n = np.maximum(1, np.diff(plain.first)).astype(float)
 
     def found(table: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,10 +85,12 @@ def feature_matrix(texts: pa.Array, lexicon: np.ndarray, weights: np.ndarray, li
     all_hits = np.maximum(1, per_row(any_hit, plain.first))
     undone, _ = found(np.union1d(lexicon, listed), written.hash)
     hidden = np.maximum(0, per_row(undone, written.first) - per_row(any_hit, plain.first))
-    raw = words.raw
-    inside = np.zeros(len(raw), bool)
-    if len(raw) > 2:
-        inside[1:-1] = (PUNCTUATION | DIGIT)[raw[1:-1]] & LETTER[raw[:-2]] & LETTER[raw[2:]]
+    known, points = unicode(), text.points
+    letter, capital = known.letter[points], known.capital[points]
+    inside = np.zeros(len(points), bool)
+    if len(points) > 2:
+        inside[1:-1] = ~letter[1:-1] & ~JOINING[np.minimum(points[1:-1], len(JOINING) - 1)] & letter[:-2] & letter[2:]
+    letters = np.maximum(1, per_row(letter, text.offsets))
     columns = [
         per_row(any_hit, plain.first),
         per_row(any_hit, plain.first) / n,
@@ -86,14 +101,15 @@ def feature_matrix(texts: pa.Array, lexicon: np.ndarray, weights: np.ndarray, li
         per_row(you, plain.first) / n,
         hidden,
         hidden / n,
-        per_row(inside, words.offsets) / n,
+        per_row(inside, text.offsets) / n,
+        per_row(capital, text.offsets) / letters,
     ]
     return np.nan_to_num(np.concatenate([np.stack(columns, 1), shares(words)], 1))
 
 
-def with_features(docs: DataFrame, lexicon: list[tuple[str, float]], carried: str = "") -> DataFrame:
+def with_features(docs: DataFrame, lexicon: list[tuple[int, float]], carried: str = "") -> DataFrame:
     """docs (doc_id, text, then the carried columns) with an array of features for the text."""
-    known = sorted((word_hash(w), x) for w, x in lexicon)
+    known = sorted(lexicon)
     hashes, weights = np.array([h for h, _ in known], np.uint64), np.array([x for _, x in known], float)
     listed, person = (np.unique(np.array([word_hash(w) for w in ws], np.uint64)) for ws in (INSULTS, SECOND_PERSON))
 

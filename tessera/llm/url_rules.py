@@ -1,20 +1,24 @@
 """URL filter: stated rules first, then association rules mined by FP-growth.
 
-URL tokens (host labels and suffix, path words, file extension, query keys) of labelled pages are
-transactions, with one item more for the label. FP-growth finds the frequent combinations; rules
-token combination -> block that reach a confidence and a support are kept; a rule that holds all
-terms of a shorter one is dropped, with no effect on results. An inverted index lists each rule
-under its rarest term; a URL is blocked when all terms of a rule listed under one of its tokens
-occur in it.
-
-Size of the index: with t tokens a transaction and minimum support s there are at most
-sum C(t, i) / s frequent combinations, whatever the number of pages; so the rules stay small as the
-data grow. Rules of every length count, unless max_terms is given. Spark still decides by their
-measured size whether to broadcast them.
+URL tokens (host labels, top-level domain, path words, file extension, query keys) of labelled pages
+are transactions. A rule is a token combination whose share of blocked pages reaches a confidence,
+and whose blocked pages reach a support; a URL is blocked when it holds all tokens of a rule. Rules
+of every length count. What can't change a verdict is left out before it is mined:
+  1. a token that is a rule by itself: whatever holds it is blocked, so longer rules with it are
+     implied. Only the other tokens that reach the support go on;
+  2. tokens that occur in just the same labelled pages (all parts of one template, say) count as
+     one, as combinations of them double with each; a rule with one of them holds for each;
+  3. FP-growth mines the combinations of the blocked pages alone; their counts over all labelled
+     pages, for the confidence, are found by the same inverted index that judges URLs.
+Rules that a shorter one implies are dropped. The index lists each rule under the tokens of its
+rarest part. With t different tokens a page left after 1 and 2 and least support s, a page adds at
+most 2**t combinations, and there are at most sum C(t, i) / s in all, whatever the number of pages;
+max_terms bounds i where t is large. Spark decides by the measured size whether to broadcast them.
 
 Defined results: a null URL or one without :// has an empty host and path, no tokens, no rule,
 and is allowed; repeated rows each get the same verdict; empty tables give empty results; with no
-labels nothing is mined and only stated rules block.
+labels, or with fewer than min_count blocked ones, nothing is mined and only stated rules block (a
+rule needs min_count blocked pages at any size).
 """
 
 from __future__ import annotations
@@ -57,8 +61,8 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
 
 
 def url_tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: host labels, top-level domain, path words, extension, query keys."""
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    """Distinct tokens: host labels, top-level domain (the last label), path words, extension, query keys."""
+    labels = F.filter(F.split(F.regexp_replace(host, r"(^|\.)[^.]*$", ""), r"\."), lambda x: x != "")
     words = F.filter(F.split(path, r"[/._\-]"), lambda x: (x != "") & ~x.rlike(r"^\d+$"))
     query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
@@ -67,29 +71,46 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.coalesce(F.concat(named("host=", labels), top, named("path=", words), named("key=", keys)), F.array().cast("array<string>")))
 
 
+def holds_all(parts: str, tokens: str) -> Column:
+    """Does the array of tokens hold one of each part's alternatives?"""
+    return F.forall(parts, lambda alternatives: F.arrays_overlap(alternatives, tokens))
+
+
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_terms: int | None, min_count: int) -> DataFrame:
-    """Rules (terms, key: the rarest term, confidence, support) for blocking, none implied by a
-    shorter one, from rows (tokens, blocked boolean)."""
-    spark = labelled.sparkSession
-    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCK)))).otherwise(F.col("tokens")).alias("items")
-    transactions = labelled.select(items)
-    empty = spark.createDataFrame([], "terms array<string>, key string, confidence double, support double")
-    total = transactions.count()
-    if total < min_count:
-        return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / total), minConfidence=min_confidence).fit(transactions)
-    rules = checkpointed(
-        model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.lit(max_terms is None) | (F.size("antecedent") <= (max_terms or 0)))).select(
-            F.array_sort("antecedent").alias("terms"), "confidence", "support"
-        )
-    )
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("term"), "freq")
-    each = rules.select("terms", "confidence", "support", F.explode("terms").alias("term")).join(often, "term")
-    keyed = each.groupBy("terms", "confidence", "support").agg(F.min_by("term", F.struct("freq", "term")).alias("key"))
-    shorter = keyed.select("key", F.col("terms").alias("part"))
-    within = F.forall("part", lambda t: F.array_contains("terms", t)) & (F.size("part") < F.size("terms"))
-    implied = each.join(shorter, F.col("term") == F.col("key")).where(within).select("terms").distinct()
-    return checkpointed(keyed.join(implied, "terms", "left_anti").select("terms", "key", "confidence", "support"))
+    """Rules (parts: arrays of alternative tokens, of which a URL needs one each; keys: those of the
+    rarest part; confidence, support) for blocking, from rows (tokens, blocked boolean)."""
+    labelled = checkpointed(labelled)
+    sums = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("blocked").cast("int")), F.lit(0))).first()
+    least = max(min_count, min_support * sums[0])
+    # tokens, and a sum of hashes that tells which rows hold them
+    place = F.xxhash64("tokens", "blocked").cast("decimal(38,0)")
+    each = labelled.select(F.explode("tokens").alias("token"), "blocked", place.alias("place"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("int")).alias("bad"), F.sum("place").alias("place")).where(F.col("bad") >= least)
+    counts = checkpointed(counts)
+    confident = F.col("bad") / F.col("n") >= min_confidence
+    alone = counts.where(confident).select(F.array(F.array("token")).alias("parts"), F.array("token").alias("keys"), (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / sums[0]).alias("support"))
+    kinds = checkpointed(counts.where(~confident).groupBy("n", "bad", "place").agg(F.sort_array(F.collect_list("token")).alias("tokens")).select(F.element_at("tokens", 1).alias("kind"), "tokens", "n"))
+    members = kinds.select("kind", F.explode("tokens").alias("token"))
+    bad = labelled.where("blocked").withColumn("row", F.monotonically_increasing_id()).select("row", F.explode("tokens").alias("token")).join(members, "token").groupBy("row").agg(F.collect_set("kind").alias("items"))
+    bad = checkpointed(bad.select("items"))
+    many = bad.count()
+    if many < least:
+        return alone
+    found = FPGrowth(itemsCol="items", minSupport=least / many).fit(bad).freqItemsets.where((F.size("items") > 1) & (F.col("freq") >= least))
+    if max_terms is not None:
+        found = found.where(F.size("items") <= max_terms)
+    found = found.select(F.array_sort("items").alias("items"), F.col("freq").alias("bad"))
+    parts = found.select("items", "bad", F.explode("items").alias("kind")).join(kinds, "kind")
+    parts = checkpointed(parts.groupBy("items", "bad").agg(F.collect_list("tokens").alias("parts"), F.min_by("tokens", F.struct("n", "kind")).alias("keys")))
+    rows = labelled.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"))  # equal token sets are looked up once
+    met = rows.select("tokens", "n", F.explode("tokens").alias("key")).join(parts.select("items", "parts", F.explode("keys").alias("key")), "key").where(holds_all("parts", "tokens"))
+    # a URL may hold several of the keys
+    total = met.dropDuplicates(["tokens", "items"]).groupBy("items").agg(F.sum("n").alias("n"))
+    rules = checkpointed(parts.join(total, "items").where(F.col("bad") / F.col("n") >= min_confidence))
+    shorter = rules.select(F.explode("items").alias("kind"), F.col("items").alias("within"))
+    longer = rules.select("items", F.explode("items").alias("kind")).join(shorter, "kind").where((F.size("within") < F.size("items")) & (F.size(F.array_except("within", "items")) == 0))
+    rules = rules.join(longer.select("items").distinct(), "items", "left_anti")
+    return alone.unionByName(rules.select("parts", "keys", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / sums[0]).alias("support")))
 
 
 def filter_urls(
@@ -109,7 +130,7 @@ def filter_urls(
     rule. Pages are matched by (page_id, url), so one URL on many pages is spread over tasks.
     """
     url = F.col("url")
-    base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": url_host(url), "path": url_path(url)})
+    base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url")).withColumns({"host": url_host(url), "path": url_path(url)})
     rule, stated = stated_rule(F.col("host"), F.col("path"), rules)
     base = base.withColumns({"rule": rule, "stated": stated})
     tokens = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(url_tokens(url, F.col("host"), F.col("path")))
@@ -122,12 +143,12 @@ def filter_urls(
             .select(tokens.alias("tokens"), F.coalesce(F.col("stated") == "block", F.col("blocked")).alias("blocked"))
             .where("blocked IS NOT NULL")
         )
-    mined = mine_rules(labelled, min_support, min_confidence, max_terms, min_count)
+    mined = checkpointed(mine_rules(labelled, min_support, min_confidence, max_terms, min_count))
     seen = base.where("stated IS NULL").select("page_id", "url", tokens.alias("tokens")).dropDuplicates(["page_id", "url"])
     hit = (
         seen.select("page_id", "url", "tokens", F.explode("tokens").alias("key"))
-        .join(mined.select("terms", "key"), "key")
-        .where(F.forall("terms", lambda t: F.array_contains("tokens", t)))
+        .join(mined.select("parts", F.explode("keys").alias("key")), "key")
+        .where(holds_all("parts", "tokens"))
         .select(F.col("page_id").alias("hit_id"), F.col("url").alias("hit_url"), F.lit("block").alias("mined"))
         .dropDuplicates(["hit_id", "hit_url"])
     )

@@ -282,7 +282,29 @@ def test_exact_groups(spark, keep, hashed):
         ids = of[r["text_sha256"]]
         known = [i for i in ids if i is not None] or [None]
         assert r["group_size"] == len(ids) and r["keep_id"] == (max if keep == "max" else min)(known, key=key)
-        assert r["kept"] == (r["doc_id"] == r["keep_id"])
+        assert not r["kept"] or r["doc_id"] == r["keep_id"]
+    assert sorted(r["text_sha256"] for r in out if r["kept"]) == sorted(of)  # one row of each group
+
+
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_one_row_of_a_group_is_kept(spark, keep):
+    """Of repeated rows one, of rows without id one, and a row with an id before one without."""
+    docs = [(7, "a"), (7, "a"), (None, "b"), (None, "b"), (None, "c"), (5, "c"), (6, "c"), (None, None), (3, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    out = exact_dedup.duplicate_groups(frame, keep).collect()
+    kept = {(r["doc_id"], r["text_sha256"]) for r in out if r["kept"]}
+    assert len(out) == len(docs) and sum(r["kept"] for r in out) == len(kept) == 4
+    whole = exact_dedup.exact_dedup(frame, keep).collect()
+    assert kept == {(r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in whole}
+    assert {i for i, _ in kept} == {7, None, 5 if keep == "min" else 6, 3}
+
+
+@pytest.mark.parametrize("strip", [lambda d: substring_dedup.strip_repeats(d), lambda d: exact_dedup.exact_dedup(d), lambda d: near_dedup.drop_near_duplicates(d)])
+def test_names_that_clash(spark, strip):
+    names = ["gone_id", "gone_version", "gone_whole", "gone_windows", "content_hash", "content", "row_kept", "n_words", "buckets", "a.b"]
+    docs = documents(spark).selectExpr("*", *(f"{k} AS `{n}`" for k, n in enumerate(names)))
+    out = strip(docs)
+    assert out.columns == docs.columns and 0 < out.count() <= len(rows())
 
 
 def test_exact_dedup_keeps_one_whole_row(spark):

@@ -5,7 +5,6 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import features, language, quality, toxicity
-from tessera.llm.words import Words
 from tests.llm.edge import documents, rows
 
 
@@ -30,10 +29,10 @@ def test_language_mixture(spark):
     names, log_p = language.fit_languages(language.count_trigrams(training).toPandas())
     assert names == ["x", "y"]
     mixed = " ".join(a + " " + b for a, b in zip(first * 20, second * 20))
-    docs = spark.createDataFrame([(1, mixed), (2, " ".join(first)), (3, None), (4, ""), (5, "12 %% 34"), (6, "😀")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, mixed), (2, " ".join(first)), (3, None), (4, ""), (5, "12 %% 34"), (6, "😀 ½ ² Ⅷ")], "doc_id long, text string")
     out = {r["doc_id"]: r for r in language.identify(docs, names, log_p).collect()}
     assert set(out[1]["languages"]) == {"x", "y"} and abs(out[1]["shares"][0] - 0.5) < 0.1
-    assert out[2]["lang_pred"] == "x" and out[2]["languages"] == ["x"] and out[2]["score"] == 1.0
+    assert out[2]["lang_pred"] == "x" and out[2]["languages"] == ["x"] and 0.9 < out[2]["score"] <= 1.0
     assert all(out[i]["lang_pred"] == "und" and out[i]["score"] == 0 for i in (3, 4, 5, 6))
 
 
@@ -79,10 +78,22 @@ def test_language_sets_against_brute_force(spark):
         want = {names[c]: s for c, s in zip(best[1], best[2])}
         got = dict(zip(out[k]["languages"], out[k]["shares"]))
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-4 for x in want)
-        assert out[k]["score"] == max(got.values())
+        assert abs(out[k]["score"] - max(got.values())) < 0.05
     assert [len(out[k]["languages"]) for k in range(6)] == [1, 2, 3, 4, 5, 4] and out[3]["score"] < 0.3
 
 
+def test_language_score_of_words_that_tell_little(spark):
+    """A word that both languages hold leaves it open which it is; and odd rows meet a fitted model."""
+    training = spark.createDataFrame([("x", "same alpha " * 50), ("y", "same wasser " * 50)], "lang string, text string")
+    names, log_p = language.fit_languages(language.count_trigrams(training).toPandas())
+    docs = spark.createDataFrame([(1, "same"), (2, "alpha alpha alpha")], "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in language.identify(docs, names, log_p).collect()}
+    assert score[1] < 0.9 < score[2] <= 1
+    out = language.identify(documents(spark), names, log_p).collect()
+    assert len(out) == len(rows()) and all((r["lang_pred"] == "und") == (r["score"] == 0) and 0 <= r["score"] <= 1 for r in out)
+    assert {r["doc_id"] for r in out if r["lang_pred"] == "und"} == {2, 3, 5, 12} - {12} | {r[0] for r in rows() if r[1] == "1234 5678"}
+
+
 def test_no_language_learned(spark):
     empty = spark.createDataFrame([], "lang string, text string")
     names, log_p = language.fit_languages(language.count_trigrams(empty).toPandas())
@@ -113,6 +124,30 @@ def test_toxicity_features():
     assert not m[4].any() and not m[5].any()
 
 
+def test_letters_of_any_script():
+    """Curly quotes, dashes and capitals outside ASCII cut and fold as in learning."""
+    of = lambda text, **kind: features.LetterWords(features.CodePoints(pa.array([text])), **kind).hash.tolist()
+    assert of("“idiot” you’re ÉTAIT—fool, ½ 漢字") == [features.word_hash(w) for w in ("idiot", "you", "re", "était", "fool", "漢字")]
+    assert of("1d10t ìdíot ｉｄｉｏｔ іdіоt 123", lookalike=True) == [features.word_hash("idiot")] * 4
+
+
+def test_toxicity_of_a_fitted_model(spark):
+    """Trees learned from made-up rows find new ones, calmly meet odd rows, and scores rise with hits."""
+    r = np.random.default_rng(5)
+    plain = [f"word{i}x".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(200)]
+    text = lambda bad: " ".join(np.where(r.random(40) < (0.15 if bad else 0), "“grumblefoo”", r.choice(plain, 40)))
+    known = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(900)]
+    new = [(1000 + i, text(i % 2 == 0)) for i in range(100)]
+    odd = [(2000 + (k if i is None else i), t) for k, (i, t, *_) in enumerate(rows())]
+    docs = spark.createDataFrame([*((i, t, "x") for i, t, _ in known), *((i, t, None) for i, t in new + odd), (None, None, None)], "doc_id long, text string, margin string")
+    labels = spark.createDataFrame([*((i, y) for i, _, y in known), (3, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.score_toxicity(docs, labels).toPandas()
+    assert len(out) == len(known) + len(new) + len(odd) + 1 and out.score.between(0, 1).all()
+    score = out.dropna().set_index("doc_id").score
+    assert all((score[1000 + i] >= 0.5) == (i % 2 == 0) for i in range(100) if "grumblefoo" in new[i][1] or i % 2)
+    assert (score[[i for i, _ in odd]] < 0.5).all()
+
+
 def test_toxicity_odd_rows(spark):
     docs = documents(spark)
     one_class = spark.createDataFrame([(1, 0), (8, 0), (8, None), (None, 1)], "doc_id long, toxic int")
@@ -221,7 +256,7 @@ def test_quality_odd_rows(spark):
 
 @pytest.mark.parametrize("texts", [["One two", None, "", "trois", "4 five"], [], [None], ["", ""]])
 def test_letter_words(texts):
-    words = features.LetterWords(Words(pa.array(texts, pa.string())))
+    words = features.LetterWords(features.CodePoints(pa.array(texts, pa.string())))
     assert np.diff(words.first).tolist() == [len([w for w in (t or "").split() if any(c.isalpha() for c in w)]) for t in texts]
 
 

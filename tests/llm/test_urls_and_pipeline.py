@@ -73,6 +73,25 @@ def test_rule_of_many_terms(spark):
     out = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(frame, labels, rules=[]).collect()}
     assert out == {k: "block" if len(p) == 5 else "allow" for k, p in enumerate(paths)} | {None: "block", 999: "allow"}
 
+def test_template_of_many_tokens(spark):
+    """Thirty tokens that blocked and other pages share: 2**30 combinations that don't count."""
+    template = "/".join(f"part{i}" for i in range(30))
+    pages = [(k, f"http://h.org/{template}/{'bad' if k % 2 else 'good'}{k % 3}/{'x' if k % 5 else 'y'}") for k in range(300)]
+    frame = spark.createDataFrame([*pages, (900, "http://h.org/part7/part9/bad1"), (901, "http://h.org/" + "z/" * 100_000)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2 == 1) for k, _ in pages], "page_id long, blocked boolean")
+    out = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(frame, labels, rules=[]).collect()}
+    assert out == {k: "block" if k % 2 else "allow" for k, _ in pages} | {900: "block", 901: "allow"}
+
+
+def test_tokens_that_always_meet_stand_for_each_other(spark):
+    """a and b are on the same pages, and with c mark a page; each of them does so alone."""
+    kinds = ["a/b/c", "a/b", "c", "d"]
+    pages = [(k, f"http://h.org/{kinds[k % 4]}") for k in range(200)]
+    frame = spark.createDataFrame([*pages, (900, "http://h.org/a/c"), (901, "http://h.org/b/c"), (902, "http://h.org/a/d")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 4 == 0) for k, _ in pages], "page_id long, blocked boolean")
+    out = {r["page_id"]: r["verdict"] for r in url_rules.filter_urls(frame, labels, rules=[]).collect()}
+    assert out == {k: "allow" if k % 4 else "block" for k, _ in pages} | {900: "block", 901: "block", 902: "allow"}
+
 
 def test_no_pages_and_no_labels(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
@@ -136,3 +155,18 @@ def test_run_equals_the_stages(spark, medium, stages):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rows = lambda frame: sorted(map(tuple, frame.select(names).collect()))
     assert rows(corpus_pipeline.run(spark, medium)) == rows(stages[-1][2])
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeats, long texts and clashing columns, with and without labels; and no rows at all."""
+    from tests.llm.edge import documents
+
+    for name, docs, labels in (("odd", documents(spark), [(1, 1), (4, 1), (8, 1), (10, 1), (None, 1), (6, None)]), ("unlabelled", documents(spark), []), ("empty", documents(spark, []), [])):
+        folder = tmp_path / name
+        docs.write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(folder / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(folder)).collect()
+        assert {r["offset"] for r in out} <= {0} and len({r["sequence_id"] for r in out}) == len(out)
+        if name == "unlabelled":  # the quality stage keeps all; ids 3, 4 and 7 go as copies, 9 is left without words
+            assert {r["doc_id"] for r in out} == {1, 2, 5, 6, 8, 10, 11, 12, None}
+        assert bool(out) == (name != "empty") or name == "odd"
