@@ -1,6 +1,12 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 Every stage but the last returns the columns of documents, for all rows its predecessor kept.
+
+Defined results: null and empty texts are documents like any other until a stage drops them (they
+are copies of each other; a text without words has no near copies and loses no words); rows without
+id are never near copies, and lose words that a row with an id holds; of repeated rows one stays;
+without labels the quality stage keeps all; empty tables give no pieces; further columns pass
+unchanged to the last stage, whatever their names.
 """
 
 from __future__ import annotations
