@@ -98,11 +98,11 @@ def question_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def external_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns, with the first terms of the conversation's other turns as secrets."""
+    """User turns, with the terms of the conversation's other turns as secrets."""
     asked = user_questions(spark, sf_dir)
     from tessera.functions.text import term_set
 
-    others = table(spark, sf_dir, "conversations").where("role <> 'user'").select("conv_id", F.explode(F.slice(term_set(F.col("text")), 1, 3)).alias("term"))
+    others = table(spark, sf_dir, "conversations").where("role <> 'user'").select("conv_id", F.explode(term_set(F.col("text"))).alias("term"))
     return asking.external_queries(asked, asked.select("query_id", "conv_id").join(others, "conv_id").select("query_id", "term"), STOP_WORDS)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, evaluation, operations, retrieval, text
+from tessera.plans import answers, evaluation, evidence_sql, operations, retrieval, text
 
 _MODULES = [text, retrieval, answers, evaluation, operations]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
-ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
+ORACLES = {name: sql for module in [*_MODULES, evidence_sql] for name, sql in module.ORACLES.items()}

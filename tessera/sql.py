@@ -50,13 +50,27 @@ def canonical_sentences(x: str) -> str:
     return f"list_distinct(list_filter(list_transform({raw_sentences(x)}, lambda s: {strip(s)}), lambda s: s <> ''))"
 
 
-def numeric_tokens(x: str) -> str:
-    plain = r"regexp_replace(lower(n), '[.,]+\z', '')"
+def number(n: str) -> str:
+    """A number without thousands separators, leading zeros and trailing decimal zeros."""
+    plain = rf"regexp_replace(lower({n}), '[.,]+\z', '')"
     whole = rf"regexp_replace(replace(regexp_extract({plain}, '^\$?(\d[\d,]*)', 1), ',', ''), '^0+(\d)', '\1')"
     part = rf"regexp_replace(regexp_extract({plain}, '^\$?\d[\d,]*\.(\d+)', 1), '0+\z', '')"
     text = f"CASE WHEN {plain} LIKE '$%' THEN '$' ELSE '' END || {whole} || CASE WHEN {part} = '' THEN '' ELSE '.' || {part} END || CASE WHEN {plain} LIKE '%\\%' ESCAPE '\\' THEN '%' ELSE '' END"
-    one = rf"CASE WHEN regexp_matches({plain}, '^\$?\d[\d,]*(\.\d+)?%?\z') THEN {text} ELSE {plain} END"
-    return f"list_distinct(list_transform(regexp_extract_all({normalize_whitespace(x)}, '{NUMBER}'), lambda n: {one}))"
+    return rf"CASE WHEN regexp_matches({plain}, '^\$?\d[\d,]*(\.\d+)?%?\z') THEN {text} ELSE {plain} END"
+
+
+def numeric_tokens(x: str) -> str:
+    return f"list_distinct(list_transform(regexp_extract_all({normalize_whitespace(x)}, '{NUMBER}'), lambda n: {number('n')}))"
+
+
+def canonical(s: str) -> str:
+    """A sentence in lower case, numbers as <num>, white space collapsed."""
+    return strip(rf"regexp_replace(regexp_replace(lower({s}), '{NUMBER}', '<num>', 'g'), '\s+', ' ', 'g')")
+
+
+def matches(x: str, pattern: str) -> str:
+    """Does a pattern of the operators, written without look-around, occur?"""
+    return f"regexp_matches({x}, '{pattern.replace(chr(39), chr(39) * 2)}')"
 
 
 def fixed(x: str, digits: int = 4) -> str:
