@@ -50,6 +50,11 @@ def normalize_search(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(normalize_whitespace(text)), "[^a-z0-9一-鿿]+", " "))
 
 
+def normalize_token(token: Column) -> Column:
+    """Lower case, without anything but letters, digits and CJK at either end."""
+    return F.regexp_replace(F.lower(token), "^[^a-z0-9一-鿿]+|[^a-z0-9一-鿿]+\\z", "")
+
+
 def tokens(text: Column) -> Column:
     """Words of ASCII letters and digits, and single CJK characters, lower-cased, in order."""
     return F.transform(F.regexp_extract_all(text, F.lit(f"({TOKEN})"), F.lit(1)), F.lower)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import bm25_idf, bm25_weight, fixed
@@ -46,7 +46,8 @@ def few_rows(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
-    """query_id, keys, score (six decimals) of every chunk that shares a term with the query.
+    """query_id, keys, score (six decimals), keyword (share of the query's terms) of every chunk that
+    shares a term with the query.
 
     Statistics cover the whole index. Term counts of a chunk are taken where it is read; only
     counts of terms that some query asks for are shuffled.
@@ -61,10 +62,31 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = (
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = frequency.join(F.broadcast(statistics)).select("term", bm25_idf(F.col("n"), F.col("df")).alias("idf"), "mean_length")
     weighed = postings.join(small(idf), "term").select(*keys, "term", bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
-    return weighed.join(small(asked), "term").groupBy("query_id", *keys).agg(fixed(F.sum("weight"), 6).alias("score"))
+    scored = weighed.join(small(asked), "term").groupBy("query_id", *keys).agg(fixed(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("found"))
+    sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    return scored.join(small(sizes), "query_id").select("query_id", *keys, "score", fixed(F.col("found") / F.col("wanted"), 6).alias("keyword"))
 
 
-def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), ties: tuple[str, ...] = ("doc_id", "chunk_index"), score: str = "score") -> DataFrame:
+def sparse_vectors(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
+    """keys, entries: the BM25 weights of a chunk's terms as (term, weight) structs in term order, so
+    that the dot product with a query's 0/1 vector is its score. Terms stand for themselves: a
+    numbered vocabulary would be one sorted list of the whole corpus, renumbered with every change."""
+    statistics = corpus_statistics(chunks, text_col)
+    counted = unnest(chunks.select(*keys, terms(F.col(text_col)).alias("terms")), [*keys, F.size("terms").alias("length")], F.col("terms"), "term")
+    postings = counted.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    idf = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(statistics)).select("term", bm25_idf(F.col("n"), F.col("df")).alias("idf"), "mean_length")
+    weighed = postings.join(idf, "term").select(*keys, F.struct("term", fixed(bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")), 6).alias("weight")).alias("e"))
+    return weighed.groupBy(*keys).agg(F.array_sort(F.collect_list("e")).alias("entries"))
+
+
+def hybrid_depths(k: int, multiplier: int = 1, least: int = 8) -> tuple[int, int]:
+    """How many sparse and dense candidates a fusion of k results takes."""
+    wanted = k * max(1, multiplier)
+    sparse = max(wanted, least)
+    return sparse, max(wanted, sparse)
+
+
+def top_k(scores: DataFrame, k: int, by: tuple[str, ...] = ("query_id",), ties: tuple[str | Column, ...] = ("doc_id", "chunk_index"), score: str = "score") -> DataFrame:
     """scores with rank (from 1), the best k of each group. Spark limits each partition's groups
     before the shuffle, so no task gets all rows of a query."""
     order = Window.partitionBy(*by).orderBy(F.desc(score), *ties)

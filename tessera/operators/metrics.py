@@ -87,6 +87,46 @@ def sweep_score(metrics: DataFrame, by: str = "variant") -> DataFrame:
     return means.select(by, "queries", fixed(total, 3).alias("score"))
 
 
+# Weights of a whole sweep's quality score, and what a rate counts where it is missing.
+QUALITY_WEIGHTS = {"pass_rate": (45.0, 0.0), "qa_page_hit": (12.5, 1.0), "compare_page_hit": (12.5, 1.0), "content_hit": (10.0, 1.0), "claim_support": (15.0, 1.0), "upload_resume": (5.0, 1.0)}
+# The variants of a sweep, as settings changed from the defaults; the first five are the quick ones.
+SWEEP_VARIANTS = {
+    "baseline": {},
+    "broad_topk": {"top_k": "8", "top_k_per_doc": "4"},
+    "wide_overlap": {"chunk_overlap": "240"},
+    "heuristic_rerank": {"rerank": "heuristic", "candidate_multiplier": "3", "rerank_weight": "0.7"},
+    "hybrid_weighted": {"fusion": "weighted", "dense_weight": "0.55", "sparse_weight": "0.45", "sparse_top_k": "8"},
+    "narrow_topk": {"top_k": "4", "top_k_per_doc": "2"},
+    "narrow_overlap": {"chunk_overlap": "120"},
+    "hybrid_rrf": {"fusion": "rrf", "rrf_k": "30", "sparse_top_k": "8"},
+}
+#: Judged routes in the order of a report; others follow by name.
+ROUTES = ("qa", "compare", "abstain")
+
+
+def quality_ranking(runs: DataFrame) -> DataFrame:
+    """variant, quality, place of runs (variant, completed, the rates of QUALITY_WEIGHTS, response_ms,
+    citations): by quality, then speed, then citations, then name. A run that failed has none."""
+    total = sum((F.coalesce(c, F.lit(default)) * w for c, (w, default) in QUALITY_WEIGHTS.items()), F.lit(0.0))
+    rows = runs.withColumn("quality", F.when(F.col("completed"), fixed(total)).otherwise(0.0))
+    order = Window.orderBy(F.desc("quality"), F.asc_nulls_last("response_ms"), F.desc(F.coalesce("citations", F.lit(0.0))), "variant")  # one row a variant
+    return rows.select("variant", "quality", F.row_number().over(order).alias("place"))
+
+
+def judge_averages(cases: DataFrame, metrics: list[str], route_col: str = "route") -> DataFrame:
+    """route, place, cases, and the mean of each metric over the cases that have it (null without)."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, ROUTES)), F.col("route")), F.lit(0)), F.lit(len(ROUTES) + 1))
+    means = cases.groupBy(F.col(route_col).alias("route")).agg(F.count(F.lit(1)).alias("cases"), *[fixed(F.avg(m)).alias(m) for m in metrics])
+    return means.withColumn("place", F.row_number().over(Window.orderBy(place, "route")))  # one row a route
+
+
+def named_variants(spark, quick: bool = False) -> DataFrame:
+    """variant, setting, value: the named variants' changed settings, null for the defaults."""
+    chosen = list(SWEEP_VARIANTS.items())[: 5 if quick else None]
+    rows = [(name, k, v) for name, changes in chosen for k, v in (changes or {None: None}).items()]
+    return spark.createDataFrame(rows, "variant string, setting string, value string")
+
+
 def sweep_variants(spark, **choices: list) -> DataFrame:
     """variant, and a column for each parameter: every combination of a few choices."""
     import itertools

@@ -122,7 +122,7 @@ def dense_top_k(entries: DataFrame, queries: DataFrame, k: int, embed=hash_embed
     held = entries.select(*[F.col(c).cast("long").alias(c) for c in keys], term_set(F.col(text_col)).alias("terms"))
     met = in_blocks(held, queries.select("query_id", term_set(F.col("query")).alias("terms")), entry_rows=4096, query_rows=256)
     found = met.groupBy("i", "j").applyInArrow(compare, "query_id long, " + ", ".join(f"{c} long" for c in keys) + ", vector double, keyword double, score double")
-    return top_k(found, k, ties=keys)
+    return top_k(found, k, ties=(F.desc("vector"), F.desc("keyword"), *keys))
 
 
 def keyword_scores(entries: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -139,9 +139,9 @@ def keyword_scores(entries: DataFrame, queries: DataFrame, keys: tuple[str, ...]
 
 
 def weighted_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...], dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
-    """query_id, keys, dense, sparse, score: each side by its own maximum, then the weighted sum.
+    """query_id, keys, dense, sparse, keyword, score: each side by its own maximum, then the weighted sum.
 
-    Both inputs have query_id, keys and score; a side without the entry counts 0. Weights are
+    Both inputs have query_id, keys, score and keyword; a side without the entry counts 0. Weights are
     scaled to sum 1 (halves if they sum to 0 or less).
     """
     total = dense_weight + sparse_weight
@@ -149,22 +149,35 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...],
 
     def scaled(side: DataFrame, name: str) -> DataFrame:
         most = F.max("score").over(Window.partitionBy("query_id"))
-        return side.select("query_id", *keys, F.when(most > 0, F.col("score") / most).otherwise(0.0).alias(name))
+        return side.select("query_id", *keys, F.when(most > 0, F.col("score") / most).otherwise(0.0).alias(name), F.col("keyword").alias(f"{name}_keyword"))
 
     both = scaled(dense, "dense").join(scaled(sparse, "sparse"), ["query_id", *keys], "full_outer")
-    both = both.select("query_id", *keys, F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"))
-    return both.select("query_id", *keys, fixed(F.col("dense"), 6).alias("dense"), fixed(F.col("sparse"), 6).alias("sparse"), fixed(F.col("dense") * a + F.col("sparse") * b, 6).alias("score"))
+    both = both.select("query_id", *keys, F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"), F.coalesce("dense_keyword", "sparse_keyword").alias("keyword"))
+    return both.select("query_id", *keys, fixed(F.col("dense"), 6).alias("dense"), fixed(F.col("sparse"), 6).alias("sparse"), "keyword", fixed(F.col("dense") * a + F.col("sparse") * b, 6).alias("score"))
+
+
+#: The order of fused results: what parts equal scores, the entry's keys after it.
+WEIGHTED_TIES = ("sparse", "dense", "keyword")
+RRF_TIES = ("sparse_rank", "dense_rank")
+
+
+def fused_top_k(fused: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
+    """The best k of weighted_fusion() or rrf_fusion() with their rank: by score, then by the parts
+    (greatest score, least rank, none last), then by the keys."""
+    parts = [F.asc_nulls_last(c) for c in RRF_TIES] if "sparse_rank" in fused.columns else [F.desc(c) for c in WEIGHTED_TIES]
+    return top_k(fused, k, ties=(*parts, *keys))
 
 
 def rrf_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...], k: int = RRF_K, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
-    """query_id, keys, score: sum of weight / (k + rank) over the sides (both have query_id, keys, rank)."""
+    """query_id, keys, ranks, keyword, score: sum of weight / (k + rank) over the sides (both have
+    query_id, keys, rank, keyword)."""
     total = dense_weight + sparse_weight
     a, b = (dense_weight / total, sparse_weight / total) if total > 0 else (0.5, 0.5)
-    left = dense.select("query_id", *keys, F.col("rank").alias("dense_rank"))
-    right = sparse.select("query_id", *keys, F.col("rank").alias("sparse_rank"))
+    left = dense.select("query_id", *keys, F.col("rank").alias("dense_rank"), F.col("keyword").alias("dense_keyword"))
+    right = sparse.select("query_id", *keys, F.col("rank").alias("sparse_rank"), F.col("keyword").alias("sparse_keyword"))
     both = left.join(right, ["query_id", *keys], "full_outer")
     share = lambda weight, rank: F.coalesce(F.lit(weight) / (F.lit(k) + F.col(rank)), F.lit(0.0))
-    return both.select("query_id", *keys, "dense_rank", "sparse_rank", fixed(share(a, "dense_rank") + share(b, "sparse_rank"), 8).alias("score"))
+    return both.select("query_id", *keys, "dense_rank", "sparse_rank", F.coalesce("dense_keyword", "sparse_keyword").alias("keyword"), fixed(share(a, "dense_rank") + share(b, "sparse_rank"), 8).alias("score"))
 
 
 def query_signals(queries: DataFrame) -> DataFrame:

@@ -59,11 +59,40 @@ def illegal_transitions(history: DataFrame, by: str = "run_id", order: str = "se
     return rows.where(F.col("previous").isNotNull() & (F.col("previous") != F.col("status")) & ~allowed).select(by, order, "previous", "status")
 
 
-def audit_page(rows: DataFrame, page: int, size: int, order: list[Column], **filters) -> DataFrame:
+#: Rows of a page: the most, and what counts where none is given.
+PAGE_MOST, PAGE_DEFAULT = 1000, 200
+
+
+def page_size(wanted: int | str | None) -> int | None:
+    """A page's rows within 1 to PAGE_MOST; None for "all"."""
+    if wanted == "all":
+        return None
+    try:
+        return min(PAGE_MOST, max(1, int(wanted))) if wanted is not None else PAGE_DEFAULT
+    except ValueError:
+        return PAGE_DEFAULT
+
+
+def audit_filter(rows: DataFrame, scope: dict | None = None, asked_scope: dict | None = None, time_col: str = "ts", start=None, end=None) -> DataFrame:
+    """Rows of the caller's scope from start on and before end; none, where another scope is asked for."""
+    for name, value in (scope or {}).items():
+        wanted = (asked_scope or {}).get(name)
+        rows = rows.where(F.lit(False) if wanted is not None and wanted != value else F.col(name) == value)
+    if start is not None:
+        rows = rows.where(F.col(time_col) >= F.lit(start).cast(rows.schema[time_col].dataType))
+    if end is not None:
+        rows = rows.where(F.col(time_col) < F.lit(end).cast(rows.schema[time_col].dataType))
+    return rows
+
+
+def audit_page(rows: DataFrame, page: int, size: int | str | None, order: list[Column], **filters) -> DataFrame:
     """One page of the rows that meet the given equalities (None: any), with the total beside it."""
     for name, value in filters.items():
         if value is not None:
             rows = rows.where(F.col(name) == value)
+    size = page_size(size)
+    if size is None:
+        return rows.join(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return rows.orderBy(*order).limit((page + 1) * size).offset(page * size).join(F.broadcast(total))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import sql
 from tessera.functions.scores import fixed, jaccard, keyword_score
-from tessera.functions.text import normalize_search, term_set
+from tessera.functions.text import normalize_search, searchable, term_set
 from tessera.operators import comparison, index, metrics, retrieval
 from tessera.plans.tables import HOLDERS_SQL, chunks, documents, holders, questions, table
 
@@ -16,7 +16,7 @@ KEYS = ("doc_id", "chunk_index")
 
 
 def sparse_candidates(spark: SparkSession, sf_dir: str, k: int = CANDIDATES) -> DataFrame:
-    return index.top_k(index.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), k)
+    return index.top_k(index.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), k, ties=(F.desc("keyword"), *KEYS))
 
 
 def dense_candidates(spark: SparkSession, sf_dir: str, k: int = CANDIDATES) -> DataFrame:
@@ -28,7 +28,7 @@ def longs(rows: DataFrame, *names: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(sparse_candidates(spark, sf_dir, TOP_K), "chunk_index", "rank").select("query_id", "doc_id", "chunk_index", "score", "rank")
+    return longs(sparse_candidates(spark, sf_dir, TOP_K), "chunk_index", "rank").select("query_id", "doc_id", "chunk_index", "score", "keyword", "rank")
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,13 +55,35 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.weighted_fusion(dense_candidates(spark, sf_dir).select("query_id", *KEYS, "score"), sparse_candidates(spark, sf_dir).select("query_id", *KEYS, "score"), KEYS)
-    return longs(index.top_k(fused, TOP_K), "chunk_index", "rank")
+    fused = retrieval.weighted_fusion(dense_candidates(spark, sf_dir), sparse_candidates(spark, sf_dir), KEYS)
+    return longs(retrieval.fused_top_k(fused, TOP_K, KEYS), "chunk_index", "rank")
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three results of a fusion without a reranker, from the depths that so few results take."""
+    sparse_k, dense_k = index.hybrid_depths(3)
+    fused = retrieval.weighted_fusion(dense_candidates(spark, sf_dir, dense_k), sparse_candidates(spark, sf_dir, sparse_k), KEYS)
+    return longs(retrieval.fused_top_k(fused, 3, KEYS), "chunk_index", "rank")
+
+
+def sparse_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each chunk's vector as a digest, with its length and largest weight."""
+    vectors = index.sparse_vectors(chunks(spark, sf_dir))
+    listed = F.array_join(F.transform("entries", lambda e: F.concat(e["term"], F.lit("="), F.round(e["weight"] * 1e6).cast("long"))), ",")
+    return vectors.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.size("entries").cast("long").alias("terms"), F.array_max(F.transform("entries", lambda e: e["weight"])).alias("largest"), F.md5(listed).alias("entries_md5"))
+
+
+def titled_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over the searchable text of chunks: the source stands for the file name."""
+    named = chunks(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    rows = named.select(*KEYS, searchable(F.col("source"), F.lit(None).cast("string"), F.col("chunk_text")).alias("chunk_text"))
+    asked = questions(spark, sf_dir).withColumn("query", F.concat_ws(" ", F.concat(F.lit("src"), F.col("query_id") % 20), "query"))
+    return longs(index.top_k(index.bm25_scores(rows, asked), TOP_K, ties=(F.desc("keyword"), *KEYS)), "chunk_index", "rank")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = retrieval.rrf_fusion(dense_candidates(spark, sf_dir), sparse_candidates(spark, sf_dir), KEYS)
-    return longs(index.top_k(fused, TOP_K), "chunk_index", "rank", "dense_rank", "sparse_rank")
+    return longs(retrieval.fused_top_k(fused, TOP_K, KEYS), "chunk_index", "rank", "dense_rank", "sparse_rank")
 
 
 def with_chunk_text(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
@@ -206,6 +228,9 @@ QUERIES = {
     "dense_topk": dense_topk,
     "weighted_fusion": weighted_fusion,
     "rrf_fusion": rrf_fusion,
+    "hybrid_topk": hybrid_topk,
+    "sparse_vectors": sparse_vectors,
+    "titled_bm25": titled_bm25,
     "heuristic_rerank": heuristic_rerank,
     "minmax_rerank": minmax_rerank,
     "qa_confidence": qa_confidence,
@@ -235,11 +260,12 @@ _BM25 = f"""
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     scored AS (
         SELECT query_id, doc_id, chunk_index,
-               {sql.fixed("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)))", 6)} AS score
-        FROM tf JOIN qt USING (term) JOIN df USING (term) CROSS JOIN stats GROUP BY query_id, doc_id, chunk_index
+               {sql.fixed("sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean_length)))", 6)} AS score,
+               {sql.fixed("count(*) / any_value(k)", 6)} AS keyword
+        FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN (SELECT query_id, len(wanted) AS k FROM q) USING (query_id) CROSS JOIN stats GROUP BY query_id, doc_id, chunk_index
     ),
     sparse AS MATERIALIZED (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM scored) WHERE rank <= {CANDIDATES}
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, keyword DESC, doc_id, chunk_index) AS rank FROM scored) WHERE rank <= {CANDIDATES}
     )
 """
 _RANKED = f"WITH {_CHUNKS}, {_ASKED}, {_BM25}"
@@ -306,7 +332,7 @@ _DENSE = f"""
     ),
     mixed AS (SELECT *, {sql.fixed("greatest(vector, keyword, 0.82 * vector + 0.18 * keyword)", 6)} AS score FROM near WHERE vector > 0),
     dense AS MATERIALIZED (
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM mixed) WHERE rank <= {CANDIDATES}
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector DESC, keyword DESC, doc_id, chunk_index) AS rank FROM mixed) WHERE rank <= {CANDIDATES}
     )
 """
 _RERANKED = f"""
@@ -321,32 +347,52 @@ _RERANKED = f"""
     remixed AS (SELECT query_id, doc_id, chunk_index, original, rerank, {sql.fixed("original * 0.4 + rerank * 0.6", 6)} AS score FROM again),
     reranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rerank DESC, original DESC, doc_id, chunk_index) AS rank FROM remixed)
 """
+
+
+def _weighted_sql(candidates: int, k: int) -> str:
+    return f"""
+        {_RANKED}, {_DENSE},
+        a AS (SELECT query_id, doc_id, chunk_index, keyword, score / max(score) OVER (PARTITION BY query_id) AS d FROM dense WHERE rank <= {candidates}),
+        b AS (SELECT query_id, doc_id, chunk_index, keyword, score / max(score) OVER (PARTITION BY query_id) AS s FROM sparse WHERE rank <= {candidates}),
+        f AS (
+            SELECT query_id, doc_id, chunk_index, {sql.fixed("coalesce(d, 0)", 6)} AS dense, {sql.fixed("coalesce(s, 0)", 6)} AS sparse, coalesce(a.keyword, b.keyword) AS keyword,
+                   {sql.fixed("coalesce(d, 0) * 0.65 + coalesce(s, 0) * 0.35", 6)} AS score
+            FROM a FULL JOIN b USING (query_id, doc_id, chunk_index)
+        )
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sparse DESC, dense DESC, keyword DESC, doc_id, chunk_index) AS rank FROM f) WHERE rank <= {k}
+    """
+
+
 _SIGNALS = [(weight, pattern.replace("'", "''")) for weight, pattern in retrieval.COMPARISON_SIGNALS]
 
 ORACLES = {
-    "bm25_topk": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, rank FROM sparse WHERE rank <= {TOP_K}",
+    "bm25_topk": f"{_RANKED} SELECT query_id, doc_id, chunk_index, score, keyword, rank FROM sparse WHERE rank <= {TOP_K}",
     "cosine_topk": f"SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM ({_NEAREST})) WHERE rank <= {TOP_K}",
     "per_label_topk": f"SELECT query_id, vec_id, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS rank FROM ({_NEAREST})) WHERE rank <= 2",
     "keyword_topk": f"WITH {_ASKED} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY keyword DESC, doc_id) AS rank FROM ({_KEYWORD})) WHERE rank <= {TOP_K}",
     "heuristic_rerank": f"{_RANKED}, {_RERANKED} SELECT * FROM reranked WHERE rank <= {TOP_K}",
     "dense_topk": f"WITH {_CHUNKS}, {_ASKED}, {_DENSE} SELECT query_id, doc_id, chunk_index, vector, keyword, score, rank FROM dense WHERE rank <= {TOP_K}",
-    "weighted_fusion": f"""
-        {_RANKED}, {_DENSE},
-        a AS (SELECT query_id, doc_id, chunk_index, score / max(score) OVER (PARTITION BY query_id) AS d FROM dense),
-        b AS (SELECT query_id, doc_id, chunk_index, score / max(score) OVER (PARTITION BY query_id) AS s FROM sparse),
-        f AS (
-            SELECT query_id, doc_id, chunk_index, {sql.fixed("coalesce(d, 0)", 6)} AS dense, {sql.fixed("coalesce(s, 0)", 6)} AS sparse, {sql.fixed("coalesce(d, 0) * 0.65 + coalesce(s, 0) * 0.35", 6)} AS score
-            FROM a FULL JOIN b USING (query_id, doc_id, chunk_index)
-        )
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM f) WHERE rank <= {TOP_K}
+    "weighted_fusion": _weighted_sql(CANDIDATES, TOP_K),
+    "hybrid_topk": _weighted_sql(8, 3),
+    "sparse_vectors": f"""
+        WITH {_CHUNKS}, stats AS (SELECT count(*) AS n, avg(len(terms)) AS mean_length FROM c),
+        tf AS (SELECT doc_id, chunk_index, length, term, count(*) AS tf FROM (SELECT doc_id, chunk_index, len(terms) AS length, unnest(terms) AS term FROM c) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        w AS (SELECT doc_id, chunk_index, term, {sql.fixed("ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))", 6)} AS weight FROM tf JOIN df USING (term) CROSS JOIN stats)
+        SELECT doc_id, chunk_index, count(*) AS terms, max(weight) AS largest, md5(string_agg(term || '=' || CAST(round(weight * 1e6) AS BIGINT), ',' ORDER BY term)) AS entries_md5 FROM w GROUP BY ALL
+    """,
+    "titled_bm25": f"""
+        WITH c AS MATERIALIZED (SELECT doc_id, chunk_index, {sql.terms("source || chr(10) || chunk_text")} AS terms FROM ({sql.chunks()}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id)),
+        q AS MATERIALIZED (SELECT item_id AS query_id, {sql.term_set("'src' || (item_id % 20) || ' ' || text")} AS wanted FROM benchmark), qt AS MATERIALIZED (SELECT query_id, unnest(wanted) AS term FROM q), {_BM25}
+        SELECT * FROM sparse WHERE rank <= {TOP_K}
     """,
     "rrf_fusion": f"""
         {_RANKED}, {_DENSE},
         f AS (
-            SELECT query_id, doc_id, chunk_index, d.rank AS dense_rank, s.rank AS sparse_rank, {sql.fixed("coalesce(0.65 / (60 + d.rank), 0) + coalesce(0.35 / (60 + s.rank), 0)", 8)} AS score
+            SELECT query_id, doc_id, chunk_index, d.rank AS dense_rank, s.rank AS sparse_rank, coalesce(d.keyword, s.keyword) AS keyword, {sql.fixed("coalesce(0.65 / (60 + d.rank), 0) + coalesce(0.35 / (60 + s.rank), 0)", 8)} AS score
             FROM dense d FULL JOIN sparse s USING (query_id, doc_id, chunk_index)
         )
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM f) WHERE rank <= {TOP_K}
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, sparse_rank NULLS LAST, dense_rank NULLS LAST, doc_id, chunk_index) AS rank FROM f) WHERE rank <= {TOP_K}
     """,
     "query_router": rf"""
         SELECT conv_id, turn, CASE WHEN turn > 0 AND sure >= 0.5 THEN 'compare' ELSE 'qa' END AS mode, {sql.fixed("sure")} AS confidence FROM (

@@ -110,6 +110,20 @@ _TAGS = f"""
     SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(p), term) AS tag_rank, term AS tag
     FROM ({_POSITIONS}) WHERE length(term) >= 3 AND term NOT IN ({sql.quoted(TAG_STOP_WORDS)}) GROUP BY doc_id, term
 """
+
+
+def _without_blocks(x: str) -> str:
+    for name in ("script", "style", "noscript", "template"):
+        x = rf"regexp_replace({x}, '(?is)<{name}\b.*?</{name}\s*>', ' ', 'g')"
+    return x
+
+
+def _unescaped(x: str) -> str:
+    for name, by in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{by}')"
+    return x
+
+
 _WANTED = ["says", "token", "license", "version", "worthless", "trash"]
 
 ORACLES = {
@@ -152,6 +166,25 @@ ORACLES = {
         SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(list_sort(s), chr(10))) AS sentences_md5
         FROM (SELECT doc_id, {sql.canonical_sentences("text")} AS s FROM documents)
     """,
+    "section_lines": rf"""
+        SELECT doc_id, count(*) AS lines, count(*) FILTER (head) AS headings, count(*) FILTER (under) AS under_a_heading FROM (
+            SELECT *, bool_or(head) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS under FROM (
+                SELECT doc_id, n, length(line) <= 90 AND len(regexp_split_to_array(line, '\s+')) <= 12 AND (
+                    regexp_matches(line, '[:：]\z') OR regexp_matches(line, '^(\d+(\.\d+)*[.)]?|[IVXLC]+\.)\s+\S') OR regexp_matches(line, '^第[一二三四五六七八九十百0-9]+[章节条]')
+                    OR regexp_matches(line, '^([A-Z][A-Za-z0-9&/-]*)(\s+[A-Z][A-Za-z0-9&/-]*){{1,7}}\z')
+                    OR (length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 3 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) / length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 0.7)
+                ) AS head
+                FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM (
+                    SELECT doc_id, list_filter(list_transform(regexp_split_to_array({sql.normalize_whitespace("text")}, '\n+'), lambda p: {sql.normalize_whitespace("p")}), lambda p: p <> '') AS lines FROM documents WHERE text IS NOT NULL
+                ))
+            )
+        ) GROUP BY doc_id
+    """,
+    "html_texts": rf"""
+        SELECT page_id, {sql.strip(r"regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')")} AS text FROM (
+            SELECT page_id, {_unescaped(r"regexp_replace(regexp_replace(regexp_replace(" + _without_blocks("html") + r", '(?s)<!--.*?-->', ' ', 'g'), '(?i)<(/?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|body|head)\b[^>]*|br\s*/?)>', chr(10), 'g'), '<[^>]*>', '', 'g')")} AS t FROM pages
+        )
+    """,
     "anchor_groups": rf"""
         SELECT DISTINCT doc_id, anchor FROM (
             SELECT doc_id, unnest(list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g'), '(?i)\b[a-z0-9]{{2,}}(?:-[a-z0-9]+)+\b'), lambda a: {sql.normalize_search("a")})) AS anchor
