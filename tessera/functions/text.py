@@ -26,6 +26,12 @@ ENTITY = r"\b(?:[A-Z][A-Za-z0-9&/-]{2,}(?:\s+[A-Z][A-Za-z0-9&/-]{2,}){0,4}|[A-Z]
 SENTENCE_END = r"(?<=[.!?。！？])\s+|\n+"
 
 
+def ascii_words(pattern: str) -> str:
+    """The pattern with word boundaries between ASCII words, where Java's own also know other letters."""
+    word = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(text, r"^\s+|\s+\z", "")
@@ -105,7 +111,7 @@ def numeric_tokens(text: Column) -> Column:
 
 def code_anchors(text: Column) -> Column:
     """Distinct hyphenated codes, lower-cased as search text."""
-    found = F.regexp_extract_all(text, F.lit(f"({CODE_LIKE})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(f"({ascii_words(CODE_LIKE)})"), F.lit(1))
     return F.filter(F.array_distinct(F.transform(found, normalize_search)), lambda a: F.size(terms(a)) > 0)
 
 

@@ -64,16 +64,35 @@ def noise_filtering(before: DataFrame, after: DataFrame, expected: DataFrame, un
     return rows.withColumn("rate", ratio(F.col("filtered"), F.col("noise_before")))
 
 
+#: Bands into which the values of a group are dealt to find a percentile.
+BANDS = 4096
+
+
 def percentiles(values: DataFrame, by: tuple[str, ...], value_col: str = "value", digits: int = 3) -> DataFrame:
-    """by, n, least, most, mean, p50, p90, p95, p99: nearest-rank percentiles.
+    """by, n, least, most, mean, p50, p90, p95, p99: nearest-rank percentiles, exact at any size.
 
-    Values are counted before they are ranked, so equal ones travel as one row; exact at any size.
+    Equal values are folded, and a group's values dealt into bands between its least and greatest.
+    Counts by band tell in which band each rank lies, and only the values of those bands are ordered,
+    so no task or buffer holds all values of a group. Null values don't count.
     """
-    exact = F.percentile_disc if hasattr(F, "percentile_disc") else None
-    at = lambda q: (exact(value_col, q) if exact else F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value_col})"))
-    aggregates = [F.count(value_col).alias("n"), fixed(F.min(value_col), digits).alias("least"), fixed(F.max(value_col), digits).alias("most"), fixed(F.avg(value_col), digits).alias("mean")]
-    aggregates += [fixed(at(q), digits).alias(f"p{round(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
-    return values.groupBy(*by).agg(*aggregates)
+    keys, value = ["k"], F.col(value_col)
+    known = values.where(value.isNotNull()).select(F.struct(*by).alias("k"), value.alias("v"))  # null keys are equal within a struct
+    sums = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
+    folded = known.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    place = F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BANDS), F.lit(BANDS - 1))).otherwise(0)
+    dealt = folded.join(sums.select(*keys, "low", "high"), keys).select(*keys, "v", "c", place.cast("int").alias("band"))
+    counts = dealt.groupBy(*keys, "band").agg(F.sum("c").alias("c"))
+    through = F.sum("c").over(Window.partitionBy(*keys).orderBy("band"))
+    counts = counts.withColumn("through", through).withColumn("before", F.col("through") - F.col("c")).drop("c")
+    shares = F.explode(F.array(*[F.lit(q) for q in (50, 90, 95, 99)])).alias("q")
+    ranks = sums.select(*keys, "n", shares).withColumn("rank", F.greatest(F.lit(1), F.expr("(n * q + 99) DIV 100")))
+    wanted = ranks.join(counts, keys).where("before < rank AND rank <= through").select(*keys, "q", "band", (F.col("rank") - F.col("before")).alias("rank"))
+    inside = dealt.join(wanted.select(*keys, "band").distinct(), [*keys, "band"], "left_semi")
+    inside = inside.withColumn("through", F.sum("c").over(Window.partitionBy(*keys, "band").orderBy("v")))
+    found = wanted.join(inside.select(*keys, "band", "v", "through"), [*keys, "band"]).where("through >= rank").groupBy(*keys, "q").agg(F.min("v").alias("v"))
+    named = found.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == q, F.col("v"))).alias(f"p{q}") for q in (50, 90, 95, 99)])
+    rows = sums.join(named, keys)
+    return rows.select("k.*", "n", *[fixed(F.col(a), digits).alias(b) for a, b in (("low", "least"), ("high", "most"), ("mean", "mean"))], *[fixed(F.col(f"p{q}"), digits).alias(f"p{q}") for q in (50, 90, 95, 99)])
 
 
 # Weights of a parameter sweep's quality score, in percent.

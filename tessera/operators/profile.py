@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import ENTITY, TAG_STOP_WORDS, normalize_whitespace, sentences, terms, unnest, unnest_numbered
+from tessera.functions.text import ENTITY, TAG_STOP_WORDS, ascii_words, normalize_whitespace, sentences, terms, unnest, unnest_numbered
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -30,7 +30,7 @@ def tags(docs: DataFrame, limit: int = 12, id_col: str = "doc_id", text_col: str
 
 def entities(docs: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, entity_rank, entity, n: runs of capitalised words and acronyms, by count and name."""
-    found = F.transform(F.regexp_extract_all(text_col, F.lit(f"({ENTITY})"), F.lit(1)), normalize_whitespace)
+    found = F.transform(F.regexp_extract_all(text_col, F.lit(f"({ascii_words(ENTITY)})"), F.lit(1)), normalize_whitespace)
     each = unnest(docs, [F.col(id_col).alias("doc_id")], F.filter(found, lambda e: F.length(e) >= 3), "entity")
     order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "entity")
     counted = each.groupBy("doc_id", "entity").agg(F.count(F.lit(1)).alias("n"))

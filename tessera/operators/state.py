@@ -181,14 +181,17 @@ def changed_rows(before: DataFrame, after: DataFrame, keys: tuple[str, ...], wat
     return after.select(*keys, *watched).join(old, list(keys)).where(differs).select(*keys)
 
 
-def match_duplicates(arrivals: DataFrame, existing: DataFrame, keys: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
+def match_duplicates(arrivals: DataFrame, existing: DataFrame, keys: tuple[str, ...], id_col: str = "doc_id", earlier: bool = False) -> DataFrame:
     """arrivals' ids with the least existing id that agrees in the first of the keys to match, and
     the name of that key. A null key matches nothing. Each key of existing is folded to one id
-    before it is joined, so a value that many rows share costs one."""
+    before it is joined, so a value that many rows share costs one. earlier: only smaller ids match,
+    so that existing may be the arrivals themselves."""
     rows = arrivals.select(id_col, *keys)
     for k in keys:
         folded = existing.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(id_col).alias(f"by_{k}"))
         rows = rows.join(folded, k, "left")
+        if earlier:
+            rows = rows.withColumn(f"by_{k}", F.when(F.col(f"by_{k}") < F.col(id_col), F.col(f"by_{k}")))
     which = F.coalesce(*[F.when(F.col(f"by_{k}").isNotNull(), F.lit(k)) for k in keys])
     return rows.select(id_col, F.coalesce(*[f"by_{k}" for k in keys]).alias("match_id"), which.alias("matched_by"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import sql
 from tessera.functions.scores import fixed
-from tessera.functions.text import STOP_WORDS
+from tessera.functions.text import STOP_WORDS, normalize_search
 from tessera.operators import evaluation, index, profile, questions as asking, retrieval as rank, state
 from tessera.plans import answers, retrieval
 from tessera.plans.tables import documents, holders, questions, table
@@ -40,9 +40,10 @@ def snapshot_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd documents as arrivals, even ones as known: by text, first 200 characters, first line."""
-    rows = documents(spark, sf_dir).select("doc_id", F.md5("text").alias("text_hash"), F.md5(F.substring("text", 1, 200)).alias("head_hash"), F.md5(F.substring_index("text", "\n", 1)).alias("title_hash"))
-    return state.match_duplicates(rows.where("doc_id % 2 = 1"), rows.where("doc_id % 2 = 0"), ("text_hash", "head_hash", "title_hash"))
+    """Each document as an arrival among those of smaller id: by text, by search text, by first line."""
+    text = F.col("text")
+    rows = documents(spark, sf_dir).select("doc_id", F.md5(text).alias("text_hash"), F.md5(normalize_search(text)).alias("search_hash"), F.md5(F.substring_index(text, "\n", 1)).alias("title_hash"))
+    return state.match_duplicates(rows, rows, ("text_hash", "search_hash", "title_hash"), earlier=True)
 
 
 def citations_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +128,7 @@ def index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = documents(spark, sf_dir)
     changed = fixed_windows(docs.where("doc_id % 10 = 0").withColumn("text", F.substring("text", 1, 300)))
-    return index.document_frequency(index.replace_documents(fixed_windows(docs), changed)).where("df > 1")
+    return index.document_frequency(index.replace_documents(fixed_windows(docs), changed))
 
 
 QUERIES = {
@@ -148,7 +149,7 @@ def _match_form(x: str) -> str:
 
 
 _last = "SELECT user_id, max_by(event_type, (ts, event_id)) AS t, max_by(value, (ts, event_id)) AS v FROM events WHERE ts < TIMESTAMP '2024-01-{d}' GROUP BY user_id"
-_hash = "SELECT doc_id, md5(text) AS k1, md5(substring(text, 1, 200)) AS k2, md5(string_split(text, chr(10))[1]) AS k3 FROM documents"
+_hash = f"SELECT doc_id, md5(text) AS k1, md5({sql.normalize_search('text')}) AS k2, md5(string_split(text, chr(10))[1]) AS k3 FROM documents"
 _first = "SELECT o_custkey AS case_id, min_by(o_orderpriority, o_orderkey) AS s FROM orders WHERE o_orderkey % 2 = {k} GROUP BY o_custkey"
 _R = retrieval._RANKED
 _ASKED_TERMS = "['license', 'version', 'token', 'trash', 'worthless', 'apache']"
@@ -167,10 +168,8 @@ ORACLES = {
     """,
     "snapshot_conflicts": f"SELECT user_id FROM ({_last.format(d=15)}) a JOIN ({_last.format(d=16)}) b USING (user_id) WHERE a.t IS DISTINCT FROM b.t OR a.v IS DISTINCT FROM b.v",
     "duplicate_matches": f"""
-        WITH h AS ({_hash}), e AS (SELECT * FROM h WHERE doc_id % 2 = 0),
-        a AS (SELECT k1, min(doc_id) AS m1 FROM e GROUP BY k1), b AS (SELECT k2, min(doc_id) AS m2 FROM e GROUP BY k2), c AS (SELECT k3, min(doc_id) AS m3 FROM e GROUP BY k3)
-        SELECT doc_id, coalesce(m1, m2, m3) AS match_id, CASE WHEN m1 IS NOT NULL THEN 'text_hash' WHEN m2 IS NOT NULL THEN 'head_hash' WHEN m3 IS NOT NULL THEN 'title_hash' END AS matched_by
-        FROM h LEFT JOIN a USING (k1) LEFT JOIN b USING (k2) LEFT JOIN c USING (k3) WHERE doc_id % 2 = 1
+        WITH h AS ({_hash}), m AS (SELECT doc_id, {", ".join(f"nullif(min(doc_id) OVER (PARTITION BY k{i}), doc_id) AS m{i}" for i in (1, 2, 3))} FROM h)
+        SELECT doc_id, coalesce(m1, m2, m3) AS match_id, CASE WHEN m1 IS NOT NULL THEN 'text_hash' WHEN m2 IS NOT NULL THEN 'search_hash' WHEN m3 IS NOT NULL THEN 'title_hash' END AS matched_by FROM m
     """,
     "citations_by_document": f"""
         {_R} SELECT query_id, doc_id, count(*) AS citations, array_to_string(list_transform(list_sort(list_distinct(list(chunk_index))), lambda x: CAST(x AS VARCHAR)), ',') AS places
@@ -204,6 +203,6 @@ ORACLES = {
     "index_upsert": f"""
         WITH old AS ({sql.chunks()}), new AS ({sql.chunks().replace("FROM documents WHERE text IS NOT NULL", "FROM (SELECT doc_id, substring(text, 1, 300) AS text FROM documents WHERE doc_id % 10 = 0) WHERE text IS NOT NULL")}),
         merged AS (SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT * FROM new)
-        SELECT term, count(*) AS df FROM (SELECT unnest({sql.term_set("chunk_text")}) AS term FROM merged) GROUP BY term HAVING count(*) > 1
+        SELECT term, count(*) AS df FROM (SELECT unnest({sql.term_set("chunk_text")}) AS term FROM merged) GROUP BY term
     """,
 }

@@ -138,7 +138,7 @@ def multi_query_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as questions over as many documents as the turn's number."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    mode, sure = retrieval.route(F.regexp_replace("text", "[^\\x00-\\x7f]", "x"), F.col("turn") + 1)
+    mode, sure = retrieval.route(F.col("text"), F.col("turn") + 1)
     return turns.select("conv_id", "turn", mode.alias("mode"), fixed(sure).alias("confidence"))
 
 
@@ -397,7 +397,7 @@ ORACLES = {
     "query_router": rf"""
         SELECT conv_id, turn, CASE WHEN turn > 0 AND sure >= 0.5 THEN 'compare' ELSE 'qa' END AS mode, {sql.fixed("sure")} AS confidence FROM (
             SELECT conv_id, turn, least(1, {" + ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN {w} ELSE 0 END" for w, p in _SIGNALS)}) AS sure
-            FROM (SELECT *, regexp_replace(text, '[^\x00-\x7f]', 'x', 'g') AS t FROM conversations WHERE role = 'user')
+            FROM (SELECT *, text AS t FROM conversations WHERE role = 'user')
         )
     """,
     "rank_lift": f"""

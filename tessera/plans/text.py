@@ -41,7 +41,7 @@ def profile_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.entities(documents(spark, sf_dir))
+    return profile.entities(documents(spark, sf_dir)).withColumns({"entity_rank": F.col("entity_rank").cast("long")})
 
 
 def profile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,8 @@ def canonical_sentence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def anchor_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of each document; letters that are not ASCII end a word in either engine."""
-    plain = F.regexp_replace("text", "[^\\x00-\\x7f]", " ")
-    return documents(spark, sf_dir).select("doc_id", F.explode(code_anchors(plain)).alias("anchor"))
+    """Codes of each document."""
+    return documents(spark, sf_dir).select("doc_id", F.explode(code_anchors(F.col("text"))).alias("anchor"))
 
 
 def section_line_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +165,12 @@ ORACLES = {
         SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, md5(array_to_string(list_sort(s), chr(10))) AS sentences_md5
         FROM (SELECT doc_id, {sql.canonical_sentences("text")} AS s FROM documents)
     """,
+    "profile_entities": f"""
+        SELECT doc_id, entity_rank, entity, n FROM (
+            SELECT doc_id, entity, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, entity) AS entity_rank
+            FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{_ENTITY}'), lambda e: {sql.normalize_whitespace("e")})) AS entity FROM documents) WHERE length(entity) >= 3 GROUP BY doc_id, entity
+        ) WHERE entity_rank <= 8
+    """,
     "section_lines": rf"""
         SELECT doc_id, count(*) AS lines, count(*) FILTER (head) AS headings, count(*) FILTER (under) AS under_a_heading FROM (
             SELECT *, bool_or(head) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS under FROM (
@@ -187,7 +192,7 @@ ORACLES = {
     """,
     "anchor_groups": rf"""
         SELECT DISTINCT doc_id, anchor FROM (
-            SELECT doc_id, unnest(list_transform(regexp_extract_all(regexp_replace(text, '[^\x00-\x7f]', ' ', 'g'), '(?i)\b[a-z0-9]{{2,}}(?:-[a-z0-9]+)+\b'), lambda a: {sql.normalize_search("a")})) AS anchor
+            SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '(?i)\b[a-z0-9]{{2,}}(?:-[a-z0-9]+)+\b'), lambda a: {sql.normalize_search("a")})) AS anchor
             FROM documents
         ) WHERE len({sql.terms("anchor")}) > 0
     """,

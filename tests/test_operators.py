@@ -240,6 +240,19 @@ def test_percentiles(spark):
     assert (row["p50"], row["p90"], row["p95"], row["p99"], row["least"], row["most"], row["n"]) == (50, 90, 95, 99, 1, 100, 100)
 
 
+def test_percentiles_of_ties_skew_and_null_groups(spark):
+    import random
+
+    r = random.Random(2)
+    groups = {"same": [3.0] * 7, "one": [5.0], "skewed": [1.0] * 90 + [10.0**k for k in range(12)], "random": [r.gauss(0, 100) + 1000 for _ in range(999)], None: [2.0, 1.0], "none": []}
+    data = [(g, v) for g, vs in groups.items() for v in [*vs, None]]
+    out = {x["g"]: x for x in metrics.percentiles(spark.createDataFrame(data, "g string, value double"), ("g",)).collect()}
+    assert set(out) == {g for g, vs in groups.items() if vs}
+    for g, vs in groups.items():
+        for q in (50, 90, 95, 99) if vs else ():
+            assert abs(out[g][f"p{q}"] - sorted(vs)[max(1, -(-len(vs) * q // 100)) - 1]) < 1e-3
+
+
 @pytest.mark.parametrize(("fall", "want"), [(0.0, "pass"), (0.01, "warn"), (0.03, "fail"), (-0.5, "pass"), (None, "unknown")])
 def test_regression(spark, fall, want):
     one = lambda v: spark.createDataFrame([(v,)], "ndcg double")
