@@ -9,7 +9,7 @@ Encoder: grey samples, one per pixel, under subtract-green, or with up to 16 val
 colour indexing; back-references for runs and repeated lines. It depends on the payload alone.
 
 Defined results: decode_images gives null pixels and a message for media that are null, truncated
-or malformed; store_texts takes a null text as empty, repeated rows each give the same values,
+or malformed; store_texts takes a null text as empty, stores one beyond 267 MB as several images, repeated rows each give the same values,
 and an empty table an empty result; columns other than those named are not read.
 """
 
@@ -651,8 +651,15 @@ def encode_grey(samples: np.ndarray, width: int) -> bytes:
     return b"RIFF" + (12 + len(chunk)).to_bytes(4, "little") + b"WEBPVP8L" + size.to_bytes(4, "little") + chunk
 
 
-def store(payload: bytes) -> bytes:
-    """A payload (whole rows of ROW bytes) as an image; long payloads widen the rows."""
+#: Payload bytes that one image holds: whole rows side by side up to the format's sides.
+MOST_BYTES = MAX_SIDE // ROW * ROW * MAX_SIDE
+
+
+def store(payload: bytes, most: int = MOST_BYTES) -> bytes:
+    """A payload (whole rows of ROW bytes) as an image; long payloads widen the rows, and beyond
+    `most` bytes they become several files, one after the other."""
+    if len(payload) > most:
+        return b"".join(store(payload[at : at + most], most) for at in range(0, len(payload), most))
     rows = len(payload) // ROW
     wide = -(-rows // MAX_SIDE)
     samples = np.frombuffer(payload, np.uint8)
@@ -661,11 +668,17 @@ def store(payload: bytes) -> bytes:
     return encode_grey(samples, ROW * wide)
 
 
-def recall(media: bytes, payload_bytes: int) -> tuple[bytes, int, int, np.ndarray]:
-    """The payload read back from an image, its sides and its grey samples."""
-    width, height, argb = decode(media)
-    samples = (argb >> np.uint32(8)).astype(np.uint8)
-    return samples[:payload_bytes].tobytes(), width, height, samples
+def recall(media: bytes, payload_bytes: int, most: int = MOST_BYTES) -> tuple[bytes, list[tuple[int, int, np.ndarray]]]:
+    """The payload read back, and of each image its sides and its grey samples."""
+    parts, images, at = [], [], 0
+    for begin in range(0, payload_bytes, most):
+        size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
+        width, height, argb = decode(media[at : at + size])
+        samples = (argb >> np.uint32(8)).astype(np.uint8)
+        parts.append(samples[: min(most, payload_bytes - begin)].tobytes())
+        images.append((width, height, samples))
+        at += size
+    return b"".join(parts), images
 
 
 def feature(width: int, height: int, samples: np.ndarray) -> str:
@@ -713,8 +726,8 @@ def store_texts(docs: DataFrame, with_media: bool = True, id_col: str = "doc_id"
                 raw = (text.as_py() or "").encode()
                 n = max(1, -(-len(raw) // ROW)) * ROW
                 media = store(raw.ljust(n))
-                back, width, height, samples = recall(media, n)
-                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(width, height, samples)) + (media,) * with_media)
+                back, images = recall(media, n)
+                rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), "+".join(feature(*image) for image in images)) + (media,) * with_media)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
     kind = docs.schema[id_col].dataType.simpleString()

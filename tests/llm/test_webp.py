@@ -250,7 +250,7 @@ def test_long_payload_widens_the_rows():
     payload = b"long text " * 192 * 1700
     payload = payload[: len(payload) // 192 * 192]
     media = webp.store(payload)
-    back, width, height, _ = webp.recall(media, len(payload))
+    back, [(width, height, _)] = webp.recall(media, len(payload))
     assert back == payload and height <= webp.MAX_SIDE and width > 192
 
 
@@ -277,3 +277,20 @@ def test_operators(spark):
 def test_plane_distances():
     assert len(webp.PLANE) == 120 and webp.PLANE[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)]
     assert webp.distance_of(1, 50) == 50 and webp.distance_of(2, 50) == 1 and webp.distance_of(121, 50) == 1
+
+
+def test_payloads_beyond_one_image():
+    """Several files, one after the other, each of whole rows."""
+    payload = bytes(i * i % 251 for i in range(192 * 50))
+    media = webp.store(payload, most=192 * 16)
+    back, images = webp.recall(media, len(payload), most=192 * 16)
+    assert back == payload and media.count(b"RIFF") == 4 and [h for _, h, _ in images] == [16, 16, 16, 2]
+    assert webp.store(payload) != media and webp.recall(webp.store(payload), len(payload))[0] == payload
+
+
+def test_a_file_made_elsewhere():
+    """The 1 x 1 lossless image that web pages use to ask whether a browser reads the format."""
+    import base64
+
+    width, height, argb = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert (width, height, len(argb)) == (1, 1, 1)
