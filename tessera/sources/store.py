@@ -17,7 +17,7 @@ class EmptyIngest(ValueError):
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows of the latest committed version, or None before the first."""
     try:
-        log = spark.read.schema("version long, folder string").json(f"{path}/_versions")
+        log = spark.read.schema("version long, folder string").option("recursiveFileLookup", True).json(f"{path}/_versions")
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None
@@ -29,8 +29,9 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 def ingest(spark: SparkSession, chunks: DataFrame, path: str) -> int:
     """Replaces the chunks' documents in the store; returns the new version.
 
-    Rows are written to a folder of their own; a version line is appended only once they are
-    complete and not empty, so a failed ingest leaves the store as it was.
+    Rows are written to a folder of their own; a version line is added only once they are complete
+    and not empty, so a failed ingest leaves the store as it was. Each version has a folder that is
+    made only if it isn't there: of two ingests at once, the later one fails and may be run again.
     """
     before = current(spark, path)
     if chunks.isEmpty():
@@ -40,6 +41,7 @@ def ingest(spark: SparkSession, chunks: DataFrame, path: str) -> int:
     rows.write.parquet(f"{path}/{folder}")
     version = 0
     if before is not None:
-        version = spark.read.schema("version long, folder string").json(f"{path}/_versions").agg(F.max("version")).first()[0] + 1
-    spark.createDataFrame([(version, folder)], "version long, folder string").coalesce(1).write.mode("append").json(f"{path}/_versions")
+        version = spark.read.schema("version long, folder string").option("recursiveFileLookup", True).json(f"{path}/_versions").agg(F.max("version")).first()[0] + 1
+    line = spark.createDataFrame([(version, folder)], "version long, folder string")
+    line.coalesce(1).write.mode("errorifexists").json(f"{path}/_versions/v{version}")
     return version

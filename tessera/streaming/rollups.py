@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.functions.scores import fixed
 
@@ -24,41 +20,15 @@ def windowed_rollup(events: DataFrame, window: str = "1 day", late: str = "1 hou
     return grouped.select(F.col("window.start").alias("window_start"), "event_type", "events", "mean_value", "users")
 
 
-def live_sessions(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "0 seconds") -> DataFrame:
-    """A stream of closed sessions: user_id, started, ended, events.
+def sessions_by_gap(events: DataFrame, ttl_seconds: int = TTL_SECONDS, late: str = "1 hour") -> DataFrame:
+    """Sessions of a batch or a stream: user_id, started, ended, events.
 
-    A session is a user's run of events with gaps below the time to live; it is given out once the
-    watermark has passed its end by that long. State holds one small row for each open session.
+    A session is a user's run of events with gaps below the time to live. A stream gives a session
+    out once the watermark has passed its end by that long; rows later than `late` are dropped, and
+    state holds one small row for each open session.
     """
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closed = []
-        open_ = state.get if state.exists else None
-        if state.hasTimedOut:
-            closed.append(open_)
-            state.remove()
-        else:
-            times = sorted(t.value // 1_000_000_000 for batch in batches for t in batch["ts"])
-            for t in times:
-                if open_ and t - open_[1] >= ttl_seconds:
-                    closed.append(open_)
-                    open_ = None
-                open_ = (open_[0], max(open_[1], t), open_[2] + 1) if open_ else (t, t, 1)
-            if open_:
-                state.update(open_)
-                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, (open_[1] + ttl_seconds) * 1000))
-        if closed:
-            yield pd.DataFrame({"user_id": key[0], "started": [pd.Timestamp(c[0], unit="s") for c in closed], "ended": [pd.Timestamp(c[1], unit="s") for c in closed], "events": [c[2] for c in closed]})
-
-    marked = events.select("user_id", "ts").withWatermark("ts", late)
-    return marked.groupBy("user_id").applyInPandasWithState(
-        update, "user_id long, started timestamp, ended timestamp, events long", "started long, ended long, events long", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def sessions_by_gap(events: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
-    """The same sessions in batch, by session windows."""
-    grouped = events.groupBy(F.session_window("ts", f"{ttl_seconds} seconds").alias("w"), "user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("events"))
+    marked = events.withWatermark("ts", late) if events.isStreaming else events
+    grouped = marked.groupBy(F.session_window("ts", f"{ttl_seconds} seconds").alias("w"), "user_id").agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("events"))
     return grouped.select("user_id", "started", "ended", "events")
 
 
@@ -70,14 +40,28 @@ def merge_term_counts(table: DataFrame | None, chunks: DataFrame) -> DataFrame:
     return delta if table is None else table.unionByName(delta).groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def follow_term_counts(spark: SparkSession, chunks: DataFrame, path: str, checkpoint: str):
-    """A query that keeps document frequencies of a stream of chunks under path, a folder per batch.
+def follow_term_counts(spark: SparkSession, chunks: DataFrame, path: str, checkpoint: str, compact_every: int = 16):
+    """A query that keeps document frequencies of a stream of chunks under path; read them by
+    term_counts().
 
-    A batch's folder is written whole from the one before it, so a repeated batch gives the same.
+    Each batch writes its own counts in a folder of its number; every compact_every batches the sum
+    of all is written beside them. Folders are written whole, so a repeated batch gives the same.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{path}/{number - 1}") if number else None
-        merge_term_counts(before, batch).write.mode("overwrite").parquet(f"{path}/{number}")
+        merge_term_counts(None, batch).write.mode("overwrite").parquet(f"{path}/kind=delta/batch={number}")
+        if number % compact_every == compact_every - 1:
+            term_counts(spark, path, number).write.mode("overwrite").parquet(f"{path}/kind=whole/batch={number}")
 
     return chunks.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def term_counts(spark: SparkSession, path: str, through: int | None = None) -> DataFrame:
+    """term, df after all batches (or those up to one): the last whole sum and the deltas after it."""
+    rows = spark.read.schema("term string, df long, kind string, batch long").parquet(path)
+    if through is not None:
+        rows = rows.where((F.col("batch") < through) | ((F.col("batch") == through) & (F.col("kind") == "delta")))
+    last = rows.where("kind = 'whole'").agg(F.max("batch")).first()[0]
+    if last is not None:
+        rows = rows.where(((F.col("kind") == "whole") & (F.col("batch") == last)) | ((F.col("kind") == "delta") & (F.col("batch") > last)))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"))
