@@ -9,14 +9,17 @@ from tessera import sql
 from tessera.functions.scores import fixed, jaccard, keyword_score
 from tessera.functions.text import normalize_search, searchable, term_set
 from tessera.operators import comparison, index, metrics, retrieval
+from tessera.operators.chunking import fixed_windows
 from tessera.plans.tables import HOLDERS_SQL, chunks, documents, holders, questions, table
+from tessera.sources.scratch import kept
 
 TOP_K, CANDIDATES = 6, 18
 KEYS = ("doc_id", "chunk_index")
 
 
 def sparse_candidates(spark: SparkSession, sf_dir: str, k: int = CANDIDATES) -> DataFrame:
-    return index.top_k(index.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), k, ties=(F.desc("keyword"), *KEYS))
+    """The best k chunks of each question: k rows a question, kept as several steps read them."""
+    return kept(index.top_k(index.bm25_scores(chunks(spark, sf_dir), questions(spark, sf_dir)), k, ties=(F.desc("keyword"), *KEYS)))
 
 
 def dense_candidates(spark: SparkSession, sf_dir: str, k: int = CANDIDATES) -> DataFrame:
@@ -87,12 +90,19 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_chunk_text(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
-    return results.join(chunks(spark, sf_dir), list(KEYS))
+    """results (kept) with the texts of their chunks; only their documents are cut into chunks."""
+    texts = fixed_windows(only(documents(spark, sf_dir), results.select("doc_id").distinct()))
+    return results.join(texts, list(KEYS))
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of these ids: read through a broadcast of the ids, if they are few."""
+    return docs.join(index.few_rows(ids)(ids), "doc_id", "left_semi")
 
 
 def reranked(spark: SparkSession, sf_dir: str, k: int = TOP_K) -> DataFrame:
     results = with_chunk_text(spark, sf_dir, sparse_candidates(spark, sf_dir))
-    return retrieval.heuristic_rerank(results, questions(spark, sf_dir), k)
+    return kept(retrieval.heuristic_rerank(results, questions(spark, sf_dir), k))
 
 
 def heuristic_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,11 +189,11 @@ def sweep_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each query the documents of its best six chunks, with their whole texts as evidence."""
     chosen = sparse_candidates(spark, sf_dir, TOP_K).select(F.col("query_id").alias("group_id"), "doc_id").distinct()
-    return chosen.join(documents(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return chosen.join(only(documents(spark, sf_dir).select("doc_id", "text"), chosen.select("doc_id").distinct()), "doc_id")
 
 
 def pair_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.analyse_pairs(comparison.evidence_features(selected(spark, sf_dir)))
+    return comparison.analyse_pairs(kept(comparison.evidence_features(selected(spark, sf_dir))))
 
 
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
