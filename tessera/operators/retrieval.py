@@ -138,10 +138,14 @@ def keyword_scores(entries: DataFrame, queries: DataFrame, keys: tuple[str, ...]
     return hits.join(small(sizes), "query_id").select("query_id", *keys, fixed(F.col("found") / F.col("wanted"), 6).alias("keyword"))
 
 
+def keyword_of(side: DataFrame) -> Column:
+    return F.col("keyword") if "keyword" in side.columns else F.lit(None).cast("double")
+
+
 def weighted_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...], dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
     """query_id, keys, dense, sparse, keyword, score: each side by its own maximum, then the weighted sum.
 
-    Both inputs have query_id, keys, score and keyword; a side without the entry counts 0. Weights are
+    Both inputs have query_id, keys, score and, if known, keyword; a side without the entry counts 0. Weights are
     scaled to sum 1 (halves if they sum to 0 or less).
     """
     total = dense_weight + sparse_weight
@@ -149,7 +153,7 @@ def weighted_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...],
 
     def scaled(side: DataFrame, name: str) -> DataFrame:
         most = F.max("score").over(Window.partitionBy("query_id"))
-        return side.select("query_id", *keys, F.when(most > 0, F.col("score") / most).otherwise(0.0).alias(name), F.col("keyword").alias(f"{name}_keyword"))
+        return side.select("query_id", *keys, F.when(most > 0, F.col("score") / most).otherwise(0.0).alias(name), keyword_of(side).alias(f"{name}_keyword"))
 
     both = scaled(dense, "dense").join(scaled(sparse, "sparse"), ["query_id", *keys], "full_outer")
     both = both.select("query_id", *keys, F.coalesce("dense", F.lit(0.0)).alias("dense"), F.coalesce("sparse", F.lit(0.0)).alias("sparse"), F.coalesce("dense_keyword", "sparse_keyword").alias("keyword"))
@@ -170,11 +174,11 @@ def fused_top_k(fused: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
 
 def rrf_fusion(dense: DataFrame, sparse: DataFrame, keys: tuple[str, ...], k: int = RRF_K, dense_weight: float = DENSE_WEIGHT, sparse_weight: float = SPARSE_WEIGHT) -> DataFrame:
     """query_id, keys, ranks, keyword, score: sum of weight / (k + rank) over the sides (both have
-    query_id, keys, rank, keyword)."""
+    query_id, keys, rank and, if known, keyword)."""
     total = dense_weight + sparse_weight
     a, b = (dense_weight / total, sparse_weight / total) if total > 0 else (0.5, 0.5)
-    left = dense.select("query_id", *keys, F.col("rank").alias("dense_rank"), F.col("keyword").alias("dense_keyword"))
-    right = sparse.select("query_id", *keys, F.col("rank").alias("sparse_rank"), F.col("keyword").alias("sparse_keyword"))
+    left = dense.select("query_id", *keys, F.col("rank").alias("dense_rank"), keyword_of(dense).alias("dense_keyword"))
+    right = sparse.select("query_id", *keys, F.col("rank").alias("sparse_rank"), keyword_of(sparse).alias("sparse_keyword"))
     both = left.join(right, ["query_id", *keys], "full_outer")
     share = lambda weight, rank: F.coalesce(F.lit(weight) / (F.lit(k) + F.col(rank)), F.lit(0.0))
     return both.select("query_id", *keys, "dense_rank", "sparse_rank", F.coalesce("dense_keyword", "sparse_keyword").alias("keyword"), fixed(share(a, "dense_rank") + share(b, "sparse_rank"), 8).alias("score"))
