@@ -32,8 +32,8 @@ from tessera.llm.common import stored, table
 from tessera.llm.words import slices
 
 SPECIAL = "<|endoftext|>"
-#: Pieces of one block, on average.
-BLOCK = 250_000
+#: Ids of one block, on average.
+BLOCK = 4_000_000
 
 
 class ByteTokenizer:
@@ -121,14 +121,17 @@ def pack_binary(
 
 
 def bucketed(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
-    """pieces with sequence_id, from 0 without gaps, the longest first. Counts by length and block
-    tell where each block's ids begin."""
-    blocks = max(1, -(-pieces.count() // block))
+    """pieces with sequence_id, from 0 without gaps, the longest first. Counts by length and block,
+    summed over runs of blocks and within each, tell where each block's ids begin."""
+    blocks = max(1, -(-(pieces.agg(F.sum("length")).first()[0] or 0) // block))
     dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(blocks)))
-    counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
-    begin = (F.sum("n").over(Window.orderBy(F.desc("length"), "block")) - F.col("n")).alias("begin")  # a row for each block and length
+    counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("run", F.expr("block DIV 1024"))
+    before = lambda window: F.sum("n").over(window) - F.col("n")
+    within = counts.withColumn("within", before(Window.partitionBy("length", "run").orderBy("block")))
+    runs = counts.groupBy("length", "run").agg(F.sum("n").alias("n")).withColumn("base", before(Window.orderBy(F.desc("length"), "run")))
+    begin = within.join(runs.select("length", "run", "base"), ["length", "run"]).select("length", "block", (F.col("base") + F.col("within")).alias("begin"))
     order = Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")
-    numbered = dealt.withColumn("turn", F.row_number().over(order)).join(counts.select("length", "block", begin), ["length", "block"])
+    numbered = dealt.withColumn("turn", F.row_number().over(order)).join(begin, ["length", "block"])
     return numbered.select(*pieces.columns, (F.col("begin") + F.col("turn") - 1).alias("sequence_id"))
 
 
