@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import sql
-from tessera.operators import index, runs
+from tessera.operators import facts, index, runs
 from tessera.plans import retrieval
 from tessera.plans.evaluation import user_questions
 from tessera.plans.tables import chunks, questions, table
@@ -102,9 +102,17 @@ def gap_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.longs(new.select("query_id", *retrieval.KEYS, "score", "rank"), "chunk_index", "rank")
 
 
+def fact_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a passage's best chunks: are the numbers of one those of another? Units must agree."""
+    docs = retrieval.selected(spark, sf_dir)
+    left = docs.select("group_id", F.col("doc_id").alias("claim_doc"), F.col("text").alias("claim"))
+    pairs = left.join(docs.select("group_id", F.col("doc_id").alias("source_doc"), F.col("text").alias("source")), "group_id").where("claim_doc <> source_doc")
+    return facts.fact_support(pairs, ("group_id", "claim_doc", "source_doc"), strict=True)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (intents, replay_safety, normalized_steps, upserted_steps, retried_steps, overall_status, claimed_tasks, claim_events, archived_artifacts, rerank_metrics, gap_searches)
+    for f in (intents, replay_safety, normalized_steps, upserted_steps, retried_steps, overall_status, claimed_tasks, claim_events, archived_artifacts, rerank_metrics, gap_searches, fact_support)
 }
 
 _SAYS = {n: sql.matches("q", getattr(runs, n)) for n in ("ARXIV", "INVENTORY", "DISCOVERY", "RESEARCH", "CHRONOLOGY", "RISK_REVIEW", "CONTRACT_SUMMARY", "COMPARE", "CONTRACT_REVIEW", "RISKS", "PROJECT_CHANGE", "WEB")}
@@ -128,7 +136,20 @@ def _needs(kind: str, names: list[str]) -> str:
     return " OR ".join(f"event_id % {there[n]} = 0" if n in there else "true" for n in names)
 
 
+_UNIT = f"coalesce({{map}}[lower(u)], {{map}}[regexp_replace(lower(u), 's$', '')], regexp_replace(lower(u), '(..)s$', '\\1'))".format(map="MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in facts.UNITS.items()) + "}")
+
 ORACLES = {
+    "fact_support": rf"""
+        {retrieval._RANKED}, d AS MATERIALIZED (SELECT DISTINCT query_id AS group_id, doc_id, {sql.normalize_whitespace("text")} AS t FROM sparse JOIN documents USING (doc_id) WHERE rank <= {retrieval.TOP_K}),
+        e AS (SELECT group_id, doc_id, unnest(regexp_extract_all(t, '{facts.FACT}', 1)) AS c, {sql.number(f"unnest(regexp_extract_all(t, '{facts.FACT}', 2))")} AS v, coalesce(unnest(regexp_extract_all(t, '{facts.FACT}', 3)), '') AS u FROM d),
+        f AS (SELECT group_id, doc_id, CASE WHEN c <> '' THEN c WHEN {_UNIT} IN ('$', '€') THEN {_UNIT} ELSE '' END AS c, v, CASE WHEN {_UNIT} IN ('$', '€') THEN '' ELSE {_UNIT} END AS u FROM e),
+        n AS MATERIALIZED (SELECT group_id, doc_id, c, v, u, count(*) AS k FROM f GROUP BY ALL),
+        p AS (SELECT l.group_id, l.doc_id AS claim_doc, r.doc_id AS source_doc FROM d l JOIN d r ON l.group_id = r.group_id AND l.doc_id <> r.doc_id),
+        m AS (SELECT l.group_id, l.doc_id AS claim_doc, r.doc_id AS source_doc, sum(least(l.k, r.k)) AS matched FROM n l JOIN n r ON l.group_id = r.group_id AND l.c = r.c AND l.v = r.v AND l.u = r.u GROUP BY ALL),
+        s AS (SELECT group_id, doc_id AS claim_doc, sum(k) AS facts FROM n GROUP BY ALL)
+        SELECT group_id, claim_doc, source_doc, CAST(coalesce(facts, 0) AS BIGINT) AS facts, CAST(coalesce(matched, 0) AS BIGINT) AS matched, coalesce(facts, 0) = coalesce(matched, 0) AS supported
+        FROM p LEFT JOIN s USING (group_id, claim_doc) LEFT JOIN m USING (group_id, claim_doc, source_doc)
+    """,
     "intents": rf"""
         SELECT query_id, concat_ws(',', {", ".join(f"CASE WHEN {yes} THEN '{name}' END" for name, yes in _INTENTS)}) AS intents
         FROM (SELECT *, {_ACTION} AS action FROM (

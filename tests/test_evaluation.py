@@ -7,6 +7,27 @@ from tessera.operators import comparison, evaluation, gates, metrics, questions,
 from tessera.sources import store
 
 
+def test_facts_are_matched_one_to_one(spark):
+    """Against all assignments; units, currencies and repeats."""
+    import itertools
+    import random
+
+    from tessera.operators import facts
+
+    r = random.Random(1)
+    for _ in range(200):
+        fits = [[k for k in range(4) if r.random() < 0.4] for _ in range(r.randint(0, 4))]
+        best = max(sum(k in fits[i] for i, k in enumerate(p[: len(fits)])) for p in itertools.permutations(range(4)))
+        assert facts.matching(fits) == best
+    pairs = [
+        (1, "pay $1,000 within 30 days", "within 30 days you pay $1000"), (2, "30 days and 30 days", "30 days"), (3, "30 hours", "30 days"), (4, "5%", "5 percent"), (5, "10 USD", "$10"),
+        (6, "30 and 30 days", "30 days, then 30"), (7, None, "1"), (8, "no number", None),
+    ]
+    frame = spark.createDataFrame(pairs, "id long, claim string, source string")
+    loose = {x["id"]: (x["facts"], x["matched"]) for x in facts.fact_support(frame, ("id",)).collect()}
+    assert loose == {1: (2, 2), 2: (2, 1), 3: (1, 0), 4: (1, 1), 5: (1, 1), 6: (2, 2), 7: (0, 0), 8: (0, 0)}
+
+
 def rows(frame, *names):
     return sorted(map(tuple, frame.select(*names).collect()), key=str)
 
