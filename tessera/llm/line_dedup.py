@@ -154,7 +154,7 @@ def without_repeats(docs: DataFrame, least_length: int = 20, least_documents: in
     largest id.
     """
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    lines = base.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    lines = base.agg(F.sum(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
     suspects = twice_seen(base, least_length, filter_size(lines, max_bits=max_bits))
     lost = lost_keys(stored(suspected(base, suspects, least_length)), least_documents)
     kind = base.schema["doc_id"].dataType.simpleString()
