@@ -140,9 +140,13 @@ def suspected(docs: DataFrame, suspects: Broadcast, least: int) -> DataFrame:
 
 
 def lost_keys(found: DataFrame, least_documents: int) -> DataFrame:
-    """doc_id, lost: the digests of the keys that a document loses."""
+    """doc_id, lost: the digests of the keys that a document loses.
+
+    The repeated keys are written, so that both sides of the join are plain shuffles, whose hot keys adaptive
+    execution splits.
+    """
     each = found.groupBy("digest", "doc_id").agg(F.lit(1).alias("one"))
-    repeated = each.groupBy("digest").agg(F.count("one").alias("documents"), F.max("doc_id").alias("keeper")).where(F.col("documents") >= least_documents)
+    repeated = stored(each.groupBy("digest").agg(F.count("one").alias("documents"), F.max("doc_id").alias("keeper")).where(F.col("documents") >= least_documents).drop("documents"))
     lost = found.join(repeated, "digest").where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
     return lost.groupBy("doc_id").agg(F.collect_set("digest").alias("lost"))
 
