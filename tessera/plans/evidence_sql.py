@@ -54,14 +54,12 @@ _PAIRS = f"""
 _R = retrieval._RANKED
 
 #: Claims of answers against the sentences of the other turns. No turn of the driver's conversations holds a number, code, label or quoted phrase, so anchors and limits are empty.
-_NOT_ALLOWED, _NOT_REQUIRED = (p.replace("'", "''") for p in (verify.NOT_ALLOWED, verify.NOT_REQUIRED))
-
-
 def _modality(x: str) -> str:
-    positive = f"regexp_replace(regexp_replace({x}, '{_NOT_ALLOWED}', ' ', 'g'), '{_NOT_REQUIRED}', ' ', 'g')"
+    less = lambda p: "regexp_replace({}, '{}', '', 'g')".format(x, p.replace("'", "''"))
+    after_all, double = sql.matches(x, verify.NEGATED_PROHIBITION), sql.matches(x, verify.DOUBLE_NEGATIVE)
     says = [
-        ("allow", sql.matches(positive, verify.ALLOWED)), ("prohibit", f"({sql.matches(x, verify.NOT_ALLOWED)} OR {sql.matches(x, verify.PROHIBITED)})"), ("require", sql.matches(positive, verify.REQUIRED)),
-        ("optional", f"({sql.matches(x, verify.NOT_REQUIRED)} OR {sql.matches(x, verify.OPTIONAL)})"), ("recommend", sql.matches(positive, verify.RECOMMENDED)),
+        ("allow", f"({after_all} OR {sql.matches(less(verify.NEGATED_PERMISSION), verify.ALLOW)})"), ("prohibit", f"(NOT {after_all} AND ({sql.matches(x, verify.NEGATED_PERMISSION)} OR {sql.matches(x, verify.PROHIBIT)}))"),
+        ("require", f"({double} OR {sql.matches(less(verify.NEGATED_REQUIREMENT), verify.REQUIRE)})"), ("optional", f"({sql.matches(x, verify.NEGATED_REQUIREMENT)} AND NOT {double})"), ("recommend", sql.matches(x, verify.RECOMMEND)),
     ]
     return " || ".join(f"CASE WHEN {yes} THEN '{name},' ELSE '' END" for name, yes in says)
 

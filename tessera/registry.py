@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import answers, evaluation, evidence_sql, operations, retrieval, runs, summaries, text
+from tessera.plans import answers, evaluation, evidence_sql, operations, relations, retrieval, runs, summaries, text
 
-_MODULES = [text, retrieval, answers, evaluation, operations, summaries, runs]
+_MODULES = [text, retrieval, answers, evaluation, operations, summaries, runs, relations]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in [*_MODULES, evidence_sql] for name, sql in module.ORACLES.items()}
