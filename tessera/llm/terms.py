@@ -31,7 +31,7 @@ def term_lists(text: bytes, table: bytes) -> Iterator[list[bytes]]:
             part, end = part + more, end + len(more)
             last = part.rfind(b" ") if more else len(part)
         yield part[:last].split()
-        start += last
+        start += last + 1  # a space, or the end of the text
     yield text[start:].translate(table).split()
 
 
