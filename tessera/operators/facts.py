@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import normalize_number, normalize_whitespace
+from tessera.functions.text import STOP_WORDS, normalize_number, normalize_whitespace
+from tessera.operators.quantities import full_flow
+from tessera.operators.relations import most_pairs
 
 #: Currency, number, and the unit or noun right after it.
 FACT = r"([$€£¥]?)(\d[\d,]*(?:\.\d+)?)[ \t]*(%|[A-Za-z]+)?"
@@ -20,12 +23,14 @@ def numeric_facts(text: Column) -> Column:
     """The facts of a text in order, repeats included: structs of currency, value and unit.
 
     Values are normalised, units in lower case, singular, and in one spelling; a unit that names a
-    currency is one. Empty for null.
+    currency is one; a word without meaning, as in "5 to", is no unit. Empty for null.
     """
     plain = normalize_whitespace(text)
     part = lambda i: F.regexp_extract_all(plain, F.lit(FACT), F.lit(i))
     known = F.create_map(*[F.lit(x) for item in UNITS.items() for x in item])
-    unit = lambda u: F.coalesce(known[F.lower(u)], known[F.regexp_replace(F.lower(u), "s$", "")], F.regexp_replace(F.lower(u), r"(?<=..)s$", ""))
+    named = lambda u: F.coalesce(known[F.lower(u)], known[F.regexp_replace(F.lower(u), "s$", "")], F.regexp_replace(F.lower(u), r"(?<=..)s$", ""))
+
+    unit = lambda u: F.when(F.lower(u).isin(STOP_WORDS), "").otherwise(named(u))
 
     def fact(pair: Column, u: Column) -> Column:
         money = unit(u).isin("$", "€")
@@ -37,42 +42,37 @@ def numeric_facts(text: Column) -> Column:
     return F.coalesce(F.zip_with(pairs, part(3), fact), F.array().cast("array<struct<currency:string,value:string,unit:string>>"))
 
 
-def agree(claimed: dict, held: dict, strict: bool) -> bool:
-    """Equal values in one currency, and equal units; unless strict, a fact without a unit fits any."""
-    same = claimed["value"] == held["value"] and claimed["currency"] == held["currency"]
-    return same and (claimed["unit"] == held["unit"] or (not strict and "" in (claimed["unit"], held["unit"])))
+def agree(claimed: tuple, held: tuple, strict: bool) -> bool:
+    """Of (currency, value, unit): equal values in one currency, and equal units; unless strict, a fact
+    without a unit fits any."""
+    return claimed[:2] == held[:2] and (claimed[2] == held[2] or (not strict and "" in (claimed[2], held[2])))
 
 
 def matching(fits: list[list[int]]) -> int:
     """The most claims that can each have a support of its own; fits[claim] lists those that suit it."""
-    taken: dict[int, int] = {}
+    return most_pairs(fits, 1 + max((s for each in fits for s in each), default=-1))
 
-    def place(claim: int, tried: set[int]) -> bool:
-        for support in fits[claim]:
-            if support not in tried:
-                tried.add(support)
-                if support not in taken or place(taken[support], tried):
-                    taken[support] = claim
-                    return True
-        return False
 
-    return sum(place(claim, set()) for claim in range(len(fits)))
+def supported_facts(said: list[tuple], held: list[tuple], strict: bool) -> int:
+    """How many facts of said each find one of held for themselves; equal facts are one class with a count."""
+    need, have = Counter(said), Counter(held)
+    by_value: dict[str, list[int]] = {}
+    for k, fact in enumerate(have):
+        by_value.setdefault(fact[1], []).append(k)
+    kinds = list(have)
+    return full_flow(list(need.values()), list(have.values()), [[k for k in by_value.get(f[1], []) if agree(f, kinds[k], strict)] for f in need])
 
 
 def fact_support(pairs: DataFrame, keys: tuple[str, ...], strict: bool = False) -> DataFrame:
     """keys, facts, matched, supported of pairs (keys, claim, source: texts): each fact of the claim
     needs one of the source for itself, so that one number can't stand for two."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = []
-            for said, held in zip(batch["said"], batch["held"]):
-                by_value: dict[str, list[int]] = {}
-                for k, fact in enumerate(held):
-                    by_value.setdefault(fact["value"], []).append(k)
-                counts.append(matching([[k for k in by_value.get(fact["value"], []) if agree(fact, held[k], strict)] for fact in said]))
-            yield batch[list(keys)].assign(facts=batch["said"].map(len), matched=counts)
+            lists = [[[tuple(f.values()) for f in facts] for facts in batch.column(c).to_pylist()] for c in ("said", "held")]
+            matched = [supported_facts(said, held, strict) for said, held in zip(*lists)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array([len(x) for x in lists[0]], pa.int64()), pa.array(matched, pa.int64())], [*keys, "facts", "matched"])
 
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
     rows = pairs.select(*keys, numeric_facts(F.col("claim")).alias("said"), numeric_facts(F.col("source")).alias("held"))
-    return rows.mapInPandas(run, f"{kinds}, facts long, matched long").withColumn("supported", F.col("facts") == F.col("matched"))
+    return rows.mapInArrow(run, f"{kinds}, facts long, matched long").withColumn("supported", F.col("facts") == F.col("matched"))

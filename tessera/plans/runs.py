@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import sql
+from tessera.functions.text import STOP_WORDS
 from tessera.operators import facts, index, runs
 from tessera.plans import retrieval
 from tessera.plans.evaluation import user_questions
@@ -137,6 +138,7 @@ def _needs(kind: str, names: list[str]) -> str:
 
 
 _UNIT = f"coalesce({{map}}[lower(u)], {{map}}[regexp_replace(lower(u), 's$', '')], regexp_replace(lower(u), '(..)s$', '\\1'))".format(map="MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in facts.UNITS.items()) + "}")
+_UNIT = f"CASE WHEN lower(u) IN ({sql.quoted(STOP_WORDS)}) THEN '' ELSE {_UNIT} END"
 
 ORACLES = {
     "fact_support": rf"""

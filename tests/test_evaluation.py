@@ -263,3 +263,11 @@ def test_compare_batches(spark):
     batches = spark.createDataFrame([(1, 1, [1, 1]), (1, 2, [1, 2]), (2, 1, [3])], "query_id int, batch_no int, doc_ids array<int>")
     selected = spark.createDataFrame([(1, [1, 2, 3]), (2, [3, 4])], "query_id int, doc_ids array<int>")
     assert rows(state.compare_batches(batches, selected), "query_id", "batch_no", "doc_ids") == [(1, 1, [1, 2]), (2, 1, [3, 4])]
+
+
+def test_many_equal_facts_and_words_that_are_no_units(spark):
+    from tessera.operators import facts
+
+    rows = [(1, "3 days " * 1500, "3 days " * 1500), (2, "$5 to staff", "$5 in cash")]
+    got = facts.fact_support(spark.createDataFrame(rows, "id long, claim string, source string"), ("id",), strict=True)
+    assert {r["id"]: (r["facts"], r["matched"], r["supported"]) for r in got.collect()} == {1: (1500, 1500, True), 2: (1, 1, True)}
