@@ -57,11 +57,11 @@ def budget_alerts(tokens: Column, token_limit: Column, cost: Column, cost_limit:
 
 def latest_baseline(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted with baseline_id and strategy: the newest earlier run of the same profile and corpus,
-    else of the same corpus, else of the same profile, else any; only passed runs count.
+    else of the same corpus, else of the same profile, else none; only passed runs count.
 
     runs: run_id, created, profile, corpus, passed. wanted: run_id, created, profile, corpus.
-    Candidates are folded to the newest by day and kind before they are matched, so wanted runs
-    never meet all runs.
+    Three windows over runs and wanted runs together, by corpus and profile, by corpus and by profile, so
+    wanted runs never meet all runs; a corpus or profile that most runs share is sorted in one task.
     """
     good = runs.where("passed").select(F.col("run_id").alias("baseline_id"), F.col("created").alias("b_created"), F.col("profile").alias("b_profile"), F.col("corpus").alias("b_corpus"))
     marks = wanted.select("run_id", "created", "profile", "corpus", F.lit(None).cast("long").alias("baseline_id"))

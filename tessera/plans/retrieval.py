@@ -211,6 +211,12 @@ def missing_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holders(spark, sf_dir).join(found, ["query_id", "doc_id"], "left_anti")
 
 
+def missing_from_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage but did not give its single best chunk."""
+    found = sparse_candidates(spark, sf_dir, 1).select("query_id", "doc_id")
+    return holders(spark, sf_dir).join(found, ["query_id", "doc_id"], "left_anti")
+
+
 def pair_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.diagnostics(pair_analysis(spark, sf_dir))
 
@@ -255,6 +261,7 @@ QUERIES = {
     "pair_analysis": pair_analysis,
     "comparison_verdicts": comparison_verdicts,
     "missing_documents": missing_documents,
+    "missing_from_best": missing_from_best,
     "source_bundle": source_bundle,
     "pair_diagnostics": pair_diagnostics,
     "comparison_answers": comparison_answers,
@@ -465,6 +472,7 @@ ORACLES = {
                    {sql.fixed("avg(precision)")} AS precision, {sql.fixed("avg(1 - noise)")} AS quiet FROM m GROUP BY variant
         )
     """,
+    "missing_from_best": f"{_RANKED}, {_HOLDERS} SELECT query_id, doc_id FROM held ANTI JOIN (SELECT * FROM sparse WHERE rank = 1) s USING (query_id, doc_id)",
     "missing_documents": f"{_RANKED}, {_HOLDERS} SELECT query_id, doc_id FROM held ANTI JOIN (SELECT * FROM sparse WHERE rank <= {TOP_K}) s USING (query_id, doc_id)",
     "near_duplicate_pairs": f"""
         {_RANKED}, {_PAIRS}
