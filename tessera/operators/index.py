@@ -45,28 +45,42 @@ def few_rows(asked: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return F.broadcast if asked.limit(FEW_ROWS + 1).count() <= FEW_ROWS else lambda table: table
 
 
-def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
-    """query_id, keys, score (six decimals), keyword (share of the query's terms) of every chunk that
-    shares a term with the query.
+def weighed_postings(chunks: DataFrame, wanted: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text", small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """keys, term, weight: the BM25 weight of each wanted term in each chunk that holds it.
 
-    Statistics cover the whole index. Term counts of a chunk are taken where it is read; only
-    counts of terms that some query asks for are shuffled.
+    wanted: term (distinct). Statistics cover the whole index. Term counts of a chunk are taken where
+    it is read; only counts of wanted terms are shuffled. Several searches whose terms are known
+    beforehand can be scored from one such table.
     """
+    small = small or few_rows(wanted)
     statistics = corpus_statistics(chunks, text_col)
-    asked = query_terms(queries)
-    small = few_rows(asked)
-    wanted = asked.select("term").distinct()
     counted = unnest(chunks.select(*keys, terms(F.col(text_col)).alias("terms")), [*keys, F.size("terms").alias("length")], F.col("terms"), "term")
     counted = counted.join(small(wanted), "term", "left_semi")
     postings = counted.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = frequency.join(F.broadcast(statistics)).select("term", bm25_idf(F.col("n"), F.col("df")).alias("idf"), "mean_length")
-    weighed = postings.join(small(idf), "term").select(*keys, "term", bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
+    return postings.join(small(idf), "term").select(*keys, "term", bm25_weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean_length")).alias("weight"))
+
+
+def scores_of(weighed: DataFrame, asked: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), small: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, keys, score (six decimals), keyword (share of the query's terms).
+
+    weighed: keys, term, weight of weighed_postings(). asked: query_id, term (distinct).
+    """
+    small = small or few_rows(asked)
     scored = weighed.join(small(asked), "term").groupBy("query_id", *keys).agg(fixed(F.sum("weight"), 6).alias("score"), F.count(F.lit(1)).alias("found"))
     sizes = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
     return scored.join(small(sizes), "query_id").select("query_id", *keys, "score", fixed(F.col("found") / F.col("wanted"), 6).alias("keyword"))
 
 
+def bm25_scores(chunks: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
+    """query_id, keys, score (six decimals), keyword (share of the query's terms) of every chunk that
+    shares a term with the query."""
+    asked = query_terms(queries)
+    small = few_rows(asked)
+    return scores_of(weighed_postings(chunks, asked.select("term").distinct(), keys, text_col, small), asked, keys, small)
+
+
 def sparse_vectors(chunks: DataFrame, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
     """keys, entries: the BM25 weights of a chunk's terms as (term, weight) structs in term order, so
     that the dot product with a query's 0/1 vector is its score. Terms stand for themselves: a
