@@ -18,21 +18,24 @@ KEYS = retrieval.KEYS
 #: Wordings of a question about a passage's first words, by the remainder of its id.
 WORDINGS = [
     "When does {five} take effect?", "How much is the fee for {five}?", "Which users and regions is {five} for?", "Is {five} allowed?", 'Find "{two}" and {code} in {five}', "“{two}”何时生效",
-    "{five}", "Must {five} be paid, how much and when?",
+    "{five}", "Must {five} be paid, how much and when?", '{all} And "{other}"?',
 ]
 
 
 def gap_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, query: every passage as a question in one of the wordings."""
+    """query_id, query: every passage as a question in one of the wordings; other is two words of the
+    passage of the next id, if there is one, so that a question may need what its own words don't find."""
     words = F.split("text", r"\s+")
-    named = {"five": F.array_join(F.slice(words, 1, 5), " "), "two": F.array_join(F.slice(words, 1, 2), " "), "code": F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})")), 1, 2), "-")}
+    named = {"all": F.col("text"), "five": F.array_join(F.slice(words, 1, 5), " "), "two": F.array_join(F.slice(words, 1, 2), " "), "code": F.array_join(F.slice(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})")), 1, 2), "-"), "other": F.coalesce("other", F.lit(""))}
     query = F.lit(None).cast("string")
     for k, wording in enumerate(WORDINGS):
         said = F.lit(wording)
         for name, value in named.items():
             said = F.replace(said, F.lit("{" + name + "}"), value)
         query = F.when(F.col("item_id") % len(WORDINGS) == k, said).otherwise(query)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    following = passages.select((F.col("item_id") - 1).alias("item_id"), F.array_join(F.slice(words, 3, 2), " ").alias("other"))
+    return passages.join(following, "item_id", "left").select(F.col("item_id").alias("query_id"), query.alias("query"))
 
 
 def _with_text(spark: SparkSession, sf_dir: str, results: DataFrame) -> DataFrame:
@@ -126,7 +129,7 @@ def _by_kind(texts: dict[str, tuple[str, str]], kind: str, **values: str) -> str
 
 def _wording(text: str) -> str:
     out = _text(text)
-    for name, value in (("five", "array_to_string(w[1:5], ' ')"), ("two", "array_to_string(w[1:2], ' ')"), ("code", "array_to_string(regexp_extract_all(text, '[A-Za-z]{2,}')[1:2], '-')")):
+    for name, value in (("all", "text"), ("five", "array_to_string(w[1:5], ' ')"), ("two", "array_to_string(w[1:2], ' ')"), ("code", "array_to_string(regexp_extract_all(text, '[A-Za-z]{2,}')[1:2], '-')"), ("other", "coalesce(other, '')")):
         out = f"replace({out}, '{{{name}}}', {value})"
     return out
 
@@ -148,7 +151,7 @@ _OPTIONAL = " || ".join(
     f"CASE WHEN {sql.matches('query', gap_plan.ASKS[k])} THEN {_NEED.format(kind=k, label=_filled(gap_plan.LABELS[k]), terms='CAST([] AS VARCHAR[])')} ELSE [] END" for k in gap_plan.ASKS
 )
 _NEEDS = rf"""
-    asked AS MATERIALIZED (SELECT item_id AS query_id, {_QUERY} AS query FROM (SELECT *, regexp_split_to_array(text, '\s+') AS w FROM benchmark)),
+    asked AS MATERIALIZED (SELECT item_id AS query_id, {_QUERY} AS query FROM (SELECT b.*, regexp_split_to_array(b.text, '\s+') AS w, array_to_string(regexp_split_to_array(f.text, '\s+')[3:4], ' ') AS other FROM benchmark b LEFT JOIN benchmark f ON f.item_id = b.item_id + 1)),
     anchored AS (
         SELECT *, CASE WHEN regexp_matches(query, '[一-鿿]') THEN 'zh' ELSE 'en' END AS language, {_FIRST.format(xs="codes")} || {_FIRST.format(xs="quotes")} AS anchors,
                list_filter({_DISTINCT.format(x="said")}, lambda t: t NOT IN ({_STOP})) AS words
