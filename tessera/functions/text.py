@@ -23,6 +23,10 @@ TOKEN = "[A-Za-z0-9]+|[一-鿿]"
 CODE_LIKE = r"(?i)\b[a-z0-9]{2,}(?:-[a-z0-9]{1,})+\b"
 NUMBER = r"\$?\d[\d,./-]*%?"
 ENTITY = r"\b(?:[A-Z][A-Za-z0-9&/-]{2,}(?:\s+[A-Z][A-Za-z0-9&/-]{2,}){0,4}|[A-Z]{2,})\b"
+# How headings begin, or read as a whole.
+NUMBERED = r"^[0-9]+(\.[0-9]+)*\s+\S"
+CHAPTER = "^第[一-龥0-9]+[章节部分条款]"
+TITLE_CASE = r"^[A-Z][A-Za-z0-9/-]*( [A-Z][A-Za-z0-9/-]*){1,7}\z"
 SENTENCE_END = r"(?<=[.!?。！？])\s+|\n+"
 
 
@@ -148,15 +152,14 @@ def searchable(file_name: Column, heading: Column, content: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """Short lines that end in a colon, are numbered, in title case, or mostly capitals."""
-    words = F.size(F.split(line, r"\s+"))
-    letters = F.length(F.regexp_replace(line, "[^A-Za-z]", ""))
-    capitals = F.length(F.regexp_replace(line, "[^A-Z]", ""))
-    title = line.rlike(r"^([A-Z][A-Za-z0-9&/-]*)(\s+[A-Z][A-Za-z0-9&/-]*){1,7}\z")
-    numbered = line.rlike(r"^(\d+(\.\d+)*[.)]?|[IVXLC]+\.)\s+\S")
-    chapter = line.rlike("^第[一二三四五六七八九十百0-9]+[章节条]")
-    short = (line != "") & (F.length(line) <= 90) & (words <= 12)
-    return F.coalesce(short & (line.rlike("[:：]\\z") | numbered | chapter | title | ((letters > 3) & (capitals / letters > 0.7))), F.lit(False))
+    """Lines of 90 characters and twelve words at most that end in a colon, begin with a section number
+    or a chapter, are two to eight words in title case, or whose letters are mostly capitals."""
+    compact = strip(F.regexp_replace(line, r"\s+", " "))
+    letters = F.length(F.regexp_replace(compact, "[^A-Za-z]", ""))
+    capitals = F.length(F.regexp_replace(compact, "[^A-Z]", ""))
+    short = (compact != "") & (F.length(line) <= 90) & (F.size(F.split(compact, " ")) <= 12)
+    form = compact.rlike("[:：]\\z") | compact.rlike(NUMBERED) | compact.rlike(CHAPTER) | compact.rlike(TITLE_CASE)
+    return F.coalesce(short & (form | (capitals * 10 > letters * 7)), F.lit(False))
 
 
 def html_text(html: Column) -> Column:

@@ -1,11 +1,8 @@
-"""Cutting documents into chunks: fixed windows (Catalyst only) and structure-aware chunks."""
+"""Cutting documents into chunks: fixed windows and structure-aware chunks, as Catalyst expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import is_heading, normalize_whitespace, paragraphs, strip, unnest_numbered
@@ -46,70 +43,62 @@ def section_lines(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col
     return rows.withColumn("section", F.last(F.when(F.col("is_heading"), F.col("line")), ignorenulls=True).over(before))
 
 
-def split_long(paragraph: str, size: int) -> list[str]:
-    """Whole sentences packed up to size; a sentence beyond it is sliced."""
-    import re
-
-    out, held = [], ""
-    for sentence in re.split(r"(?<=[.!?。！？])\s+", paragraph):
-        if held and len(held) + 1 + len(sentence) > size:
-            out.append(held)
-            held = ""
-        while len(sentence) > size:
-            out.append(sentence[:size].strip())
-            sentence = sentence[size:].strip()
-        held = f"{held} {sentence}".strip()
-    return [x for x in [*out, held] if x]
-
-
-def pack_paragraphs(lines: list[str], headings: list[bool], size: int, overlap: int) -> list[tuple[str | None, str]]:
-    """(section heading, text) chunks: a heading closes the chunk before it and heads the next ones;
-    a full chunk hands its last paragraphs on until they reach the overlap."""
-    out: list[tuple[str | None, str]] = []
-    heading, held = None, []
-
-    def flush(carry: bool) -> list[str]:
-        if held:
-            out.append((heading, "\n\n".join([heading, *held] if heading else held)))
-        if not carry:
-            return []
-        kept, n = [], 0
-        for paragraph in reversed(held):
-            if n >= overlap or n + len(paragraph) > size // 2:
-                break
-            kept.insert(0, paragraph)
-            n += len(paragraph)
-        return kept
-
-    for line, is_head in zip(lines, headings):
-        if is_head:
-            flush(False)
-            heading, held = line, []
-            continue
-        for piece in [line] if len(line) <= size else split_long(line, size):
-            if held and sum(map(len, held)) + 2 * len(held) + len(piece) > size:
-                held = flush(True)
-            held.append(piece)
-    flush(False)
-    return out
+def split_long(paragraph: Column, size: int) -> Column:
+    """The paragraph, or beyond size its sentences packed up to size. A sentence that is too long is
+    sliced where nothing is held before it; after others it stays whole, as a piece of its own."""
+    normal = F.filter(F.transform(F.split(paragraph, r"(?<=[.!?。！？])\s+"), normalize_whitespace), lambda s: s != "")
+    none = F.array().cast("array<string>")
+
+    def slices(sentence: Column) -> Column:
+        cuts = F.transform(F.sequence(F.lit(0), F.length(sentence) - 1, F.lit(size)), lambda i: strip(F.substring(sentence, i + 1, F.lit(size))))
+        return F.filter(cuts, lambda c: c != "")
+
+    def add(held: Column, sentence: Column) -> Column:
+        alone = held["last"] == ""
+        longer = F.when(alone, sentence).otherwise(F.concat(held["last"], F.lit(" "), sentence))
+        state = lambda out, last: F.struct(out.alias("out"), last.alias("last"))
+        return F.when(F.length(longer) <= size, state(held["out"], longer)).when(alone, state(F.concat(held["out"], slices(sentence)), F.lit(""))).otherwise(state(F.concat(held["out"], F.array(held["last"])), sentence))
+
+    packed = F.aggregate(normal, F.struct(none.alias("out"), F.lit("").alias("last")), add, lambda h: F.when(h["last"] == "", h["out"]).otherwise(F.concat(h["out"], F.array(h["last"]))))
+    return F.when(F.length(paragraph) <= size, F.array(paragraph)).otherwise(packed)
+
+
+def pack_paragraphs(pieces: Column, size: int, overlap: int) -> Column:
+    """Structs of section_heading and chunk_text from pieces (structs of text and head, in order).
+
+    A heading closes the chunk before it and heads those after it. A chunk that the next piece would
+    make longer than size is closed, and hands on its last pieces, as many as reach the overlap (one
+    at least, all where they don't). A heading without text under it makes no chunk.
+    """
+    none = F.array().cast("array<string>")
+    lengths = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+
+    def closed(state: Column) -> Column:
+        headed = F.when(state["heading"].isNull(), state["held"]).otherwise(F.concat(F.array(state["heading"]), state["held"]))
+        chunk = F.struct(state["heading"].alias("section_heading"), F.array_join(headed, "\n\n").alias("chunk_text"))
+        return F.when(F.size(state["held"]) > 0, F.concat(state["out"], F.array(chunk))).otherwise(state["out"])
+
+    def add(state: Column, piece: Column) -> Column:
+        held = state["held"]
+        carried = F.filter(held, lambda x, i: (i + 1 == F.size(held)) | (lengths(F.slice(held, i + 2, F.size(held))) < overlap))
+        full = (F.size(held) > 0) & (lengths(held) + 2 * F.size(held) + F.length(piece["text"]) > size)
+        new = lambda out, heading, held: F.struct(out.alias("out"), heading.alias("heading"), held.alias("held"))
+        one = F.array(piece["text"])
+        return F.when(piece["head"], new(closed(state), piece["text"], none)).when(full, new(closed(state), state["heading"], F.concat(carried, one))).otherwise(new(state["out"], state["heading"], F.concat(held, one)))
+
+    start = F.struct(F.array().cast("array<struct<section_heading:string,chunk_text:string>>").alias("out"), F.lit(None).cast("string").alias("heading"), none.alias("held"))
+    return F.aggregate(pieces, start, add, closed)
 
 
 def structured_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """keys, chunk_index, section_heading, chunk_text: whole paragraphs under their heading.
 
-    Lines and headings are found by Catalyst; only the order-dependent packing is Python, on Arrow
-    batches of whole documents, so nothing is shuffled.
+    Headings are looked for after long paragraphs are split. One narrow map, without Python and
+    without a shuffle; null and blank texts give no chunk.
     """
-    lines = paragraphs(F.col(text_col))
-    rows = pages.where(F.col(text_col).isNotNull()).select(*keys, lines.alias("lines")).withColumn("headings", F.transform("lines", is_heading))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                packed = pack_paragraphs(list(row.lines), list(row.headings), size, overlap)
-                out += [(*row[: len(keys)], k, heading, text) for k, (heading, text) in enumerate(packed)]
-            yield pd.DataFrame(out, columns=[*keys, "chunk_index", "section_heading", "chunk_text"])
-
-    key_types = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.mapInPandas(run, f"{key_types}, chunk_index int, section_heading string, chunk_text string")
+    pieces = F.flatten(F.transform(paragraphs(F.col(text_col)), lambda p: split_long(p, size)))
+    rows = pages.where(F.col(text_col).isNotNull()).select(*keys, pieces.alias("pieces"))
+    marked = F.transform("pieces", lambda p: F.struct(p.alias("text"), is_heading(p).alias("head")))
+    rows = rows.select(*keys, marked.alias("pieces"))
+    chunks = unnest_numbered(rows, list(keys), pack_paragraphs(F.col("pieces"), size, overlap), "chunk_index", "c")
+    return chunks.select(*keys, "chunk_index", "c.section_heading", "c.chunk_text")

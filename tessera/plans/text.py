@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import sql
 from tessera.functions.scores import token_estimate
-from tessera.functions.text import TAG_STOP_WORDS, canonical_sentences, code_anchors, excerpt, normalize_search, normalize_whitespace, numeric_tokens
+from tessera.functions.text import CHAPTER, NUMBERED, TAG_STOP_WORDS, TITLE_CASE, canonical_sentences, code_anchors, excerpt, normalize_search, normalize_whitespace, numeric_tokens
 from tessera.operators import index, profile
 from tessera.operators.chunking import section_lines, structured_chunks
 from tessera.plans.tables import chunks, documents, table
@@ -19,7 +19,7 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structured_chunks(documents(spark, sf_dir)).select("doc_id", "chunk_index", "section_heading", F.length("chunk_text").alias("length"), F.md5("chunk_text").alias("chunk_md5"))
+    return structured_chunks(documents(spark, sf_dir)).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "section_heading", F.length("chunk_text").cast("long").alias("length"), F.md5("chunk_text").alias("chunk_md5"))
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,52 @@ def _unescaped(x: str) -> str:
 
 _WANTED = ["says", "token", "license", "version", "worthless", "trash"]
 
+def _heading(line: str) -> str:
+    compact = sql.strip(rf"regexp_replace({line}, '\s+', ' ', 'g')")
+    letters, capitals = (f"length(regexp_replace({compact}, '[^{x}]', '', 'g'))" for x in ("A-Za-z", "A-Z"))
+    forms = " OR ".join(sql.matches(compact, p) for p in (r"[:：]\z", NUMBERED, CHAPTER, TITLE_CASE))
+    return f"({compact} <> '' AND length({line}) <= 90 AND len(string_split({compact}, ' ')) <= 12 AND ({forms} OR {capitals} * 10 > {letters} * 7))"
+
+
+_PARAGRAPHS = rf"list_filter(list_transform(regexp_split_to_array({sql.normalize_whitespace('text')}, '\n+'), lambda p: {sql.normalize_whitespace('p')}), lambda p: p <> '')"
+#: Long paragraphs are split, then pieces packed, each by a recursion over places; a last heading closes the last chunk.
+_STRUCTURED = rf"""
+    WITH RECURSIVE lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, {_PARAGRAPHS} AS l FROM documents WHERE text IS NOT NULL)),
+    long AS (
+        SELECT doc_id, n, list_filter(list_transform(string_split(regexp_replace(line, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {sql.normalize_whitespace("x")}), lambda x: x <> '') AS s
+        FROM lines WHERE length(line) > 900
+    ),
+    split AS (
+        SELECT doc_id, n, s, 1 AS j, '' AS held, CAST([] AS VARCHAR[]) AS out FROM long
+        UNION ALL
+        SELECT doc_id, n, s, j + 1, CASE WHEN length(cand) <= 900 THEN cand WHEN held = '' THEN '' ELSE s[j] END,
+               CASE WHEN length(cand) <= 900 THEN out WHEN held = '' THEN out || list_filter(list_transform(range(0, length(s[j]), 900), lambda i: {sql.strip("s[j][i + 1 : i + 900]")}), lambda x: x <> '') ELSE out || [held] END
+        FROM (SELECT *, CASE WHEN held = '' THEN s[j] ELSE held || ' ' || s[j] END AS cand FROM split WHERE j <= len(s))
+    ),
+    parts AS (
+        SELECT doc_id, n, 1 AS k, line AS t FROM lines WHERE length(line) <= 900
+        UNION ALL SELECT doc_id, n, generate_subscripts(o, 1), unnest(o) FROM (SELECT doc_id, n, CASE WHEN held = '' THEN out ELSE out || [held] END AS o FROM split WHERE j > len(s))
+    ),
+    pieces AS MATERIALIZED (
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k) AS i, t, {_heading("t")} AS head FROM parts
+        UNION ALL SELECT doc_id, count(*) + 1, '', true FROM parts GROUP BY doc_id
+    ),
+    packed AS (
+        SELECT doc_id, 0 AS i, CAST(NULL AS VARCHAR) AS heading, CAST([] AS VARCHAR[]) AS held, CAST(NULL AS VARCHAR) AS done_heading, CAST(NULL AS VARCHAR) AS done FROM pieces GROUP BY doc_id
+        UNION ALL
+        SELECT doc_id, i + 1, CASE WHEN head THEN t ELSE heading END,
+               CASE WHEN head THEN [] WHEN close THEN list_filter(held, lambda x, m: coalesce(list_sum(list_transform(held[m + 1:], lambda y: length(y))), 0) < 180) || [t] ELSE held || [t] END,
+               CASE WHEN close THEN heading END, CASE WHEN close THEN CASE WHEN heading IS NULL THEN '' ELSE heading || chr(10) || chr(10) END || array_to_string(held, chr(10) || chr(10)) END
+        FROM (
+            SELECT packed.*, t, head, len(held) > 0 AND (head OR list_sum(list_transform(held, lambda y: length(y))) + 2 * len(held) + length(t) > 900) AS close
+            FROM packed JOIN pieces ON pieces.doc_id = packed.doc_id AND pieces.i = packed.i + 1
+        )
+    )
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, done_heading AS section_heading, length(done) AS length, md5(done) AS chunk_md5 FROM packed WHERE done IS NOT NULL
+"""
+
 ORACLES = {
+    "structured_chunks": _STRUCTURED,
     "fixed_window_chunks": f"SELECT doc_id, chunk_index, md5(chunk_text) AS chunk_md5 FROM ({sql.chunks()})",
     "term_df": f"SELECT term, count(*) AS df FROM (SELECT unnest({sql.term_set('chunk_text')}) AS term FROM ({sql.chunks()})) GROUP BY term",
     "corpus_stats": f"SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS terms, {sql.fixed('avg(k)')} AS mean_length FROM (SELECT len({sql.terms('chunk_text')}) AS k FROM ({sql.chunks()}))",
@@ -174,11 +219,7 @@ ORACLES = {
     "section_lines": rf"""
         SELECT doc_id, count(*) AS lines, count(*) FILTER (head) AS headings, count(*) FILTER (under) AS under_a_heading FROM (
             SELECT *, bool_or(head) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS under FROM (
-                SELECT doc_id, n, length(line) <= 90 AND len(regexp_split_to_array(line, '\s+')) <= 12 AND (
-                    regexp_matches(line, '[:：]\z') OR regexp_matches(line, '^(\d+(\.\d+)*[.)]?|[IVXLC]+\.)\s+\S') OR regexp_matches(line, '^第[一二三四五六七八九十百0-9]+[章节条]')
-                    OR regexp_matches(line, '^([A-Z][A-Za-z0-9&/-]*)(\s+[A-Z][A-Za-z0-9&/-]*){{1,7}}\z')
-                    OR (length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 3 AND length(regexp_replace(line, '[^A-Z]', '', 'g')) / length(regexp_replace(line, '[^A-Za-z]', '', 'g')) > 0.7)
-                ) AS head
+                SELECT doc_id, n, {_heading('line')} AS head
                 FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM (
                     SELECT doc_id, list_filter(list_transform(regexp_split_to_array({sql.normalize_whitespace("text")}, '\n+'), lambda p: {sql.normalize_whitespace("p")}), lambda p: p <> '') AS lines FROM documents WHERE text IS NOT NULL
                 ))

@@ -68,7 +68,7 @@ def test_anchors(one):
 @pytest.mark.parametrize(
     ("line", "want"),
     [
-        ("Scope:", True), ("1.2 Terms", True), ("IV. Payment", True), ("Remote Work Policy", True), ("TRAVEL AND MEALS", True), ("第三章 总则", True),
+        ("Scope:", True), ("1.2 Terms", True), ("1. Terms", False), ("IV. Payment", False), ("A", True), ("AB-1 OK", True), ("Terms & Rules", False), ("第二部 总则", True), ("第三款", True), ("第十一队", False), ("Remote Work Policy", True), ("TRAVEL AND MEALS", True), ("第三章 总则", True),
         ("This is an ordinary sentence of prose that ends in a full stop.", False), ("x" * 95 + ":", False), ("", False), ("word", False),
     ],
 )

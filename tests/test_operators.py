@@ -3,6 +3,8 @@
 import hashlib
 import json
 import math
+import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -39,19 +41,60 @@ def test_fixed_windows(spark, size, overlap):
     assert rows(chunking.fixed_windows(docs, size, overlap), "doc_id", "chunk_index", "chunk_text") == sorted(want, key=str)
 
 
-def test_structured_chunks(spark):
-    text = "Scope:\n" + "First paragraph here.\n" + "Second paragraph here.\n" + "2. Terms\n" + "x" * 70
-    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
-    out = chunking.structured_chunks(docs, size=40, overlap=10).collect()
-    assert {r["doc_id"] for r in out} == {1}
-    assert [r["section_heading"] for r in out] == ["Scope:"] * 2 + ["2. Terms"] * 2
-    assert all(r["chunk_text"].startswith(r["section_heading"]) for r in out) and [r["chunk_index"] for r in out] == [0, 1, 2, 3]
-    assert chunking.split_long("One two. Three four. " + "y" * 30, 20) == ["One two. Three four.", "y" * 20, "y" * 10]
-
-
-def test_overlap_is_carried():
-    packed = chunking.pack_paragraphs(["a" * 10, "b" * 10, "c" * 10], [False] * 3, 26, 5)
-    assert packed == [(None, "a" * 10 + "\n\n" + "b" * 10), (None, "b" * 10 + "\n\n" + "c" * 10)]
+def plain_pieces(paragraph, size):
+    """Sentences of a long paragraph packed one by one."""
+    if len(paragraph) <= size:
+        return [paragraph]
+    out, held = [], ""
+    for sentence in [s for s in re.split(r"(?<=[.!?])\s+", paragraph) if s]:
+        longer = f"{held} {sentence}" if held else sentence
+        if len(longer) <= size:
+            held = longer
+        elif held:
+            out.append(held)
+            held = sentence
+        else:
+            out += [x for x in (sentence[i : i + size].strip() for i in range(0, len(sentence), size)) if x]
+    return [*out, held] if held else out
+
+
+def plain_chunks(text, size, overlap):
+    """(heading, text) chunks; headings of the made-up texts end in a colon."""
+    out, heading, held = [], None, []
+    pieces = [p for line in text.split("\n") if line.strip() for p in plain_pieces(line.strip(), size)]
+    for piece in [*pieces, ":"]:
+        head = piece.endswith(":") and len(piece) <= 90
+        if held and (head or sum(map(len, held)) + 2 * len(held) + len(piece) > size):
+            out.append((heading, "\n\n".join(([heading] if heading else []) + held)))
+            carried = 1
+            while carried < len(held) and sum(map(len, held[-carried:])) < overlap:
+                carried += 1
+            held = [] if head else held[-carried:]
+        if head:
+            heading, held = piece, []
+        else:
+            held = [*held, piece]
+    return out
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(30, 8), (60, 25), (45, 200), (20, 0)])
+def test_structured_chunks(spark, size, overlap):
+    rng = random.Random(size)
+    sentence = lambda: " ".join("".join(rng.choices("abcdé", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 6))) + rng.choice([".", "!", "", "?"])
+    lines = lambda: [sentence() + ":" if rng.random() < 0.15 else " ".join(sentence() for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 25))]
+    texts = ["\n".join(lines()) for _ in range(60)] + ["x" * 150, "ab. " + "y" * 100 + ". cd.", "Only:", "A heading:\nAnother:\ntext under it", ""]
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string")
+    found = {}
+    for r in chunking.structured_chunks(docs, size, overlap).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(r["doc_id"], []).append((r["section_heading"], r["chunk_text"]))
+        assert r["chunk_index"] == len(found[r["doc_id"]]) - 1
+    assert found == {k: want for k, t in enumerate(texts) if (want := plain_chunks(t, size, overlap))}
+
+
+def test_overlap_is_carried(spark):
+    docs = spark.createDataFrame([(1, "\n".join(["a" * 10, "b" * 10, "c" * 10]))], "doc_id int, text string")
+    out = chunking.structured_chunks(docs, 26, 5).orderBy("chunk_index").collect()
+    assert [r["chunk_text"] for r in out] == ["a" * 10 + "\n\n" + "b" * 10, "b" * 10 + "\n\n" + "c" * 10]
 
 
 def test_pages_are_numbered_through(spark):
