@@ -60,17 +60,24 @@ def latest_baseline(runs: DataFrame, wanted: DataFrame) -> DataFrame:
     else of the same corpus, else of the same profile, else none; only passed runs count.
 
     runs: run_id, created, profile, corpus, passed. wanted: run_id, created, profile, corpus.
-    Three windows over runs and wanted runs together, by corpus and profile, by corpus and by profile, so
-    wanted runs never meet all runs; a corpus or profile that most runs share is sorted in one task.
+    Runs are folded to the largest run_id of each profile, corpus and time, wanted runs to their
+    distinct ones, before three windows order them by corpus and profile, by corpus and by profile; so
+    a corpus or profile that most runs share holds no more rows than it has profiles (or corpora) and
+    times. Each wanted run then takes the answer of its profile, corpus and time.
     """
-    good = runs.where("passed").select(F.col("run_id").alias("baseline_id"), F.col("created").alias("b_created"), F.col("profile").alias("b_profile"), F.col("corpus").alias("b_corpus"))
-    marks = wanted.select("run_id", "created", "profile", "corpus", F.lit(None).cast("long").alias("baseline_id"))
-    events = marks.unionByName(good.select(F.lit(None).cast("long").alias("run_id"), F.col("b_created").alias("created"), F.col("b_profile").alias("profile"), F.col("b_corpus").alias("corpus"), "baseline_id"))
-    order = lambda *keys: Window.partitionBy(*keys).orderBy("created", F.col("baseline_id").isNotNull(), "baseline_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda *keys: F.last("baseline_id", ignorenulls=True).over(order(*keys))
-    rows = events.withColumns({"same": last("profile", "corpus"), "by_corpus": last("corpus"), "by_profile": last("profile")}).where("run_id IS NOT NULL")
+    keys = ["created", "profile", "corpus"]
+    good = runs.where("passed").groupBy(*keys).agg(F.max("run_id").alias("baseline_id"))
+    marks = wanted.select(*keys).distinct().withColumn("baseline_id", F.lit(None).cast(good.schema["baseline_id"].dataType))
+    events = marks.withColumn("asked", F.lit(True)).unionByName(good.withColumn("asked", F.lit(False)))
+    order = lambda *by: Window.partitionBy(*by).orderBy("created", ~F.col("asked"), "baseline_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda *by: F.last("baseline_id", ignorenulls=True).over(order(*by))
+    found = events.withColumns({"same": last("profile", "corpus"), "by_corpus": last("corpus"), "by_profile": last("profile")}).where("asked")
+    found = found.select(*[F.col(k).alias(f"a_{k}") for k in keys], "same", "by_corpus", "by_profile")
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"a_{k}"))
     strategy = F.when(F.col("same").isNotNull(), "profile_and_corpus").when(F.col("by_corpus").isNotNull(), "corpus").when(F.col("by_profile").isNotNull(), "profile").otherwise("none")
-    return rows.select("run_id", F.coalesce("same", "by_corpus", "by_profile").alias("baseline_id"), strategy.alias("strategy"))
+    return wanted.join(found, met).select("run_id", F.coalesce("same", "by_corpus", "by_profile").alias("baseline_id"), strategy.alias("strategy"))
 
 
 def threshold_gate(metrics: DataFrame, limits: list[tuple[str, str, float, str]]) -> DataFrame:

@@ -271,3 +271,26 @@ def test_many_equal_facts_and_words_that_are_no_units(spark):
     rows = [(1, "3 days " * 1500, "3 days " * 1500), (2, "$5 to staff", "$5 in cash")]
     got = facts.fact_support(spark.createDataFrame(rows, "id long, claim string, source string"), ("id",), strict=True)
     assert {r["id"]: (r["facts"], r["matched"], r["supported"]) for r in got.collect()} == {1: (1500, 1500, True), 2: (1, 1, True)}
+
+
+def test_baselines_against_brute_force(spark):
+    import random
+
+    from tessera.operators import gates
+
+    rng = random.Random(5)
+    draw = lambda: (rng.randint(1, 6), rng.choice(["p", "q", None]), rng.choice(["c", "d", None]))
+    runs = [(k, *draw(), rng.random() < 0.6) for k in range(80)]
+    wanted = [(100 + k, *draw()) for k in range(60)]
+    schema = "run_id long, created int, profile string, corpus string"
+    found = gates.latest_baseline(spark.createDataFrame(runs, schema + ", passed boolean"), spark.createDataFrame(wanted, schema)).collect()
+
+    def expected(created, profile, corpus):
+        for name, fits in (("profile_and_corpus", lambda r: (r[2], r[3]) == (profile, corpus)), ("corpus", lambda r: r[3] == corpus), ("profile", lambda r: r[2] == profile)):
+            earlier = [(r[1], r[0]) for r in runs if r[4] and r[1] < created and fits(r)]
+            if earlier:
+                return max(earlier)[1], name
+        return None, "none"
+
+    assert {r["run_id"]: (r["baseline_id"], r["strategy"]) for r in found} == {w[0]: expected(*w[1:]) for w in wanted}
+    assert gates.latest_baseline(spark.createDataFrame([], schema + ", passed boolean"), spark.createDataFrame(wanted[:3], schema)).where("strategy <> 'none'").count() == 0
