@@ -97,6 +97,23 @@ def audit_page(rows: DataFrame, page: int, size: int | str | None, order: list[C
     return rows.orderBy(*order).limit((page + 1) * size).offset(page * size).join(F.broadcast(total))
 
 
+def audit_after(rows: DataFrame, last: DataFrame | None, size: int | None, time_col: str = "ts", id_col: str = "id", **filters) -> DataFrame:
+    """The page, newest first, that follows a row seen last: however deep, each task keeps size rows.
+
+    last: one row of time_col and id_col (no row, or None: the first page). Rows of the same time are told apart by
+    id; rows without time or id are never on a page. size as in page_size(), without "all".
+    """
+    for name, value in filters.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == value)
+    place = F.struct(time_col, id_col)
+    rows = rows.where(F.col(time_col).isNotNull() & F.col(id_col).isNotNull())
+    if last is not None:
+        seen = last.agg(F.max(place).alias("seen"))
+        rows = rows.join(F.broadcast(seen)).where(F.col("seen").isNull() | (place < F.col("seen"))).drop("seen")
+    return rows.orderBy(F.desc(time_col), F.desc(id_col)).limit(page_size(size))
+
+
 def latest_snapshot(rows: DataFrame, keys: tuple[str, ...], newest: list[str]) -> DataFrame:
     """The newest row of each key: latest wins, ties by the later columns of newest."""
     others = [c for c in rows.columns if c not in keys]

@@ -180,6 +180,13 @@ def audit_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.audit_page(rows, 2, 25, [F.desc("ts"), F.desc("event_id")], event_type="error", user_id=None).select("event_id", "user_id", "total")
 
 
+def audit_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 40 error events that follow, newest first, the newest event of the tenth of January or before."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    last = rows.where(F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz"))
+    return state.audit_after(rows, last, 40, id_col="event_id", event_type="error").select("event_id", "user_id")
+
+
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
     return state.latest_snapshot(rows, ("user_id", "event_type"), ["ts", "event_id"]).select("user_id", "event_type", "event_id", "value")
@@ -249,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         llmops_rollup, rag_rollup, slo_status, budget_status, latency_percentiles, status_counts, planner_rollup, skill_rollup, conditional_rates, feedback_failures, token_costs,
-        regression_gate, gate_verdict, latest_baseline, session_recent, retention_prune, claimable_tasks, illegal_transitions, scoped_documents, audit_page, latest_snapshot, insert_new,
+        regression_gate, gate_verdict, latest_baseline, session_recent, retention_prune, claimable_tasks, illegal_transitions, scoped_documents, audit_page, audit_after, latest_snapshot, insert_new,
         merge_uploads, rank_memories, resolve_routes, stream_rollup, session_windows, task_states, audit_retained, expired_uploads, recovery_counters, threshold_gate, memory_candidates,
     )
 }
@@ -358,6 +365,9 @@ ORACLES = {
     "scoped_documents": """
         SELECT doc_id, CASE WHEN source <> 'src0' THEN source END AS owner, lang AS workspace FROM documents WHERE source IN ('src0', 'src1') OR lang = 'fr'
     """,
+    "audit_after": """
+        SELECT event_id, user_id FROM events WHERE event_type = 'error' AND (ts, event_id) < (SELECT max((ts, event_id)) FROM events WHERE ts < TIMESTAMP '2024-01-11') ORDER BY ts DESC, event_id DESC LIMIT 40
+    """,
     "audit_page": """
         SELECT event_id, user_id, (SELECT count(*) FROM events WHERE event_type = 'error') AS total FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 25 OFFSET 50
     """,

@@ -461,3 +461,14 @@ def test_term_counts_are_compacted(spark, tmp_path):
 
 def test_excerpt(spark):
     assert spark.range(1).select(excerpt(F.lit(" a \n b "), 3)).first()[0] == "a b"
+
+
+def test_pages_after_a_row_join_to_the_whole(spark):
+    log = [(k, 1, "x" if k % 3 else "y") for k in range(7)] + [(k, 2, "x") for k in range(7, 12)] + [(99, None, "x"), (None, 1, "x")]
+    frame = spark.createDataFrame(log, "id int, ts int, kind string")
+    last, seen = None, []
+    while page := [(r["ts"], r["id"]) for r in state.audit_after(frame, last, 4, kind="x").collect()]:
+        seen += page
+        last = spark.createDataFrame([page[-1]], "ts int, id int")
+    assert seen == sorted(((t, k) for k, t, kind in log if kind == "x" and t and k is not None), reverse=True)
+    assert state.audit_after(frame, last.where("false"), 4, kind=None).count() == 4
