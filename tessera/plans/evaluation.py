@@ -10,7 +10,8 @@ from tessera.functions.scores import fixed
 from tessera.functions.text import STOP_WORDS, normalize_search
 from tessera.operators import evaluation, index, profile, questions as asking, retrieval as rank, state
 from tessera.plans import answers, retrieval
-from tessera.plans.tables import documents, holders, questions, table
+from tessera.plans.tables import chunks, documents, holders, questions, table
+from tessera.sources.scratch import kept
 
 
 def answer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,16 @@ def evidence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.evidence_gaps(answers.answer_verdicts(spark, sf_dir))
 
 
+def reference_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as pages: a passage of even id expects all pages of the documents that hold it, others the first two."""
+    held = kept(holders(spark, sf_dir))
+    named = held.where("query_id % 2 = 1").select("query_id", "doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("page_number"))
+    expected = held.where("query_id % 2 = 0").withColumn("page_number", F.lit(None).cast("int")).unionByName(named)
+    pages = chunks(spark, sf_dir).select(F.col("doc_id").alias("doc_key"), F.col("chunk_index").alias("page_number"), F.col("chunk_text").alias("text"))
+    found = evaluation.reference_contexts(expected.select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("doc_key"), "page_number"), pages)
+    return found.select("case_id", "doc_key", F.col("page_number").cast("long").alias("page_number"), F.md5("text").alias("text_md5"))
+
+
 def user_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     return turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "conv_id", F.col("text").alias("query"), (F.col("turn") + 1).alias("documents"))
@@ -135,7 +146,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         answer_matches, coverage_hits, planner_divergence, snapshot_conflicts, duplicate_matches, citations_by_document, attached_evidence, budgeted_steps, recoverable_steps,
-        experience_ranking, remembered_claims, evidence_gaps, question_plans, question_parts, external_queries, lexical_rerank, evidence_requirements, topic_phrases, index_upsert,
+        experience_ranking, remembered_claims, evidence_gaps, reference_contexts, question_plans, question_parts, external_queries, lexical_rerank, evidence_requirements, topic_phrases, index_upsert,
     )
 }
 
@@ -171,6 +182,10 @@ ORACLES = {
         WITH h AS ({_hash}), m AS (SELECT doc_id, {", ".join(f"nullif(min(doc_id) OVER (PARTITION BY k{i}), doc_id) AS m{i}" for i in (1, 2, 3))} FROM h)
         SELECT doc_id, coalesce(m1, m2, m3) AS match_id, CASE WHEN m1 IS NOT NULL THEN 'text_hash' WHEN m2 IS NOT NULL THEN 'search_hash' WHEN m3 IS NOT NULL THEN 'title_hash' END AS matched_by FROM m
     """,
+    "reference_contexts": f"""
+        WITH {retrieval._HOLDERS}, p AS ({sql.chunks()})
+        SELECT query_id AS case_id, doc_id AS doc_key, chunk_index AS page_number, md5(chunk_text) AS text_md5 FROM held JOIN p USING (doc_id) WHERE query_id % 2 = 0 OR chunk_index < 2
+    """,
     "citations_by_document": f"""
         {_R} SELECT query_id, doc_id, count(*) AS citations, array_to_string(list_transform(list_sort(list_distinct(list(chunk_index))), lambda x: CAST(x AS VARCHAR)), ',') AS places
         FROM sparse GROUP BY query_id, doc_id
