@@ -9,6 +9,7 @@ from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,34 @@ def test_pages_are_numbered_through(spark):
 # index
 
 
+def test_best_chunks_are_scored_in_blocks(spark, monkeypatch):
+    """bm25_top_k gives the best of bm25_scores, ties and repeats included, without shuffling those scores."""
+    words = ["red", "apple", "wine", "list", "pie", "the", "青", "x1"]
+    texts = [" ".join(words[(i * j + j // 3) % len(words)] for j in range(i % 9)) for i in range(120)] * 2
+    chunks = spark.createDataFrame([(i // 2, i % 2, t) for i, t in enumerate(texts)], "doc_id int, chunk_index int, chunk_text string").repartition(3)
+    asked = spark.createDataFrame([(7, "red apple pie"), (3, "wine wine 青"), (5, "nothing"), (9, "the"), (None, "red"), (11, None)], "query_id long, query string")
+    found = index.bm25_top_k(chunks, asked, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(found, *found.columns) == rows(index.top_k(index.bm25_scores(chunks, asked), 4, ties=(F.desc("keyword"), "doc_id", "chunk_index")), *found.columns)
+    assert index.bm25_top_k(chunks, asked.where("query_id = 9"), 4).count() == 0 and index.bm25_top_k(chunks.limit(0), asked, 4).count() == 0
+    # a batch in several blocks scores as in one
+    batch = index.wanted_counts(pa.record_batch({"id": range(len(texts)), "terms": [t.split() for t in texts]}), pa.array(["red", "wine"]))
+    whole = [(b["id"].to_pylist(), s.tolist(), n.tolist()) for b, s, n in index.scored_blocks(batch, np.array([0.5, 2.0]), 4.0, np.array([0, 1, 1]), np.array([0, 2, 3]), 2)]
+    assert len(whole) == 1 and batch["length"].to_pylist() == [len(t.split()) for t in texts]
+    for name, bound in (("BLOCK_MATCHES", 5), ("BLOCK_CELLS", 14)):
+        monkeypatch.setattr(index, name, bound)
+        parts = list(index.scored_blocks(batch, np.array([0.5, 2.0]), 4.0, np.array([0, 1, 1]), np.array([0, 2, 3]), 2))
+        assert len(parts) > 10 and np.concatenate([s for _, s, _ in parts], axis=1).tolist() == whole[0][1] and np.concatenate([n for _, _, n in parts], axis=1).tolist() == whole[0][2]
+
+
+def test_windows_count_code_points(spark):
+    texts = ["\U0001f34e" * 30 + "ab" * 20, " \x0b\r\n x \x00y\f ", "\r\x00", "", "é" * 11, "a" * 12]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    body = [t.replace("\x00", "").replace("\r", "").strip(" \t\n\x0b\f") for t in texts]
+    want = [(d, i // 7, b[i : i + 10].strip(" \t\n\x0b\f")) for d, b in enumerate(body) for i in range(0, len(b), 7) if i == 0 or i + 3 < len(b)]
+    assert rows(chunking.fixed_windows(docs, 10, 3), "doc_id", "chunk_index", "chunk_text") == sorted(want, key=str)
+
+
 def test_bm25_against_plain_python(spark):
     texts = ["red apple apple pie", "green apple", "red red wine", "the of", "wine list"]
     chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id int, chunk_index int, chunk_text string")
