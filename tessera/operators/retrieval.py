@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import clamp01, fixed, keyword_score
 from tessera.functions.text import anchors, matches_anchor, normalize_search, term_set, unnest
-from tessera.operators.index import few_rows, query_terms, top_k
+from tessera.operators.index import FEW_ROWS, askers_of, few_rows, keep_best, matched_blocks, query_terms, terms_of, top_k, wanted_counts
 
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.65, 0.35
 MIN_SCORE, MIN_COVERAGE, FALLBACK = 0.32, 0.51, 0.8
@@ -53,6 +56,11 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.sign(x) * np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits
 
 
+def half_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """rounded() of numbers of 0 or more."""
+    return np.floor(x * 10.0**digits + 0.5) / 10.0**digits
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest other vectors of each query (and each `by`).
 
@@ -79,23 +87,83 @@ def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int, by: str | None
     return top_k(found, k, by=("query_id", *extra), ties=("vec_id",))
 
 
-def hash_embed(term_lists: list[list[str]], size: int = 64) -> np.ndarray:
-    """Rows of functions.scores.hash_embedding."""
-    out, known = np.zeros((len(term_lists), size)), {}
-    for row, terms in enumerate(term_lists):
-        for term in set(terms):
-            if term not in known:
-                h = 0
-                for c in term:
-                    h = (h * 31 + ord(c)) % size
-                known[term] = h
-            out[row, known[term]] += 1
-    return out
+def hash_embed(term_lists: list[list[str]] | pa.ListArray, size: int = 64) -> np.ndarray:
+    """Rows of functions.scores.hash_embedding, for all terms at once. Lists of an Arrow array have distinct terms."""
+    lists = term_lists if isinstance(term_lists, pa.ListArray) else pa.array([list(dict.fromkeys(ts)) for ts in term_lists], pa.list_(pa.string()))
+    flat = lists.flatten()
+    points = np.frombuffer("".join(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat), "").to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+    lengths = np.asarray(pc.utf8_length(flat)).astype(np.int64)
+    ends = np.cumsum(lengths)
+    powers = np.array([pow(31, n, size) for n in range(int(lengths.max(initial=0)) + 1)])
+    sums = np.concatenate([[0], np.cumsum(points * powers[np.repeat(ends, lengths) - np.arange(len(points)) - 1] % size)])
+    buckets = (sums[ends] - sums[ends - lengths]) % size
+    row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    return np.bincount(row * size + buckets, minlength=len(lists) * size).reshape(len(lists), size).astype(float)
 
 
 def dense_top_k(entries: DataFrame, queries: DataFrame, k: int, embed=hash_embed, keys: tuple[str, ...] = ("doc_id", "chunk_index"), text_col: str = "chunk_text") -> DataFrame:
     """query_id, keys, vector, keyword, score, rank: embeddings of the texts' terms by `embed`, mixed
-    with keyword scores. Integer keys."""
+    with keyword scores. Integer keys.
+
+    Blocks of entries are scored where they are read, each by one matrix product, and a task hands on its best k
+    of each query: entries are never shuffled. Queries with more than FEW_ROWS terms in all are dealt into
+    blocks with the entries. entries may be with_terms().
+    """
+    held = entries.select(*[F.col(c).cast("long").alias(c) for c in keys], F.array_distinct(terms_of(entries, text_col)).alias("terms"))
+    asked = queries.select("query_id", term_set(F.col("query")).alias("terms"))
+    ties = (F.desc("vector"), F.desc("keyword"), *keys)
+    kinds = "query_id long, " + ", ".join(f"{c} long" for c in keys) + ", vector double, keyword double, score double"
+    pairs = query_terms(queries).where("query_id IS NOT NULL").limit(FEW_ROWS + 1).toArrow().combine_chunks()
+    if len(pairs) > FEW_ROWS:
+        return top_k(dense_blocks(held, asked, k, embed, keys, kinds), k, ties=ties)
+    ids, wanted = pairs["query_id"].unique(), pairs["term"].unique()
+    askers, first, sizes = askers_of(pairs, ids, wanted)
+    order = [(c, "descending") for c in ("score", "vector", "keyword")] + [(c, "ascending") for c in keys]
+    query = np.asarray(pc.index_in(pairs["query_id"], value_set=ids))
+    by_query = np.argsort(query, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs["term"].take(pa.array(by_query)).combine_chunks())
+    vectors_of = lambda lists: units(embed(lists if embed is hash_embed else lists.to_pylist()))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
+        best_yet, bars, asks = None, np.full(len(ids), -np.inf), vectors_of(lists)
+        for batch in batches:
+            if not len(batch):
+                continue
+            has, places = vectors_of(batch.column("terms")), wanted_counts(batch, wanted).column("places")
+            for begin, width, _, _, cell in matched_blocks(places, askers, first, len(ids)):
+                found = np.bincount(cell, minlength=len(ids) * width).reshape(len(ids), width)
+                q, e, vector, keyword = near_best(asks @ has[begin : begin + width].T, found / sizes[:, None], bars, k)
+                score = half_up(np.maximum(np.maximum(vector, keyword), 0.82 * vector + 0.18 * keyword), 6)
+                sure = np.flatnonzero((vector > 0) & (score >= bars[q]))
+                if len(sure):
+                    own, at = batch.slice(begin, width), pa.array(e[sure])
+                    rows = {"q": pa.array(q[sure]), **{c: own.column(c).take(at) for c in keys}, "vector": vector[sure], "keyword": keyword[sure], "score": score[sure]}
+                    best_yet = keep_best(best_yet, pa.table(rows), k, order, bars)
+        if best_yet is not None:
+            named = best_yet.set_column(0, "query_id", ids.take(best_yet["q"].combine_chunks()).cast(pa.int64()))
+            yield from named.to_batches(max_chunksize=10_000)
+
+    return top_k(held.mapInArrow(best, kinds), k, ties=ties)
+
+
+def near_best(vector: np.ndarray, keyword: np.ndarray, bars: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions (query, entry) that may be among the k best of a block and reach the query's bar, with vector
+    (four decimals) and keyword (six): the score is the greater of both, and rounding moves it by half of 1e-4 at most,
+    so that what lies 1e-4 below the k-th can't be among them."""
+    rough, floor = np.maximum(vector, keyword), bars - 2e-4
+    none = np.flatnonzero(bars == -np.inf)
+    if len(none) and rough.shape[1] > k:
+        at = rough.shape[1] - k
+        floor[none] = np.partition(np.where(vector[none] > 4e-5, rough[none], -np.inf), at, axis=1)[:, at] - 2e-4
+    q, e = np.nonzero((rough >= floor[:, None]) & (vector > 4e-5))
+    return q, e, half_up(vector[q, e], 4), half_up(keyword[q, e], 6)
+
+
+def dense_blocks(held: DataFrame, asked: DataFrame, k: int, embed, keys: tuple[str, ...], kinds: str) -> DataFrame:
+    """The rows of dense_top_k() with the best k of each block of entries (keys, terms) and queries (query_id, terms)."""
 
     def compare(block: pa.Table) -> pa.Table:
         is_query = np.asarray(block["is_query"])
@@ -119,10 +187,7 @@ def dense_top_k(entries: DataFrame, queries: DataFrame, k: int, embed=hash_embed
         ids = {c: np.asarray(held[c]).astype(np.int64)[e] for c in keys}
         return pa.table({"query_id": np.asarray(asked["query_id"])[q], **ids, "vector": vector[q, e], "keyword": keyword[q, e], "score": score[q, e]})
 
-    held = entries.select(*[F.col(c).cast("long").alias(c) for c in keys], term_set(F.col(text_col)).alias("terms"))
-    met = in_blocks(held, queries.select("query_id", term_set(F.col("query")).alias("terms")), entry_rows=4096, query_rows=256)
-    found = met.groupBy("i", "j").applyInArrow(compare, "query_id long, " + ", ".join(f"{c} long" for c in keys) + ", vector double, keyword double, score double")
-    return top_k(found, k, ties=(F.desc("vector"), F.desc("keyword"), *keys))
+    return in_blocks(held, asked, entry_rows=4096, query_rows=256).groupBy("i", "j").applyInArrow(compare, kinds)
 
 
 def keyword_scores(entries: DataFrame, queries: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:

@@ -126,6 +126,33 @@ def test_best_chunks_are_scored_in_blocks(spark, monkeypatch):
         assert len(parts) > 10 and np.concatenate([s for _, s, _ in parts], axis=1).tolist() == whole[0][1] and np.concatenate([n for _, _, n in parts], axis=1).tolist() == whole[0][2]
 
 
+def test_dense_entries_are_scored_where_they_are_read(spark, monkeypatch):
+    """dense_top_k gives the best of dense_blocks, ties included, without shuffling entries, and reads terms made before."""
+    words = ["red", "apple", "wine", "list", "pie", "the", "青", "x1"]
+    texts = [" ".join(words[(i * j + j // 3) % len(words)] for j in range(i % 9)) for i in range(120)] * 2
+    chunks = spark.createDataFrame([(i // 2, i % 2, t) for i, t in enumerate(texts)], "doc_id int, chunk_index int, chunk_text string").repartition(3)
+    asked = spark.createDataFrame([(7, "red apple pie"), (3, "wine wine 青"), (5, "nothing"), (9, "the"), (11, None)], "query_id long, query string")
+    found = retrieval.dense_top_k(chunks, asked, 4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    got = rows(found, *found.columns)
+    assert got == rows(retrieval.dense_top_k(index.written_terms(chunks), asked, 4), *found.columns)
+    assert retrieval.dense_top_k(chunks, asked.where("query_id = 9"), 4).count() == 0 and retrieval.dense_top_k(chunks.limit(0), asked, 4).count() == 0
+    assert got == rows(retrieval.dense_top_k(chunks, asked, 4, embed=lambda lists: retrieval.hash_embed(lists)), *found.columns)
+    monkeypatch.setattr(index, "BLOCK_CELLS", 14)
+    assert got == rows(retrieval.dense_top_k(chunks, asked, 4), *found.columns)
+    monkeypatch.setattr(retrieval, "FEW_ROWS", 1)
+    assert got == rows(retrieval.dense_top_k(chunks, asked, 4), *found.columns) and len(got) >= 8
+
+
+def test_both_sides_read_terms_once(spark, small, monkeypatch):
+    from tessera.plans import retrieval as plans
+
+    cut = []
+    monkeypatch.setattr(plans, "chunks", lambda *at, real=plans.chunks: cut.append(at) or real(*at))
+    plans.hybrid_topk(spark, small)
+    assert len(cut) == 1
+
+
 def test_windows_count_code_points(spark):
     texts = ["\U0001f34e" * 30 + "ab" * 20, " \x0b\r\n x \x00y\f ", "\r\x00", "", "é" * 11, "a" * 12]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
