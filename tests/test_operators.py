@@ -153,6 +153,20 @@ def test_both_sides_read_terms_once(spark, small, monkeypatch):
     assert len(cut) == 1
 
 
+def test_runs_are_found_where_documents_are_read(spark):
+    """Every document that holds a passage is found, without a row for each of its runs."""
+    asked = [(1, "the quick brown fox jumps over it"), (2, "a b c d e f g h"), (3, "un deux\u00a0trois quatre\x1ccinq six sept huit neuf dix"), (4, "a b c d e f g h")]
+    texts = [f"x{p}y" for _, p in asked] + ["the quick brown\tfox jumps over it", "quick brown fox jumps over", "b c d e", "", None, "b c d e f " * 3, " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    passages = spark.createDataFrame(asked, "query_id int, query string").select("query_id", F.split("query", r"\s+").alias("words"))
+    near = index.run_holders(docs, passages, True)
+    assert "Generate" not in near._jdf.queryExecution().executedPlan().toString()
+    got = set(rows(near, "doc_id", "query_id"))
+    assert got >= {(d, q) for d, t in enumerate(texts) for q, p in asked if t and p in t} and {(4, 1), (5, 1), (9, 2), (9, 4)} <= got and {d for d, _ in got} <= {0, 1, 2, 3, 4, 5, 9}
+    assert got == set(rows(index.run_holders(docs, passages, False), "doc_id", "query_id"))
+    assert index.run_holders(docs, passages.limit(0), True).count() == 0
+
+
 def test_windows_count_code_points(spark):
     texts = ["\U0001f34e" * 30 + "ab" * 20, " \x0b\r\n x \x00y\f ", "\r\x00", "", "é" * 11, "a" * 12]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
