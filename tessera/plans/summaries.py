@@ -13,21 +13,23 @@ from tessera.plans.evaluation import user_questions
 from tessera.plans.tables import documents, questions, table
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reranked results, usable from a score of 0.3 on."""
-    return retrieval.with_chunk_text(spark, sf_dir, retrieval.reranked(spark, sf_dir)).withColumn("usable", F.col("score") >= 0.3)
+def judged(spark: SparkSession, sf_dir: str, found: DataFrame | None = None) -> DataFrame:
+    """Reranked results, usable from a score of 0.3 on. found: sparse_candidates(), where the caller needs them too."""
+    return retrieval.with_chunk_text(spark, sf_dir, retrieval.reranked(spark, sf_dir, candidates=found)).withColumn("usable", F.col("score") >= 0.3)
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.sparse_candidates(spark, sf_dir).select("query_id", "doc_id").distinct()
+def judged_and_chosen(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """judged(), and the documents of the candidates, from one search."""
+    found = retrieval.sparse_candidates(spark, sf_dir)
+    return judged(spark, sf_dir, found), found.select("query_id", "doc_id").distinct()
 
 
 def evidence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.evidence_summary(judged(spark, sf_dir), candidates(spark, sf_dir))
+    return summaries.evidence_summary(*judged_and_chosen(spark, sf_dir))
 
 
 def result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summaries.result_counts(judged(spark, sf_dir), candidates(spark, sf_dir))
+    return summaries.result_counts(*judged_and_chosen(spark, sf_dir))
 
 
 def qa_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

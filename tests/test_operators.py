@@ -167,6 +167,20 @@ def test_runs_are_found_where_documents_are_read(spark):
     assert index.run_holders(docs, passages.limit(0), True).count() == 0
 
 
+@pytest.mark.parametrize("module, name", [("summaries", "evidence_summary"), ("summaries", "result_counts")])
+def test_texts_are_read_into_terms_once(spark, small, monkeypatch, module, name):
+    import importlib
+
+    from tessera.plans import retrieval as plans
+
+    cut, owner = [], importlib.import_module(f"tessera.plans.{module}")
+    for place in (plans, owner):
+        if hasattr(place, "chunks"):
+            monkeypatch.setattr(place, "chunks", lambda *at, real=place.chunks: cut.append(at) or real(*at))
+    getattr(owner, name)(spark, small)
+    assert len(cut) == 1
+
+
 def test_windows_count_code_points(spark):
     texts = ["\U0001f34e" * 30 + "ab" * 20, " \x0b\r\n x \x00y\f ", "\r\x00", "", "é" * 11, "a" * 12]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
