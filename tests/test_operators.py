@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.functions.text import excerpt
 from tessera.operators import chunking, comparison, gates, index, metrics, profile, retrieval, state, telemetry, verify
 from tessera.sources import files
@@ -126,6 +127,47 @@ def test_best_chunks_are_scored_in_blocks(spark, monkeypatch):
         assert len(parts) > 10 and np.concatenate([s for _, s, _ in parts], axis=1).tolist() == whole[0][1] and np.concatenate([n for _, _, n in parts], axis=1).tolist() == whole[0][2]
 
 
+@pytest.mark.parametrize("cjk", [True, False])
+def test_terms_are_read_by_batches(spark, cjk):
+    """term_lists() gives the terms of functions.text.terms(), also of slices, nulls and large strings."""
+    texts = ["Red wine, the-apple's PIE", None, "", " \n\t", "x 1 a2 ÄÖstraße café KELVIN\u212a İx ſt", "the policy", "a\x00b\u2028cd", "naïve\U0001f600emoji99", "z" * 3000] + ["青苹果 red哪些x1y", "䷿一鿿ꀀ"] * cjk
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    want = [r["w"] for r in docs.select("n", text.terms(F.col("t")).alias("w")).orderBy("n").collect()]
+    assert index.term_lists(pa.array(texts)).to_pylist() == want and index.term_lists(pa.array(texts, pa.large_string())).to_pylist() == want
+    assert index.term_lists(pa.array(texts)[3:]).to_pylist() == want[3:] and index.term_lists(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_texts_are_read_into_terms_outside_plans(spark):
+    """bm25_top_k hands texts on as they are: no list of terms is made by a plan."""
+    chunks = spark.createDataFrame([(1, 0, "red wine"), (2, 0, None), (3, 0, "red red pie")], "doc_id long, chunk_index int, chunk_text string")
+    asked = spark.createDataFrame([(7, "red apple pie"), (3, "wine")], "query_id long, query string")
+    read = index.read_once(chunks, asked)
+    assert read.rows.orderBy("doc_id").select("length", "counts").collect() == [(2, [1, 1]), (0, []), (3, [2, 1])]
+    # another search of some of the terms gives what it gives alone, without reading the chunks again
+    fewer = asked.where("query_id = 7").select("query_id", F.lit("pie").alias("query"))
+    found, alone = index.bm25_top_k(read, fewer, 2), index.bm25_top_k(chunks, fewer, 2)
+    assert rows(found, *found.columns) == rows(alone, *alone.columns) and found.count() == 1
+    assert index.bm25_top_k(read, asked.limit(0), 2).count() == 0
+    with pytest.raises(ValueError):
+        index.bm25_top_k(read, asked.select("query_id", F.lit("plum").alias("query")), 2)
+
+
+def test_more_query_terms_are_not_read_once(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, 0, "red wine"), (3, 0, "red red pie")], "doc_id long, chunk_index int, chunk_text string")
+    asked = spark.createDataFrame([(7, "red apple pie")], "query_id long, query string")
+    found = rows(index.bm25_top_k(chunks, asked, 2), "query_id", "doc_id", "score", "rank")
+    monkeypatch.setattr(index, "FEW_ROWS", 1)
+    assert index.read_once(chunks, asked) is chunks and rows(index.bm25_top_k(chunks, asked, 2), "query_id", "doc_id", "score", "rank") == found
+
+
+def test_tidy_texts_are_not_worked_on(spark):
+    """tidy() gives normalize_whitespace(), whatever stands in a text."""
+    parts = ["", " ", "  ", "a", "\n", "\n\n", "\t", "\r", "\x00", "\x0b", "b c"]
+    texts = [a + b + c + d for a in parts for b in parts for c in parts for d in parts] + [None]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert docs.where(~text.tidy(F.col("t")).eqNullSafe(text.normalize_whitespace(F.col("t")))).count() == 0
+
+
 def test_dense_entries_are_scored_where_they_are_read(spark, monkeypatch):
     """dense_top_k gives the best of dense_blocks, ties included, without shuffling entries, and reads terms made before."""
     words = ["red", "apple", "wine", "list", "pie", "the", "青", "x1"]
