@@ -96,9 +96,10 @@ def rerank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second pass for passages whose first chunk covers too little: results that the first three didn't have."""
-    first = retrieval.with_chunk_text(spark, sf_dir, retrieval.sparse_candidates(spark, sf_dir, 3))
-    asked = runs.supplemental_queries(questions(spark, sf_dir), first.where("rank = 1"))
-    second = index.bm25_top_k(chunks(spark, sf_dir), asked, 3)
+    read = index.read_once(chunks(spark, sf_dir), questions(spark, sf_dir))
+    first = retrieval.sparse_candidates(spark, sf_dir, 3, read)
+    best = retrieval.with_chunk_text(spark, sf_dir, first.where("rank = 1"))
+    second = index.bm25_top_k(read, runs.supplemental_queries(questions(spark, sf_dir), best), 3)
     new = second.join(first.select("query_id", *retrieval.KEYS), ["query_id", *retrieval.KEYS], "left_anti")
     return retrieval.longs(new.select("query_id", *retrieval.KEYS, "score", "rank"), "chunk_index", "rank")
 

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import registry
 from tessera.functions import text
 from tessera.functions.text import excerpt
 from tessera.operators import chunking, comparison, gates, index, metrics, profile, retrieval, state, telemetry, verify
@@ -160,6 +161,12 @@ def test_more_query_terms_are_not_read_once(spark, monkeypatch):
     assert index.read_once(chunks, asked) is chunks and rows(index.bm25_top_k(chunks, asked, 2), "query_id", "doc_id", "score", "rank") == found
 
 
+def test_gap_searches_read_the_chunks_once(spark, small, monkeypatch):
+    calls, plain = [], index.counted_terms
+    monkeypatch.setattr(index, "counted_terms", lambda *a, **b: calls.append(a) or plain(*a, **b))
+    assert registry.QUERIES["gap_searches"](spark, small).count() >= 0 and len(calls) == 1
+
+
 def test_tidy_texts_are_not_worked_on(spark):
     """tidy() gives normalize_whitespace(), whatever stands in a text."""
     parts = ["", " ", "  ", "a", "\n", "\n\n", "\t", "\r", "\x00", "\x0b", "b c"]
