@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scores import clamp01, fixed, keyword_score
-from tessera.functions.text import anchors, matches_anchor, normalize_search, term_set, unnest
+from tessera.functions.text import anchors, matches_anchor, normalize_search, term_set, terms, unnest
 from tessera.operators.index import FEW_ROWS, askers_of, few_rows, keep_best, matched_blocks, query_terms, terms_of, top_k, wanted_counts
 
 RRF_K, DENSE_WEIGHT, SPARSE_WEIGHT = 60, 0.65, 0.35
@@ -253,7 +253,7 @@ def query_signals(queries: DataFrame) -> DataFrame:
     """query_id, wanted (terms), asked_anchors, phrases: what a rerank looks for."""
     wanted = term_set(F.col("query"))
     asked = anchors(F.col("query"))
-    phrase = F.array_join(wanted, " ")
+    phrase = F.array_join(terms(F.col("query")), " ")  # in full, as the query says it: with repeats
     normal = normalize_search(F.col("query"))
     longer = lambda p: F.when(p.contains(" "), F.array(p)).otherwise(F.array().cast("array<string>"))
     phrases = F.array_distinct(F.concat(F.transform(asked, lambda x: x["phrase"]), longer(phrase), longer(normal)))
