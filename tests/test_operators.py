@@ -274,6 +274,14 @@ def test_profiles(spark):
     assert rows(profile.discover(docs, "Which travel budget?"), "doc_id", "score") == [(1, 2)]
 
 
+def test_discover_reads_each_text_once(spark):
+    texts = ["Tra\x00vel", "TRAVEL bud\rget", "tra vel", None, "", "budget-budget"]
+    found = profile.discover(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "Which travel budget?")
+    assert [tuple(r) for r in found.collect()] == [(1, 2), (0, 1), (5, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and "regexp_replace" not in plan
+
+
 # retrieval
 
 
