@@ -318,6 +318,26 @@ def test_cosine_blocks_equal_brute_force(spark):
     assert retrieval.cosine_top_k(frame.limit(0), asked, 3).count() == 0
 
 
+def test_sparse_vectors_of_listed_and_other_terms(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(60)] + ["大", "中"]
+    texts = [" ".join(r.choices(words, [1 / (i + 1) for i in range(len(words))], k=r.randrange(1, 40))) for _ in range(80)] + ["", "a", None, "only once"]
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id int, chunk_index int, chunk_text string")
+    terms = {i: [w for w in re.findall("[a-z0-9]+|[一-鿿]", t or "") if w != "a"] for i, t in enumerate(texts)}
+    df = {w: sum(w in ts for ts in terms.values()) for ts in terms.values() for w in ts}
+    mean, want = sum(map(len, terms.values())) / len(terms), {}
+    for i, ts in terms.items():
+        weight = lambda w: math.log(1 + (len(terms) - df[w] + 0.5) / (df[w] + 0.5)) * ts.count(w) * 2.2 / (ts.count(w) + 1.2 * (0.25 + 0.75 * len(ts) / mean))  # noqa: B023, E731
+        want |= {i: [(w, round(weight(w), 6)) for w in sorted(set(ts))]} if ts else {}
+    for listed in (0, 1, 7, 1000):
+        found = index.sparse_vectors(chunks, listed=listed)
+        got = {x["doc_id"]: [(e["term"], pytest.approx(e["weight"], abs=2e-6)) for e in x["entries"]] for x in found.collect()}
+        assert got == want
+    # where all terms are listed, no posting is shuffled
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert index.sparse_vectors(chunks.limit(0)).count() == 0
+
+
 def test_rerank_promotes_the_phrase(spark):
     data = [(1, 1, 0, 1.0, "unrelated words only"), (1, 2, 0, 0.5, "the travel budget is here"), (1, 3, 0, 0.4, "travel without money")]
     found = spark.createDataFrame(data, "query_id int, doc_id int, chunk_index int, score double, chunk_text string")
